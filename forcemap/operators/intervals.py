@@ -135,7 +135,8 @@ def range_extremes(
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, left_id: str, on: list[str], left_ts: str, right_ts: str, within_seconds: int, values: list[str]
+    left: DataFrame, right: DataFrame, left_id: list[str], on: list[str], left_ts: str, right_ts: str,
+    within_seconds: int, values: list[str],
 ) -> DataFrame:
     """Nearest right row strictly within ``within_seconds``; the earlier row wins a tie. Left join."""
     micros = within_seconds * 1_000_000 - 1
@@ -146,7 +147,7 @@ def nearest(
     gap = F.abs(F.unix_micros("_rts") - F.unix_micros(left_ts))
     best = (
         interval_join(window, r, on, "_from", "_to", "_rts", within_seconds)
-        .groupBy(left_id)
+        .groupBy(*left_id)
         .agg(F.min_by(F.struct("_rts", "_value"), F.struct(gap, "_rts")).alias("_best"))
     )
     return left.join(best, left_id, "left").select(

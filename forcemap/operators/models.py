@@ -137,19 +137,19 @@ def depth_weighted(levels: DataFrame, book: DataFrame, width: float) -> DataFram
 ENSEMBLE_WEIGHTS = {"standard": 0.50, "funding": 0.30, "loss_cut": 0.20}
 
 
-def ensemble(levels: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.05) -> DataFrame:
+def ensemble(levels: DataFrame, members: tuple[str, ...], weights: dict[str, float] | None = None, threshold: float = 0.05) -> DataFrame:
     """Weighted mean price and summed weighted volume per (symbol, leverage, side).
 
-    Confidence drops when any level strays more than ``threshold`` from the plain mean price.
-    The mean is normalised by the weights of the rows (the sum of w·p alone is not a price).
+    Weights are renormalised over ``members``. Confidence drops when any level strays more than
+    ``threshold`` from the plain mean price. The mean is normalised by the weights of the rows
+    (the sum of w·p alone is not a price).
     """
     weights = weights or ENSEMBLE_WEIGHTS
-    given = C.case([(F.col("model") == m, F.lit(w)) for m, w in weights.items()], 0.0)
-    present = levels.select("symbol", "model").distinct().groupBy("symbol").agg(F.sum(given).alias("_sum"))
+    total = sum(weights[m] for m in members)
+    given = C.case([(F.col("model") == m, F.lit(weights[m] / total)) for m in members], 0.0)
     w = F.col("_w")
     keys = ["symbol", "leverage", "side"]
-    weighted = levels.join(present, "symbol").withColumn("_w", given / F.col("_sum"))
-    grouped = weighted.groupBy(*keys).agg(
+    grouped = levels.withColumn("_w", given).groupBy(*keys).agg(
         (F.sum(w * F.col("price_level")) / F.sum(w)).alias("price_level"),
         F.sum(w * F.col("volume")).alias("volume"),
         F.avg("price_level").alias("_mean"),

@@ -8,6 +8,7 @@ from forcemap.functions import columns as C
 from forcemap.operators import maps, models, resample
 from forcemap.operators.joins import per_tier
 from forcemap.plans.registry import query
+from forcemap.session import staged
 
 TIERS5 = "(SELECT unnest([5, 10, 25, 50, 100]) AS leverage)"
 
@@ -164,7 +165,7 @@ _INPUTS = """
 
 def model_inputs(v):
     oi = v.oi.groupBy("symbol").agg((F.max_by("oi_value", "ts") * 50).alias("open_interest"))
-    return v.tick_marks.select("symbol", "mark").join(oi, "symbol")
+    return staged(v.tick_marks.select("symbol", "mark").join(oi, "symbol"), "inputs")
 
 
 @query(
@@ -303,7 +304,7 @@ _UNION = f"""{_SHIFT},
 
 
 def model_union(v):
-    standard = models.gaussian_levels(model_inputs(v))
+    standard = staged(models.gaussian_levels(model_inputs(v)), "standard")
     return standard.unionByName(models.funding_shifted(standard, latest_funding(v)))
 
 
@@ -313,7 +314,7 @@ def model_union(v):
                round(disagreement, 8) AS disagreement, CASE WHEN disagreement > 0.05 THEN 0.7e0 ELSE 0.85e0 END AS confidence FROM ens""",
 )
 def weighted_ensemble(v):
-    return models.ensemble(model_union(v)).select(
+    return models.ensemble(model_union(v), ("standard", "funding")).select(
         "symbol", "leverage", "side", F.round("price_level", 6).alias("price_level"), F.round("volume", 4).alias("volume"),
         F.round("disagreement", 8).alias("disagreement"), "confidence",
     )
@@ -330,7 +331,7 @@ def weighted_ensemble(v):
 )
 def model_comparison(v):
     every = model_union(v)
-    blend = models.ensemble(every).withColumn("model", F.lit("ensemble"))
+    blend = models.ensemble(every, ("standard", "funding")).withColumn("model", F.lit("ensemble"))
     keep = ["symbol", "model", "price_level", "volume", "confidence"]
     c = models.side_by_side(every.select(keep).unionByName(blend.select(keep)))
     return c.select(

@@ -84,10 +84,16 @@ VIEW_SQL = {
     # Expert predictions: every tick at a quarter-hour-aligned snapshot claims a level.
     "signals": """
         SELECT event_id AS obs_id, 'expert_' || CAST(wallet % 3 AS VARCHAR) AS expert, symbol,
-               time_bucket(INTERVAL '15 minutes', ts) AS snapshot_ts, price AS level_price,
+               time_bucket(INTERVAL '15 minutes', ts) AS snapshot_ts,
+               CASE WHEN event_id % 3 = 0 THEN price * 1.02e0 ELSE price END AS level_price,
                CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS side,
                volume / 100.0 AS confidence
         FROM ticks WHERE price > 0""",
+    # Forced closes seen on the venue: every tick, side by account.
+    "forced": """
+        SELECT event_id, ts AS event_ts, symbol, CASE WHEN wallet % 2 = 0 THEN 'long' ELSE 'short' END AS side,
+               price AS event_price, volume AS event_size
+        FROM ticks""",
     # Daily validation runs: one row per order, score in 0..100.
     "runs": """
         SELECT o_orderkey AS run_id, CAST(o_orderdate AS TIMESTAMP) AS run_ts,
@@ -225,11 +231,22 @@ class Views:
             F.concat(F.lit("expert_"), (F.col("wallet") % 3).cast("string")).alias("expert"),
             "symbol",
             floor_time("ts", "15m").alias("snapshot_ts"),
-            F.col("price").alias("level_price"),
+            F.when(F.col("event_id") % 3 == 0, F.col("price") * 1.02).otherwise(F.col("price")).alias("level_price"),
             F.when(F.col("event_id") % 2 == 0, "long").otherwise("short").alias("side"),
             (F.col("volume") / 100.0).alias("confidence"),
         )
 
+    @cached_property
+    def forced(self) -> DataFrame:
+        return self.ticks.select(
+            "event_id",
+            F.col("ts").alias("event_ts"),
+            "symbol",
+            F.when(F.col("wallet") % 2 == 0, "long").otherwise("short").alias("side"),
+            F.col("price").alias("event_price"),
+            F.col("volume").alias("event_size"),
+        )
+
     @cached_property
     def runs(self) -> DataFrame:
         return self.table("orders").select(
