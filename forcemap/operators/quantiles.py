@@ -26,7 +26,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, width: float, hot_
 
 
 def _rank(method: str, n: Column, p: float, parts: int | None) -> tuple[Column, Column, Column]:
-    """(lower rank, upper rank, weight of the upper value), 0-based."""
+    """(lower rank, upper rank, weight or offset of the upper value), 0-based."""
     if method == "linear":
         pos = (n - 1) * F.lit(p)
         lo = F.floor(pos)
@@ -38,7 +38,7 @@ def _rank(method: str, n: Column, p: float, parts: int | None) -> tuple[Column,
         i = round(p * parts)
         j = F.least(F.greatest(F.floor((n + 1) * F.lit(i) / F.lit(parts)), F.lit(1)), n - 1)
         delta = (n + 1) * F.lit(i) - j * F.lit(parts)
-        return j - 1, j, delta / F.lit(float(parts))
+        return j - 1, j, delta
     raise ValueError(f"unknown method {method}")
 
 
@@ -69,6 +69,10 @@ def exact_quantiles(
 
         picks += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(w).alias(f"_w_{name}")]
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((low + (high - low) * F.col(f"_w_{name}")).alias(name))
+        w = F.col(f"_w_{name}")
+        if method == "exclusive":
+            outs.append(((low * (parts - w) + high * w) / parts).alias(name))
+        else:
+            outs.append((low + (high - low) * w).alias(name))
     wide = ranked.groupBy(*one).agg(F.max("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), *picks)
     return wide.select(*keys, "n", "low", "high", *outs)
