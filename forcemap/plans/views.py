@@ -98,7 +98,8 @@ VIEW_SQL = {
     "runs": """
         SELECT o_orderkey AS run_id, CAST(o_orderdate AS TIMESTAMP) AS run_ts,
                'model_' || o_orderstatus AS model, o_orderpriority AS test,
-               CAST(o_totalprice AS DOUBLE) / 5000.0 AS score
+               CAST(o_totalprice AS DOUBLE) / 5000.0 AS score,
+               CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'completed' END AS status
         FROM orders""",
     # Closed signals with a profit or loss.
     "feedback": """
@@ -255,6 +256,7 @@ class Views:
             F.concat(F.lit("model_"), "o_orderstatus").alias("model"),
             F.col("o_orderpriority").alias("test"),
             (F.col("o_totalprice") / 5000.0).alias("score"),
+            F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise("completed").alias("status"),
         )
 
     @cached_property
