@@ -29,3 +29,21 @@ def dense_zones(levels: DataFrame, keys: list[str], bucket: float, share: float)
         .withColumn("price_low", F.col("price_level") - bucket / 2)
         .withColumn("price_high", F.col("price_level") + bucket / 2)
     )
+
+
+def concentration(levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of the ten largest and of the largest one percent of price buckets.
+
+    Ranks over a price grid, so the window per key is bounded by the grid.
+    """
+    b = levels.groupBy(*keys, "price_level").agg(F.sum("volume").alias("_v"), F.sum("positions").alias("_p"))
+    w = Window.partitionBy(*keys)
+    r = b.withColumn("_r", F.row_number().over(w.orderBy(F.desc("_v"), "price_level"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    top = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.01))
+    total = F.sum("_v")
+    return r.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("bucket_count"), total.alias("total_volume"),
+        (F.sum(F.when(F.col("_r") <= 10, F.col("_v"))) / total).alias("top_10_share"),
+        (F.sum(F.when(F.col("_r") <= top, F.col("_v"))) / total).alias("top_1pct_share"),
+        (F.sum("_p").cast("double") / F.count(F.lit(1))).alias("positions_per_bucket"),
+    )

@@ -78,3 +78,50 @@ def select_portion(trades: DataFrame, by: list[str], value: str, tie: list[str],
     w = Window.partitionBy(*by).orderBy(*tie)
     edge = marked.filter(F.col("_neg") == F.col("_cut")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_left"))
     return sure.unionByName(edge.drop("_r")).drop("_neg", "_cut", "_left")
+
+
+def selection_scores(levels: DataFrame, power: float = 1.5, penalty: float = 0.1, floor: float = 0.0025) -> DataFrame:
+    """Concentration, liquidation-intensity and risk-first score per account.
+
+    Needs notional, mark, liq_px and the exposure profile. Levels without a positive price have no
+    intensity or risk.
+    """
+    extra = F.greatest(F.col("position_count") - 1, F.lit(0))
+    priced = F.col("liq_px") > 0
+    near = F.greatest(F.abs(F.col("mark") - F.col("liq_px")) / F.greatest(F.col("mark"), F.lit(1.0)), F.lit(floor))
+    target = F.col("target_notional")
+    risk = target / near * (1.0 + F.col("off_target_notional") / F.greatest(target, F.lit(1.0))) * (1.0 + 0.05 * extra)
+    return (
+        levels.withColumn("concentration", concentration_score(target, F.col("total_notional"), power, 1.0 + penalty * extra))
+        .withColumn("intensity", F.when(priced, intensity_score(F.col("notional"), F.col("liq_px"), F.col("mark"), floor)))
+        .withColumn("risk", F.when(priced & (target > 0), risk))
+    )
+
+
+def variant_picks(scored: DataFrame, pool: DataFrame, n: int) -> dict[str, DataFrame]:
+    """Accounts of three map variants.
+
+    ``intensity``: per-side quota by intensity from the pool, back-filled by notional; ``position_first``:
+    largest notional overall; ``risk_first``: highest risk score within the pool.
+    """
+    sided = pool.filter(F.col("liq_px") > 0).withColumn("side", C.side_against_mark("liq_px", "mark")).filter("side IS NOT NULL")
+    chosen = top_by_side(
+        sided.withColumn("_all", F.lit(0)).withColumn("_tie", -F.col("account")), ["_all"], "side", "intensity", "_tie", n
+    ).select("account", F.lit(0).alias("_order"), F.col("rank").alias("_r"))
+    rest = pool.join(chosen, "account", "left_anti")
+    refill = top_overall(rest, [F.desc("notional"), F.desc("account")], n).select(
+        "account", F.lit(1).alias("_order"), F.row_number().over(Window.orderBy(F.desc("notional"), F.desc("account"))).alias("_r")
+    )
+    intensity = top_overall(chosen.unionByName(refill), [F.asc("_order"), F.asc("_r")], n).select("account")
+    return {
+        "intensity": intensity,
+        "position_first": top_overall(scored, [F.desc("notional"), F.desc("account")], n).select("account"),
+        "risk_first": top_overall(pool.filter("risk IS NOT NULL"), [F.desc("risk"), F.desc("account")], n).select("account"),
+    }
+
+
+def top_signals(zones: DataFrame, key: str, volume: str, tie: list[Column], n: int) -> DataFrame:
+    """Largest zones per symbol with confidence relative to the largest."""
+    top = top_per_group(zones, [key], [F.desc(volume), *tie], n)
+    most = F.max(volume).over(Window.partitionBy(key))
+    return top.withColumn("confidence", F.col(volume) / most).drop("rank")
