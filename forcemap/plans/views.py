@@ -81,6 +81,13 @@ VIEW_SQL = {
                           ELSE price * (1 + 1e0 / 10 - 0.004) END AS liq
               FROM ticks)
         GROUP BY ALL""",
+    # The same levels as four providers publish them: two grids, one provider with an extra tier.
+    "provider_map": """
+        SELECT symbol, 'p' || CAST(venue AS VARCHAR) AS provider, side,
+               CASE positions % 3 WHEN 0 THEN 25 WHEN 1 THEN 50 ELSE CASE WHEN venue = 3 THEN 10 ELSE 100 END END AS leverage,
+               CASE WHEN venue % 2 = 1 THEN floor(price_level / 10) * 10e0 ELSE price_level END AS price_level,
+               sum(volume) AS volume
+        FROM levels GROUP BY ALL""",
     # Expert predictions: every tick at a quarter-hour-aligned snapshot claims a level.
     "signals": """
         SELECT event_id AS obs_id, 'expert_' || CAST(wallet % 3 AS VARCHAR) AS expert, symbol,
@@ -225,6 +232,19 @@ class Views:
             ).agg(F.sum("volume").alias("volume"), F.count("*").alias("positions"))
         )
 
+    @cached_property
+    def provider_map(self) -> DataFrame:
+        third = F.when(F.col("venue") == 3, 10).otherwise(100)
+        lev = F.when(F.col("positions") % 3 == 0, 25).when(F.col("positions") % 3 == 1, 50).otherwise(third)
+        wide = F.floor(F.col("price_level") / 10).cast("double") * 10.0
+        return self.levels.groupBy(
+            "symbol",
+            F.concat(F.lit("p"), F.col("venue").cast("string")).alias("provider"),
+            "side",
+            lev.alias("leverage"),
+            F.when(F.col("venue") % 2 == 1, wide).otherwise(F.col("price_level")).alias("price_level"),
+        ).agg(F.sum("volume").alias("volume"))
+
     @cached_property
     def signals(self) -> DataFrame:
         return self.ticks.filter("price > 0").select(
