@@ -63,13 +63,13 @@ def tier_lookup(v):
 @query(
     "R1",
     """SELECT event_id AS trade_id, user_id AS account, event_type AS coin, value - 20.0 AS closed_pnl FROM events
-       WHERE event_id % 3 < 2 AND value - 20.0 < 0 AND user_id % 2 = 0""",
+       WHERE value < 14 AND value - 20.0 < 0 AND user_id < 75""",
 )
 def forced_closes(v):
     fills = v.events.select(
         F.col("event_id").alias("trade_id"), F.col("user_id").alias("account"), F.col("event_type").alias("coin"), (F.col("value") - 20.0).alias("closed_pnl"),
-        F.element_at(F.array(F.lit("Close Long"), F.lit("Close Short"), F.lit("Open Long")), (F.col("event_id") % 3 + 1).cast("int")).alias("direction"),
-        (F.col("user_id") % 2 == 0).alias("crossed"),
+        F.when(F.col("value") < 8, "Close Long").when(F.col("value") < 14, "Close Short").otherwise("Open Long").alias("direction"),
+        (F.col("user_id") < 75).alias("crossed"),
     )
     return blocks.realised_closes(fills).select("trade_id", "account", "coin", "closed_pnl")
 
@@ -111,14 +111,14 @@ def cross_prices(v):
 
 
 _OVER = f"""{_CROSS},
-    ov AS (SELECT account, coin, CASE WHEN account % 7 = 0 THEN NULL ELSE entry_px * 0.9e0 END AS live_px, abs(size) * 2 AS live_notional, size AS live_size FROM positions WHERE account % 5 = 0),
+    ov AS (SELECT account, coin, CASE WHEN margin_type = 'isolated' THEN NULL ELSE entry_px * 0.9e0 END AS live_px, abs(size) * 2 AS live_notional, size AS live_size FROM positions WHERE leverage >= 20),
     fin AS (SELECT p.account, p.coin, p.mark, CASE WHEN o.account IS NULL THEN liq_px ELSE live_px END AS liq_px, coalesce(live_notional, notional) AS notional, coalesce(live_size, p.size) AS size, o.account IS NOT NULL AS overridden
             FROM cross_px p LEFT JOIN ov o ON p.account = o.account AND p.coin = o.coin WHERE o.account IS NULL OR live_px IS NOT NULL)"""
 
 
 def live_levels(v):
-    live = v.positions.filter(F.col("account") % 5 == 0).select(
-        "account", "coin", F.when(F.col("account") % 7 != 0, F.col("entry_px") * 0.9).alias("live_px"),
+    live = v.positions.filter("leverage >= 20").select(
+        "account", "coin", F.when(F.col("margin_type") != "isolated", F.col("entry_px") * 0.9).alias("live_px"),
         (F.abs("size") * 2).alias("live_notional"), F.col("size").alias("live_size"),
     )
     return A.overridden(close_prices(v), live, ["account", "coin"])
@@ -334,14 +334,14 @@ def portfolio_inputs(v):
     )
     token = F.element_at(F.array(F.lit("USDC"), F.lit("HYPE"), F.lit("USDE")), (F.col("c_custkey") % 3 + 1).cast("int"))
     bal = c.select(F.col("c_custkey").alias("account"), token.alias("token"), (F.col("c_acctbal") / 10).alias("total"))
-    bor = c.filter(F.col("c_custkey") % 4 == 0).select(F.col("c_custkey").alias("account"), F.lit("HYPE").alias("token"), (F.abs("c_acctbal") / 100).alias("borrowed"))
+    bor = c.filter("c_acctbal < 2500").select(F.col("c_custkey").alias("account"), F.lit("HYPE").alias("token"), (F.abs("c_acctbal") / 100).alias("borrowed"))
     res = v.spark.createDataFrame([("HYPE", 25.0), ("USDE", 0.99)], "token string, oracle_px double")
     return acct, bal, bor, res
 
 
 _PORT = """
     pb AS (SELECT c_custkey AS account, ['USDC', 'HYPE', 'USDE'][c_custkey % 3 + 1] AS token, c_acctbal / 10 AS total FROM customer),
-    pm0 AS (SELECT c_custkey AS account, abs(c_acctbal) * 0.1e0 AS used, c_acctbal * 3 AS available, CASE WHEN c_custkey % 4 = 0 THEN abs(c_acctbal) / 100 * 25 ELSE 0 END AS borrowed,
+    pm0 AS (SELECT c_custkey AS account, abs(c_acctbal) * 0.1e0 AS used, c_acctbal * 3 AS available, CASE WHEN c_acctbal < 2500 THEN abs(c_acctbal) / 100 * 25 ELSE 0 END AS borrowed,
                    CASE c_custkey % 3 WHEN 0 THEN c_acctbal / 10 WHEN 2 THEN c_acctbal / 10 * 0.99e0 ELSE 0 END AS stable FROM customer),
     pm AS (SELECT *, 20 + used + borrowed AS requirement, greatest(0, 20 + used + borrowed + available) AS lv FROM pm0)"""
 
@@ -365,7 +365,7 @@ def exposures(v):
 
 
 def portfolio_prices(v):
-    spot = v.positions.filter(F.col("account") % 3 == 0).select(
+    spot = v.positions.filter("leverage < 12").select(
         "account", "coin", (F.abs("size") / 4).alias("spot_total"), F.lit(0.5).alias("ltv"), F.when(F.col("account") % 2 == 0, 200.0).alias("supply_cap")
     )
     m = marked(v)

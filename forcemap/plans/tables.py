@@ -109,15 +109,15 @@ def catalog(v):
     "S6",
     """SELECT event_id AS trade_id, user_id || 'w' AS wallet, event_type AS coin, value AS price, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS size, event_id // 4 AS block_number,
               CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS side, CASE WHEN event_id % 3 = 0 THEN value - 20 ELSE 0 END AS closed_pnl
-       FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_type IN ('click', 'view', 'purchase')""",
+       FROM events WHERE value >= 1 AND event_type IN ('click', 'view', 'purchase')""",
 )
 def fill_blocks(v):
     e = v.events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0))
     key = F.col("event_id")
     fill = F.to_json(
         F.struct(
-            F.col("event_type").alias("coin"), F.when(key % 17 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("px"), F.col("k").alias("sz"),
-            F.when(key % 2 == 0, "A").otherwise("B").alias("side"), F.lit("Close Long").alias("dir"), F.when(key % 13 != 0, key).alias("tid"),
+            F.col("event_type").alias("coin"), F.when(F.col("value") < 0.5, "n/a").otherwise(F.col("value").cast("string")).alias("px"), F.col("k").alias("sz"),
+            F.when(key % 2 == 0, "A").otherwise("B").alias("side"), F.lit("Close Long").alias("dir"), F.when((F.col("value") < 0.5) | (F.col("value") >= 1), key).alias("tid"),
             F.when(key % 3 == 0, (F.col("value") - 20).cast("string")).alias("closedPnl"), (key % 2 == 0).alias("crossed"),
         )
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -62,47 +62,57 @@ def run_idempotent(stream: DataFrame, keys: list[str], tiebreak: list[str], labe
 # ---- alerts --------------------------------------------------------------
 
 
-def _spaced(alerts: DataFrame, last: DataFrame, cooldown_seconds: int) -> DataFrame:
-    """Alerts at least the cooldown after the zone's previous one, given each zone's last sent time.
+def _spaced(alerts: DataFrame, last: DataFrame, cutoffs: DataFrame, cooldown_seconds: int) -> DataFrame:
+    """Alerts a zone would send each day, given every day's cap cut-off so far.
 
-    A zone's alerts are walked in time order by one task; zones are many and alerts pass a severity bound first.
+    Inside a day the cut-off is ignored (it cannot change what comes before it); only alerts up to it start
+    a cooldown that reaches into later days. A zone's alerts are walked in time order by one task; zones are
+    many and alerts pass a severity bound first.
     """
     gap = pd.Timedelta(seconds=cooldown_seconds)
+    names = list(alerts.columns)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts", "alert_id"])
-        before = group["last_ts"].iloc[0]
-        keep = []
-        for ts in group["ts"]:
-            ok = pd.isna(before) or ts - before >= gap
+        settled = group["last_ts"].iloc[0]
+        keep, day, free = [], None, settled
+        for ts, alert_id, d, cut_ts, cut_id in zip(group["ts"], group["alert_id"], group["day"], group["cut_ts"], group["cut_id"]):
+            if d != day:
+                day, free = d, settled
+            ok = pd.isna(free) or ts - free >= gap
             keep.append(ok)
-            before = ts if ok else before
-        return group[keep].drop(columns="last_ts")
+            if ok:
+                free = ts
+                if pd.isna(cut_ts) or (ts, alert_id) <= (cut_ts, cut_id):
+                    settled = ts
+        return group.loc[keep, [*names, "day"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields)
-    return alerts.join(last, "zone", "left").groupBy("zone").applyInPandas(walk, fields)
+    dated = alerts.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return (
+        dated.join(cutoffs, "day", "left").join(last, "zone", "left").groupBy("zone").applyInPandas(walk, f"{fields}, day string")
+    )
 
 
-def send_alerts(alerts: DataFrame, last: DataFrame, cooldown_seconds: int, daily_cap: int) -> DataFrame:
+def send_alerts(alerts: DataFrame, last: DataFrame, cooldown_seconds: int, daily_cap: int, max_rounds: int = 1000) -> DataFrame:
     """Alerts sent under a per-zone cooldown and a daily cap over all zones.
 
-    Alerts: alert_id, zone, ts. An alert the cap suppresses starts no cooldown, so days on which the cap binds
-    are settled in order; all other days are settled together. Each round settles at least one such day.
+    Alerts: alert_id, zone, ts; last: zone, last_ts. An alert the cap suppresses starts no cooldown, so a day's
+    cut-off can depend on the day before. All days are settled together and repeated until no cut-off moves;
+    after k rounds the first k days are final, and mostly two or three rounds settle everything.
     """
-    day = F.to_date("ts")
-    waiting, last, done = staged(alerts, "alerts"), staged(last, "last"), None
-    while True:
-        spaced = staged(_spaced(waiting, last, cooldown_seconds), "spaced")
-        full = spaced.groupBy(day.alias("d")).count().filter(F.col("count") > daily_cap).agg(F.min("d").alias("d")).first()["d"]
-        if full is None:
-            return spaced if done is None else done.unionByName(spaced)
-        early = spaced.filter(day < F.lit(full))
-        that_day = spaced.filter(day == F.lit(full)).orderBy("ts", "alert_id").limit(daily_cap)
-        sent = staged(early.unionByName(that_day), "sent")
-        done = sent if done is None else done.unionByName(sent)
-        newest = sent.groupBy("zone").agg(F.max("ts").alias("last_ts"))
-        last = staged(last.unionByName(newest).groupBy("zone").agg(F.max("last_ts").alias("last_ts")), "last")
-        waiting = staged(waiting.filter(day > F.lit(full)), "waiting")
+    alerts, last = staged(alerts, "alerts"), staged(last, "last")
+    cutoffs = alerts.sparkSession.createDataFrame([], "day string, cut_ts timestamp, cut_id long")
+    in_day = Window.partitionBy("day").orderBy("ts", "alert_id")
+    for _ in range(max_rounds):
+        passed = _spaced(alerts, last, cutoffs, cooldown_seconds)
+        sent = staged(passed.withColumn("_r", F.row_number().over(in_day)).filter(F.col("_r") <= daily_cap), "sent")
+        at_cap = sent.filter(F.col("_r") == daily_cap).select("day", F.col("ts").alias("cut_ts"), F.col("alert_id").cast("long").alias("cut_id"))
+        moved = not (at_cap.exceptAll(cutoffs).isEmpty() and cutoffs.exceptAll(at_cap).isEmpty())
+        if not moved:
+            return sent.select(*alerts.columns)
+        cutoffs = staged(at_cap, "cutoffs")
+    raise RuntimeError("daily cut-offs did not settle")
 
 
 def run_alerts(stream: DataFrame, cooldown_seconds: int, daily_cap: int, label: str = "alerts") -> DataFrame:
