@@ -63,10 +63,12 @@ def select_trades(trades: DataFrame, mode: str, by: str, order: list[Column], th
 def select_portion(trades: DataFrame, by: list[str], value: str, tie: list[str], share: float, width: float) -> DataFrame:
     """The int(n·share) largest rows per group, ranks found by counting.
 
-    Values above the cut value are all in; among rows equal to it the first by ``tie`` fill the rest.
+    Values above the cut value are all in; among rows equal to it the first by ``tie`` (a total order that
+    starts with a number) fill the rest.
     """
     from forcemap.operators.quantiles import ranked_values
     from forcemap.operators.joins import attach
+    from forcemap.operators.rolling import numbered
 
     neg = trades.withColumn("_neg", -F.col(value))
     ranked = ranked_values(neg, by, "_neg", width).withColumn("_k", F.floor(F.col("n") * F.lit(share)))
@@ -75,9 +77,10 @@ def select_portion(trades: DataFrame, by: list[str], value: str, tie: list[str],
     )
     marked = attach(neg, cut, by)
     sure = marked.filter(F.col("_neg") < F.col("_cut"))
-    w = Window.partitionBy(*by).orderBy(*tie)
-    edge = marked.filter(F.col("_neg") == F.col("_cut")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_left"))
-    return sure.unionByName(edge.drop("_r")).drop("_neg", "_cut", "_left")
+    # Rows tied at the cut are counted by a scan: a value may have very many copies.
+    tied = numbered(marked.filter(F.col("_neg") == F.col("_cut")), by, tie, F.floor(F.col(tie[0]) / 1_000_000))
+    edge = tied.filter(F.col("_i") <= F.col("_left"))
+    return sure.unionByName(edge.drop("_i")).drop("_neg", "_cut", "_left")
 
 
 def selection_scores(levels: DataFrame, power: float = 1.5, penalty: float = 0.1, floor: float = 0.0025) -> DataFrame:

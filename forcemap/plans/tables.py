@@ -148,7 +148,7 @@ def raw_classes(v):
     fund = v.funding.groupBy("symbol").agg(
         F.to_json(F.struct(F.collect_list(F.struct(ms.alias("funding_rate_timestamp"), F.col("rate").cast("string").alias("funding_rate"))).alias("result"))).alias("value")
     )
-    oi = v.oi.groupBy("symbol", F.to_date("ts")).agg(
+    oi = v.oi.groupBy("symbol", floor_time("ts", "1h")).agg(
         F.to_json(F.collect_list(F.struct(ms.alias("timestamp"), F.col("oi_value").cast("string").alias("open_interest")))).alias("value")
     )
     kl = v.candles.groupBy("symbol").agg(
@@ -168,7 +168,7 @@ def raw_classes(v):
 
 
 def _zipped_books(v):
-    """One ZIP archive with a CSV member per symbol and day, built in tasks from the ticks."""
+    """One ZIP archive per symbol and hour, built in tasks from the ticks."""
     @F.pandas_udf(T.BinaryType())
     def zipped(text: pd.Series) -> pd.Series:
         def one(body: str) -> bytes:
@@ -180,7 +180,7 @@ def _zipped_books(v):
         return text.map(one)
 
     line = F.concat_ws(",", millis("ts").cast("string"), F.lit("bid"), F.col("price").cast("string"), F.col("volume").cast("string"))
-    return v.ticks.groupBy("symbol", F.to_date("ts")).agg(F.concat_ws("\n", F.collect_list(line)).alias("t")).select(zipped("t").alias("content"))
+    return v.ticks.groupBy("symbol", floor_time("ts", "1h")).agg(F.concat_ws("\n", F.collect_list(line)).alias("t")).select(zipped("t").alias("content"))
 
 
 KEYS = ["l_orderkey", "l_linenumber"]

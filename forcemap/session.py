@@ -42,14 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     scratch = tempfile.mkdtemp(prefix="forcemap-")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/forcemap-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
