@@ -66,7 +66,7 @@ def forced_close_price(entry, leverage, is_long, rate=BASE_MAINTENANCE_RATE, amo
     """Price at which margin is exhausted; ``amount_share`` is maintenance amount / notional."""
     share = F.lit(0.0) if amount_share is None else col(amount_share)
     r = rate if isinstance(rate, Column) else F.lit(rate)
-    inverse = F.lit(1.0) / col(leverage)
+    inverse = F.try_divide(F.lit(1.0), col(leverage))
     return F.when(is_long, col(entry) * (F.lit(1.0) - inverse + r - share)).otherwise(
         col(entry) * (F.lit(1.0) + inverse - r + share)
     )
@@ -204,7 +204,7 @@ def health_status(f1, age_days) -> Column:
 
 
 def distance_pct(price, mark) -> Column:
-    return F.abs(col(price) - col(mark)) / col(mark) * F.lit(100.0)
+    return F.try_divide(F.abs(col(price) - col(mark)), col(mark)) * F.lit(100.0)
 
 
 def severity(distance, density, limits: dict[str, tuple[float, float]]) -> Column:

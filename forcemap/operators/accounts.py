@@ -19,10 +19,10 @@ def margin_columns(df: DataFrame, notional: str, leverage: str, balance: str) ->
     t = C.tier_of(notional)
     margin = C.maintenance_margin(notional, t)
     return (
-        df.withColumn("initial_margin", F.col(notional) / F.col(leverage))
+        df.withColumn("initial_margin", F.try_divide(F.col(notional), F.col(leverage)))
         .withColumn("margin", margin)
         .withColumn("margin_ratio", F.when(F.col(balance) > 0, F.col("margin") / F.col(balance)))
-        .withColumn("effective_rate", F.col("margin") / F.col(notional))
+        .withColumn("effective_rate", F.try_divide(F.col("margin"), F.col(notional)))
     )
 
 
@@ -45,7 +45,7 @@ def tier_change_preview(df: DataFrame, old: str, new: str, entry: str, leverage:
     direction = F.when(F.col(is_long), 1).otherwise(-1)
 
     def close_price(notional: str, t: str) -> Column:
-        room = F.lit(1.0) / leverage - F.col(f"{t}.rate") + F.col(f"{t}.amount") / F.col(notional)
+        room = F.lit(1.0) / leverage - F.col(f"{t}.rate") + F.try_divide(F.col(f"{t}.amount"), F.col(notional))
         return F.col(entry) * (F.lit(1) - direction * room)
 
     d = df.withColumn("_a", C.tier_of(old)).withColumn("_b", C.tier_of(new))
@@ -57,7 +57,7 @@ def tier_change_preview(df: DataFrame, old: str, new: str, entry: str, leverage:
         .withColumn("new_tier", F.col("_b.tier"))
         .withColumn("tiers_crossed", F.abs(step))
         .withColumn("margin_increase", after - before)
-        .withColumn("margin_increase_pct", (after - before) / before * 100)
+        .withColumn("margin_increase_pct", F.try_divide(after - before, before) * 100)
         .withColumn("old_max_leverage", whole_leverage(F.col("_a.rate")))
         .withColumn("new_max_leverage", whole_leverage(F.col("_b.rate")))
         .withColumn("old_liq", close_price(old, "_a"))

@@ -25,7 +25,7 @@ CHUNK = 6 * 3600
 def tick_volatility(ticks: DataFrame, chunk_seconds: int = CHUNK) -> DataFrame:
     """Annualised volatility in whole bps after each tick, over the last 60 prices (59 returns)."""
     s = scan(ticks.select("symbol", "ts", "price"), ["symbol"], ["ts"], time_chunk("ts", chunk_seconds), _prev=("previous", "price"))
-    returns = staged(s.select("symbol", "ts", F.log(F.col("price") / F.col("_prev")).alias("_r")), "returns")
+    returns = staged(s.select("symbol", "ts", F.log(F.try_divide(F.col("price"), F.col("_prev"))).alias("_r")), "returns")
     out = rolling(
         returns, ["symbol"], ["ts"], time_chunk("ts", chunk_seconds), VOLATILITY_TICKS - 1,
         {"_sd": lambda w: F.stddev_samp("_r").over(w)},
@@ -42,7 +42,7 @@ def tick_spread(ticks: DataFrame, chunk_seconds: int = CHUNK) -> DataFrame:
         _lo=("min", "price"), _hi=("max", "price"), _sum=("sum", "price"), _n=("sum", "_one"),
     )
     mean = F.col("_sum") / F.col("_n")
-    spread = F.floor((F.col("_hi") - F.col("_lo")) / mean * 10000)
+    spread = F.floor(F.try_divide(F.col("_hi") - F.col("_lo"), mean) * 10000)
     half = F.when(mean > 0, F.greatest(F.lit(1), F.floor(spread / 2))).otherwise(1).cast("long")
     return s.select("symbol", "ts", half.alias("spread_band"))
 

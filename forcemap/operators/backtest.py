@@ -34,7 +34,7 @@ def hourly_coverage(predictions: DataFrame, ticks: DataFrame, tolerance_pct: flo
     )
 
     def covers(side: str, actual: str) -> Column:
-        error = F.abs(F.col("price_level") - F.col(actual)) / F.col(actual) * 100
+        error = F.try_divide(F.abs(F.col("price_level") - F.col(actual)), F.col(actual)) * 100
         return F.coalesce(F.bool_or((F.col("side") == side) & (error <= tolerance_pct)), F.lit(False))
 
     return (
@@ -87,7 +87,7 @@ def correlate(
         "_sym", "side", "event_id", "event_ts", "event_price", "event_size"
     )
     hits = interval_join(left, right, ["_sym", "side"], "_from", "_to", "event_ts", window_seconds, Band("event_price", "_lo", "_hi", 0.02))
-    close = F.abs(F.col("signal_price") - F.col("event_price")) / F.col("signal_price") * 100 <= tolerance_pct
+    close = F.try_divide(F.abs(F.col("signal_price") - F.col("event_price")), F.col("signal_price")) * 100 <= tolerance_pct
     return (
         hits.filter(close)
         .groupBy("signal_id")
@@ -113,7 +113,7 @@ def lookup_error(predictions: DataFrame, actuals: DataFrame, keys: list[str], re
 def mape(scored: DataFrame, keys: list[str], predicted: str, actual: str) -> DataFrame:
     """MAPE and accuracy over matched rows with a non-zero actual; 100 when nothing matched."""
     usable = F.col(predicted).isNotNull() & (F.col(actual) != 0)
-    error = F.when(usable, F.abs((F.col(actual) - F.col(predicted)) / F.col(actual)) * 100)
+    error = F.when(usable, F.abs(F.try_divide(F.col(actual) - F.col(predicted), F.col(actual))) * 100)
     return (
         scored.groupBy(*keys)
         .agg(F.count(F.col(predicted)).alias("predictions"), F.coalesce(F.avg(error), F.lit(100.0)).alias("mape"))

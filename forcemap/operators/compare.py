@@ -43,8 +43,8 @@ def concentration(levels: DataFrame, keys: list[str]) -> DataFrame:
     total = F.sum("_v")
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bucket_count"), total.alias("total_volume"),
-        (F.sum(F.when(F.col("_r") <= 10, F.col("_v"))) / total).alias("top_10_share"),
-        (F.sum(F.when(F.col("_r") <= top, F.col("_v"))) / total).alias("top_1pct_share"),
+        F.try_divide(F.sum(F.when(F.col("_r") <= 10, F.col("_v"))), total).alias("top_10_share"),
+        F.try_divide(F.sum(F.when(F.col("_r") <= top, F.col("_v"))), total).alias("top_1pct_share"),
         (F.sum("_p").cast("double") / F.count(F.lit(1))).alias("positions_per_bucket"),
     )
 
@@ -68,7 +68,7 @@ def nearest_zones(reference: DataFrame, zones: DataFrame, keys: list[str], toler
     r = F.col("ref_price")
     lower = F.col("above").isNull() | (F.abs(r - F.col("below")) <= F.abs(F.col("above") - r))
     closest = F.when(F.col("below").isNotNull() & lower, F.col("below")).otherwise(F.col("above"))
-    error = F.abs(F.col("zone_price") - r) / r * 100
+    error = F.try_divide(F.abs(F.col("zone_price") - r), r) * 100
     judged = staged(
         both.withColumn("zone_price", closest)
         .withColumn("error_pct", error)
@@ -111,7 +111,7 @@ def median_step(levels: DataFrame, keys: list[str], price: str = "price_level")
 
 def rebin(levels: DataFrame, keys: list[str], step, anchor, price: str = "price_level") -> DataFrame:
     """Positive volume summed onto a floor grid through ``anchor``."""
-    bucket = F.round(C.col(anchor) + F.floor((F.col(price) - C.col(anchor)) / C.col(step) + F.lit(1e-9)).cast("double") * C.col(step), 8)
+    bucket = F.round(C.col(anchor) + F.floor(F.try_divide(F.col(price) - C.col(anchor), C.col(step)) + F.lit(1e-9)).cast("double") * C.col(step), 8)
     return levels.filter("volume > 0").groupBy(*keys, bucket.alias("bucket")).agg(F.sum("volume").alias("volume"))
 
 
@@ -158,13 +158,13 @@ def pair_metrics(aligned: DataFrame, keys: list[str]) -> DataFrame:
     a, b = F.col("left_volume"), F.col("right_volume")
     totals = aligned.groupBy(*keys).agg(F.sum(a).alias("left_total"), F.sum(b).alias("right_total"))
     both = (a > 0) & (b > 0)
-    share = F.least(a / F.col("left_total"), b / F.col("right_total"))
+    share = F.least(F.try_divide(a, F.col("left_total")), F.try_divide(b, F.col("right_total")))
     g = aligned.join(totals, keys).groupBy(*keys, "left_total", "right_total").agg(
         F.count(F.lit(1)).alias("buckets"), F.corr(a, b).alias("pearson"),
-        (F.sum(a * b) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("cosine"), F.sum(share).alias("overlap"),
-        (F.sum(F.when(both, a)) / F.sum(F.when(both, b))).alias("matched_ratio"),
+        F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("cosine"), F.sum(share).alias("overlap"),
+        F.try_divide(F.sum(F.when(both, a)), F.sum(F.when(both, b))).alias("matched_ratio"),
     )
-    return g.withColumn("total_ratio", F.col("left_total") / F.col("right_total"))
+    return g.withColumn("total_ratio", F.try_divide(F.col("left_total"), F.col("right_total")))
 
 
 def bucket_jaccard(maps: DataFrame, group: list[str]) -> DataFrame:
@@ -177,7 +177,7 @@ def bucket_jaccard(maps: DataFrame, group: list[str]) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         d = prices.withColumnRenamed("provider", name).join(pairs, [*group, name])
-        return d.select(*group, "left", "right", F.bround(F.col("price_level") / F.col("step")).alias("_b"), F.lit(name).alias("_s")).distinct()
+        return d.select(*group, "left", "right", F.bround(F.try_divide(F.col("price_level"), F.col("step"))).alias("_b"), F.lit(name).alias("_s")).distinct()
 
     cells = side("left").unionByName(side("right")).groupBy(*group, "left", "right", "_b").agg(F.count(F.lit(1)).alias("_n"))
     return cells.groupBy(*group, "left", "right").agg((F.count_if(F.col("_n") == 2) / F.count(F.lit(1))).alias("jaccard"))
@@ -235,7 +235,7 @@ def resampled_pairs(shapes: DataFrame, group: list[str], points: int = GRID_POIN
         back = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         ahead = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
         d = known.unionByName(asked).withColumn("_a", back).withColumn("_b", ahead).filter("i IS NOT NULL")
-        t = (F.col("x") - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+        t = F.try_divide(F.col("x") - F.col("_a.x"), F.col("_b.x") - F.col("_a.x"))
 
         def between(c: str) -> Column:
             inner = F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * t
@@ -255,8 +255,8 @@ def shape_metrics(resampled: DataFrame, keys: list[str]) -> DataFrame:
     mask = (F.col("a") > 0) | (F.col("b") > 0)
     d = d.withColumn("_ma", F.when(mask, F.col("a"))).withColumn("_mb", F.when(mask, F.col("b")))
     run = w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    fa = F.sum("_ma").over(run) / F.sum("_ma").over(w)
-    fb = F.sum("_mb").over(run) / F.sum("_mb").over(w)
+    fa = F.try_divide(F.sum("_ma").over(run), F.sum("_ma").over(w))
+    fb = F.try_divide(F.sum("_mb").over(run), F.sum("_mb").over(w))
     # The distance integrates between neighbouring unmasked points.
     nxt = F.min(F.when(mask, F.col("x"))).over(w.orderBy("i").rowsBetween(1, Window.unboundedFollowing))
     d = d.withColumn("_w", F.when(mask, F.abs(fa - fb) * (nxt - F.col("x"))))
@@ -481,7 +481,7 @@ def anchor_alignment(metrics: DataFrame, group: list[str], anchor: str) -> DataF
     )
     t = mine.select(
         *group, "scenario", F.when(is_left, F.col("right")).otherwise(F.col("left")).alias("vendor"), score.alias("shape_score"),
-        F.when(is_left, F.col("right_total") / F.col("left_total")).otherwise(F.col("left_total") / F.col("right_total")).alias("scale_factor"),
+        F.when(is_left, F.try_divide(F.col("right_total"), F.col("left_total"))).otherwise(F.try_divide(F.col("left_total"), F.col("right_total"))).alias("scale_factor"),
     )
     best = t.groupBy(*group, "scenario").agg(F.max_by("vendor", F.struct("shape_score", "vendor")).alias("best_vendor"))
     return t.join(best, [*group, "scenario"])

@@ -67,7 +67,7 @@ def map_features(levels: DataFrame, keys: list[str], mark: str) -> DataFrame:
             F.coalesce(
                 F.min_by("price_level", F.when(live, F.struct(gap, "price_level"))), F.lit(0.0)
             ).alias(f"nearest_{side}"),
-            F.coalesce(F.min(F.when(live, gap / F.col(mark))), F.lit(1.0)).alias(f"{side}_distance"),
+            F.coalesce(F.min(F.when(live, F.try_divide(gap, F.col(mark)))), F.lit(1.0)).alias(f"{side}_distance"),
             F.coalesce(
                 F.max_by("price_level", F.when(live, F.struct("volume", -F.col("price_level")))), F.lit(0.0)
             ).alias(f"top_{side}"),

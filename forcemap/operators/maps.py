@@ -53,7 +53,7 @@ def trade_map(
     else:
         rows = large.groupBy("symbol", "ts", "price", "gross_value", "side").agg(F.count(F.lit(1)).alias("_copies"))
     risky = _at_risk(attach(rows, marks, "symbol"), leverages, BASE_MAINTENANCE_RATE)
-    share = F.col("gross_value") / F.size("_risk")
+    share = F.try_divide(F.col("gross_value"), F.size("_risk"))
     return (
         risky.select("symbol", "side", "_copies", share.alias("_volume"), F.explode("_risk").alias("_r"))
         .groupBy("symbol", C.floor_bin("_r.liq", width).alias("price_bucket"), F.col("_r.leverage").alias("leverage"), "side")
@@ -115,7 +115,7 @@ def interest_distribution(
     return (
         shape.join(totals, key)
         .join(latest, key)
-        .withColumn("oi_at_price", F.col("volume_at_price") * F.col("latest_oi") / F.col("_total"))
+        .withColumn("oi_at_price", F.try_divide(F.col("volume_at_price") * F.col("latest_oi"), F.col("_total")))
         .drop("_total")
     )
 

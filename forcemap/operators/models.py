@@ -20,7 +20,7 @@ def _bell(df: DataFrame, start: Column, end: Column, centre: Column, spread: Col
 
     def cell(i: Column) -> Column:
         entry = F.col("_start") + i * step
-        z = (entry - F.col("_centre")) / F.col("_spread")
+        z = F.try_divide(entry - F.col("_centre"), F.col("_spread"))
         return F.struct(i.alias("bin"), entry.alias("entry"), F.exp(F.lit(-0.5) * z * z).alias("w"))
 
     cells = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), cell)
@@ -31,7 +31,7 @@ def _bell(df: DataFrame, start: Column, end: Column, centre: Column, spread: Col
         .withColumn("_c", F.explode("_cells"))
         .withColumn("bin", F.col("_c.bin"))
         .withColumn("entry", F.col("_c.entry"))
-        .withColumn("weight", F.col("_c.w") / F.col("_total"))
+        .withColumn("weight", F.try_divide(F.col("_c.w"), F.col("_total")))
         .drop("_start", "_end", "_centre", "_spread", "_cells", "_total", "_c")
     )
 
@@ -58,7 +58,7 @@ def gaussian_levels(inputs: DataFrame, bins: int = 50, leverages=LEVERAGES) -> D
     long, m = F.col("side") == "long", F.col("mark")
     inverse = F.lit(1.0) / F.col("leverage")
     factor = F.when(long, 1.0 - inverse + F.col("rate")).otherwise(1.0 + inverse - F.col("rate"))
-    d = d.withColumn("_f", factor).withColumn("_edge", m / F.col("_f"))
+    d = d.withColumn("_f", factor).withColumn("_edge", F.try_divide(m, F.col("_f")))
     edge = F.col("_edge")
     lo = F.when(long, F.when(F.col("_f") < 1, m * 1.01).otherwise(edge * 0.85)).otherwise(edge * 1.01)
     hi = F.when(long, F.when(F.col("_f") < 1, F.least(m * 1.15, edge * 0.99)).otherwise(edge * 0.99)).otherwise(
@@ -150,13 +150,13 @@ def ensemble(levels: DataFrame, members: tuple[str, ...], weights: dict[str, flo
     w = F.col("_w")
     keys = ["symbol", "leverage", "side"]
     grouped = levels.withColumn("_w", given).groupBy(*keys).agg(
-        (F.sum(w * F.col("price_level")) / F.sum(w)).alias("price_level"),
+        F.try_divide(F.sum(w * F.col("price_level")), F.sum(w)).alias("price_level"),
         F.sum(w * F.col("volume")).alias("volume"),
         F.avg("price_level").alias("_mean"),
         F.min("price_level").alias("_min"),
         F.max("price_level").alias("_max"),
     )
-    stray = F.greatest(F.col("_max") - F.col("_mean"), F.col("_mean") - F.col("_min")) / F.col("_mean")
+    stray = F.try_divide(F.greatest(F.col("_max") - F.col("_mean"), F.col("_mean") - F.col("_min")), F.col("_mean"))
     disagreement = F.when(F.col("_mean") > 0, stray).otherwise(0.0)
     return grouped.select(
         *keys, "price_level", "volume", disagreement.alias("disagreement"),
@@ -169,7 +169,7 @@ def side_by_side(levels: DataFrame) -> DataFrame:
     return levels.groupBy("symbol", "model").agg(
         F.count(F.lit(1)).alias("levels"),
         F.sum("volume").alias("volume"),
-        (F.sum(F.col("price_level") * F.col("volume")) / F.sum("volume")).alias("mean_price"),
+        F.try_divide(F.sum(F.col("price_level") * F.col("volume")), F.sum("volume")).alias("mean_price"),
         F.min("price_level").alias("low"),
         F.max("price_level").alias("high"),
         F.max("confidence").alias("confidence"),

@@ -45,7 +45,7 @@ def concentration_score(target: Column, total: Column, power: float, penalty: Co
 
 def intensity_score(notional: Column, liq: Column, mark: Column, floor: float) -> Column:
     """Notional over the relative distance to liquidation, with a floor on the distance."""
-    return notional / F.greatest(F.abs(liq - mark) / mark, F.lit(floor))
+    return notional / F.greatest(F.try_divide(F.abs(liq - mark), mark), F.lit(floor))
 
 
 def select_trades(trades: DataFrame, mode: str, by: str, order: list[Column], threshold: float) -> DataFrame:

@@ -40,7 +40,7 @@ def extract_observations(artifacts: DataFrame) -> DataFrame:
 
     rows = explode_sides(artifacts.withColumn("_long", largest("long")).withColumn("_short", largest("short")))
     top = F.when(F.col("side") == "long", F.col("_long")).otherwise(F.col("_short"))
-    gap = F.abs(F.col("bucket") - F.col("reference_price")) / F.col("reference_price") * 10000
+    gap = F.try_divide(F.abs(F.col("bucket") - F.col("reference_price")), F.col("reference_price")) * 10000
     return rows.select(
         identifiers.observation_id("expert", "symbol", "snapshot_ts", "bucket", "side").alias("obs_id"),
         "expert", "symbol", "snapshot_ts", "reference_price", F.col("bucket").alias("level_price"), "side",
@@ -119,7 +119,7 @@ def path(
     down = F.greatest(F.lit(0.0), F.col("level_price") - F.col("low"))
 
     def bps(move: Column) -> Column:
-        return F.bround(move / F.col("level_price") * 10000).cast("long")
+        return F.bround(F.try_divide(move, F.col("level_price")) * 10000).cast("long")
 
     long = F.col("side") == "long"
     return (

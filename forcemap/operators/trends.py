@@ -155,7 +155,7 @@ def outliers(df: DataFrame, keys: list[str], value: str, threshold: float, popul
     """Rows whose z-score exceeds ``threshold``; a key without spread has none."""
     sd = F.stddev_pop if population else F.stddev_samp
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), sd(value).alias("_sd"))
-    z = (F.col(value) - F.col("_mean")) / F.col("_sd")
+    z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
     return (
         attach(df, stats, keys).filter(F.col("_sd") > 0).withColumn("z", z).filter(F.abs("z") > threshold).drop("_mean", "_sd")
     )
@@ -219,7 +219,7 @@ def correlation_test(df: DataFrame, keys: list[str], x: str, y: str, least: floa
 
 def conservation_test(df: DataFrame, keys: list[str], estimated: str, actual: str) -> DataFrame:
     """Mean absolute error in percent, score 100 - 10 e, passed up to one percent."""
-    error = F.avg(F.abs((F.col(estimated) - F.col(actual)) / F.col(actual)) * 100)
+    error = F.avg(F.abs(F.try_divide(F.col(estimated) - F.col(actual), F.col(actual))) * 100)
     e = F.col("error_pct")
     return (
         df.groupBy(*keys)
@@ -346,7 +346,7 @@ def degradation(runs: DataFrame, keys: list[str], ts: str, now: Column, lookback
     recent = F.col(ts) >= now - F.expr(f"INTERVAL {lookback_days} DAYS")
 
     def share(g: str, when: Column) -> Column:
-        return F.count_if(when & (F.col(grade) == g)) / F.count_if(when) * 100
+        return F.try_divide(F.count_if(when & (F.col(grade) == g)), F.count_if(when)) * 100
 
     b, r, d = F.col("baseline_avg"), F.col("recent_avg"), F.col("degradation_pct")
     a_drop = F.col("baseline_a") - F.col("recent_a") > 20
@@ -378,7 +378,7 @@ def run_summary(runs: DataFrame, keys: list[str], ts: str, tie: str, score: str,
             (F.count_if(F.col(grade).isin("A", "B")) / F.count(F.lit(1)) * 100).alias("pass_rate"),
             F.count_if(recent).alias("recent_runs"), F.coalesce(F.avg(F.when(recent, F.col(score))), F.lit(0.0)).alias("recent_avg"),
             (F.count_if(F.col("status") == "completed") / F.count(F.lit(1)) * 100).alias("completion_rate"),
-            (F.stddev_pop(score) / F.avg(score)).alias("variation"),
+            F.try_divide(F.stddev_pop(score), F.avg(score)).alias("variation"),
         )
         .join(streak, keys)
     )

@@ -310,7 +310,7 @@ def record_checks(v):
 )
 def score_labels(v):
     d = v.signals.join(v.tick_marks, "symbol").withColumn(
-        "bps", F.bround(F.abs(F.col("level_price") - F.col("mark")) / F.col("mark") * 10000).cast("long")
+        "bps", F.bround(F.try_divide(F.abs(F.col("level_price") - F.col("mark")), F.col("mark")) * 10000).cast("long")
     )
     learned = F.array(*[F.lit(x) for x in (0, 2000, 5000, 9000, 10**9)])
     return d.select(

@@ -56,7 +56,7 @@ _DIST = f"""{_PATH},
 def measured(v):
     """Signals with their distance to the mark and all outcomes."""
     obs = v.signals.join(v.tick_marks, "symbol").withColumn(
-        "distance_bps", F.bround(F.abs(F.col("level_price") - F.col("mark")) / F.col("mark") * 10000).cast("long")
+        "distance_bps", F.bround(F.try_divide(F.abs(F.col("level_price") - F.col("mark")), F.col("mark")) * 10000).cast("long")
     )
     t = staged(scorecard.touch(obs.drop("mark", "last_ts"), v.ticks), "touch")
     return scorecard.path(scorecard.confirm(t, v.forced), v.ticks)
@@ -88,7 +88,7 @@ METRIC_COLUMNS = {"mfe_bps": "mfe", "mae_bps": "mae", "time_to_touch_secs": "tim
 )
 def full_scorecard(v):
     obs = v.signals.join(v.tick_marks, "symbol").withColumn(
-        "distance_bps", F.bround(F.abs(F.col("level_price") - F.col("mark")) / F.col("mark") * 10000).cast("long")
+        "distance_bps", F.bround(F.try_divide(F.abs(F.col("level_price") - F.col("mark")), F.col("mark")) * 10000).cast("long")
     )
     return scorecard.scorecard(obs.drop("mark", "last_ts"), v.ticks, v.forced)
 
@@ -205,7 +205,7 @@ def volatility_regimes(v):
 @query("C2_adaptive")
 def adaptive_run(v):
     obs = v.signals.join(v.tick_marks, "symbol").withColumn(
-        "distance_bps", F.bround(F.abs(F.col("level_price") - F.col("mark")) / F.col("mark") * 10000).cast("long")
+        "distance_bps", F.bround(F.try_divide(F.abs(F.col("level_price") - F.col("mark")), F.col("mark")) * 10000).cast("long")
     )
     sliced = adaptive.adaptive_scorecard(obs.drop("mark", "last_ts"), v.ticks.withColumn("volume", F.expr("nullif(volume, 0)")), v.forced)
     keys = [*scorecard.SLICE, "slice_id"]
