@@ -391,7 +391,7 @@ def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def compare_models(latest: DataFrame, passes: DataFrame, group: list[str], threshold: float = 2.0) -> DataFrame:
-    """Rank, distance to the best, spread statistics, outlier flag and recommendation per model.
+    """Rank, distance to the best, spread statistics, outlier flag and the recommended model with its basis.
 
     ``latest`` has one row per (group, model); models are few, so the windows are small.
     """
@@ -408,8 +408,12 @@ def compare_models(latest: DataFrame, passes: DataFrame, group: list[str], thres
         .withColumn("_n", F.count(F.lit(1)).over(w))
     )
     z = F.when(sd > 0, (F.col("score") - F.col("_mean")) / sd).otherwise(0.0)
-    return d.withColumn("outlier", (n >= 3) & (F.abs(z) > threshold)).withColumn(
-        "recommended", (F.col("rank") == 1) & (F.col("grade") == "A") & F.col("all_passed")
+    return d.withColumn("outlier", (n >= 3) & (F.abs(z) > threshold)).withColumn("recommended", F.col("rank") == 1).withColumn(
+        "basis",
+        F.when(
+            F.col("recommended"),
+            C.case([((F.col("grade") == "A") & F.col("all_passed"), "score, grade and tests"), (F.col("grade") == "A", "score and grade")], "score"),
+        ),
     ).drop("_mean", "_n")
 
 

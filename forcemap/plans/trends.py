@@ -258,14 +258,14 @@ def summaries(v):
         j AS (SELECT l.*, all_passed, {GRADE} AS grade, row_number() OVER (PARTITION BY l.test ORDER BY score DESC, l.model) AS rank, score - max(score) OVER (PARTITION BY l.test) AS delta,
                      stddev_pop(score) OVER (PARTITION BY l.test) AS sd, avg(score) OVER (PARTITION BY l.test) AS m, median(score) OVER (PARTITION BY l.test) AS median
               FROM l JOIN p ON l.test = p.test AND l.model = p.model)
-        SELECT test, model, score, grade, rank::BIGINT AS rank, delta, round(sd, 8) AS std_dev, median, abs((score - m) / sd) > 2 AS outlier, rank = 1 AND grade = 'A' AND all_passed AS recommended FROM j""",
+        SELECT test, model, score, grade, rank::BIGINT AS rank, delta, round(sd, 8) AS std_dev, median, abs((score - m) / sd) > 2 AS outlier, rank = 1 AS recommended, CASE WHEN rank > 1 THEN NULL WHEN grade = 'A' AND all_passed THEN 'score, grade and tests' WHEN grade = 'A' THEN 'score and grade' ELSE 'score' END AS basis FROM j""",
 )
 def model_ranking(v):
     done = graded(v).filter("status = 'completed'").select("test", "model", "score", "grade", "run_ts", "run_id")
     latest = trends.latest_per(done, ["test", "model"], ["run_ts", "run_id"])
     passes = v.runs.groupBy("test", "model").agg(F.bool_and(F.col("score") >= 0.25).alias("all_passed"))
     return trends.compare_models(latest, passes, ["test"]).select(
-        "test", "model", "score", "grade", F.col("rank").cast("long").alias("rank"), "delta", F.round("std_dev", 8).alias("std_dev"), "median", "outlier", "recommended"
+        "test", "model", "score", "grade", F.col("rank").cast("long").alias("rank"), "delta", F.round("std_dev", 8).alias("std_dev"), "median", "outlier", "recommended", "basis"
     )
 
 
