@@ -83,7 +83,7 @@ def select_portion(trades: DataFrame, by: list[str], value: str, tie: list[str],
     return sure.unionByName(edge.drop("_i")).drop("_neg", "_cut", "_left")
 
 
-def selection_scores(levels: DataFrame, power: float = 1.5, penalty: float = 0.1, floor: float = 0.0025) -> DataFrame:
+def selection_scores(levels: DataFrame, power: float = 2.0, penalty: float = 0.2, floor: float = 0.0025) -> DataFrame:
     """Concentration, liquidation-intensity and risk-first score per account.
 
     Needs notional, mark, liq_px and the exposure profile. Levels without a positive price have no
@@ -123,8 +123,7 @@ def variant_picks(scored: DataFrame, pool: DataFrame, n: int) -> dict[str, DataF
     }
 
 
-def top_signals(zones: DataFrame, key: str, volume: str, tie: list[Column], n: int) -> DataFrame:
-    """Largest zones per symbol with confidence relative to the largest."""
-    top = top_per_group(zones, [key], [F.desc(volume), *tie], n)
-    most = F.max(volume).over(Window.partitionBy(key))
-    return top.withColumn("confidence", F.col(volume) / most).drop("rank")
+def top_signals(zones: DataFrame, key: str, price: str, intensity: str, tie: list[Column], n: int) -> DataFrame:
+    """The ``n`` most intense zones per symbol as signals; those without a positive price are then dropped."""
+    top = top_per_group(zones, [key], [F.desc(intensity), *tie], n)
+    return top.filter(F.col(price) > 0).withColumn("confidence", F.col(intensity)).drop("rank")

@@ -466,7 +466,7 @@ def quota_levels(v):
 
 _SCORES = f"""{_CROSS},
     pf AS (SELECT account, sum(CASE WHEN coin = '1-URGENT' THEN notional ELSE 0 END) AS tn, sum(CASE WHEN coin <> '1-URGENT' THEN notional ELSE 0 END) AS onn, sum(notional) AS total, count(*) AS pc FROM marked WHERE size <> 0 GROUP BY account),
-    sc AS (SELECT p.account, p.size, p.mark, p.notional, liq_px, tn * pow(tn / total, 1.5) / (1 + 0.1 * greatest(pc - 1, 0)) AS conc, CASE WHEN liq_px > 0 THEN p.notional / greatest(abs(liq_px - mark) / mark, 0.0025) END AS intensity,
+    sc AS (SELECT p.account, p.size, p.mark, p.notional, liq_px, tn * pow(tn / total, 2) / (1 + 0.2 * greatest(pc - 1, 0)) AS conc, CASE WHEN liq_px > 0 THEN p.notional / greatest(abs(liq_px - mark) / mark, 0.0025) END AS intensity,
                   CASE WHEN liq_px > 0 AND tn > 0 THEN tn / greatest(abs(mark - liq_px) / greatest(mark, 1), 0.0025) * (1 + onn / greatest(tn, 1)) * (1 + 0.05 * greatest(pc - 1, 0)) END AS risk
            FROM cross_px p JOIN pf USING (account) WHERE p.coin = '1-URGENT' AND p.size <> 0)"""
 
@@ -488,12 +488,14 @@ def scores(v):
 
 @query(
     "K4",
-    """WITH z AS (SELECT symbol, side, price_level, sum(volume) AS v FROM levels WHERE price_level > 0 GROUP BY ALL)
-       SELECT symbol, side, price_level, v AS volume, v / max(v) OVER (PARTITION BY symbol) AS confidence FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY v DESC, price_level, side) <= 10""",
+    """WITH z AS (SELECT symbol, side, price_level, sum(volume) / 100000 AS v FROM levels GROUP BY ALL),
+       t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, price_level, side) AS r FROM z)
+       SELECT symbol, side, price_level, v AS confidence FROM t WHERE r <= 10 AND price_level > 0""",
 )
 def top_signals(v):
-    z = v.levels.filter("price_level > 0").groupBy("symbol", "side", "price_level").agg(F.sum("volume").alias("volume"))
-    return ranking.top_signals(z, "symbol", "volume", [F.asc("price_level"), F.asc("side")], 10)
+    z = v.levels.groupBy("symbol", "side", "price_level").agg((F.sum("volume") / 100000).alias("intensity"))
+    s = ranking.top_signals(z, "symbol", "price_level", "intensity", [F.asc("price_level"), F.asc("side")], 10)
+    return s.select("symbol", "side", "price_level", "confidence")
 
 
 @query(
