@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from forcemap.llm.components import components
 from forcemap.session import staged
@@ -52,7 +53,7 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import numpy as np
 
