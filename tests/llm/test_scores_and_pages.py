@@ -149,6 +149,17 @@ def test_url_models_separate_unseen_urls():
     assert all(urls.ratio(t, a, b) > 0 for t in good[300:]) and all(urls.ratio(t, a, b) < 0 for t in bad[300:])
 
 
+def test_unwanted_hosts_are_blocked_and_others_left(spark):
+    """Where no rule decides."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    extra = spark.createDataFrame([(-1, "https://bets-casino.example.org/en/5"), (-2, "https://slots-poker.example.net/de/6")], "page_id long, url string")
+    rows = [r for r in urls.judge(pages.union(extra)).collect() if r["rule"] is None]
+    bad = {"casino", "bets", "pills", "adult", "spam", "ads", "slots", "poker"}
+    blocked = [r["verdict"] == "block" for r in rows if bad & set(r["host"].replace("-", ".").split("."))]
+    clean = [r["verdict"] == "block" for r in rows if not bad & set(r["host"].replace("-", ".").split("."))]
+    assert len(blocked) > 20 and np.mean(blocked) > 0.95 and len(clean) > 500 and np.mean(clean) < 0.01
+
+
 def test_url_probabilities_sum_to_at_most_one():
     m = urls.train_model(["ab", "abc", "b"])
     total = sum(np.exp(urls.log_likelihood(t, m)) for t in ["", "a", "b", "c", "ab", "ba", "bb", "abc", "abb"])
