@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forcemap.session import staged
+
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
 
@@ -238,8 +240,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(url_col).alias("host")
     )
-    # One row per host with a list bounded by the share; a host with very many pages is split by adaptive execution.
-    joined = rows.join(recurring(rows, least_pages, least_share), "host", "left").select("page_id", "url", "html", "templates")
+    # One row per host with a list bounded by the share, written out: the join then has plain exchanges on both sides,
+    # and adaptive execution splits a host with very many pages.
+    joined = rows.join(staged(recurring(rows, least_pages, least_share), "templates"), "host", "left").select("page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
