@@ -98,16 +98,13 @@ def correlate(
     )
 
 
-def lookup_error(predictions: DataFrame, actuals: DataFrame, keys: list[str], recent: int = 100) -> DataFrame:
-    """Mean absolute percentage error of the first prediction per (leverage, side) on recent actuals.
+def lookup_error(predictions: DataFrame, actuals: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean absolute percentage error of the first prediction per (leverage, side) on all actuals.
 
-    ``predictions`` has an ``ord`` column that says which one is first; the ``recent`` newest actuals
-    per key are scored, ties by ``event_id``.
+    ``predictions`` has an ``ord`` column that says which one is first.
     """
     first = predictions.groupBy(*keys, "leverage", "side").agg(F.min_by("price_level", "ord").alias("predicted"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("event_ts"), "event_id"))
-    scored = actuals.withColumn("_rank", rank).filter(F.col("_rank") <= recent).join(first, [*keys, "leverage", "side"], "left")
-    return mape(scored, keys, "predicted", "event_price")
+    return mape(actuals.join(first, [*keys, "leverage", "side"], "left"), keys, "predicted", "event_price")
 
 
 def mape(scored: DataFrame, keys: list[str], predicted: str, actual: str) -> DataFrame:

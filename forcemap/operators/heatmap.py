@@ -25,7 +25,7 @@ from forcemap.session import staged
 
 FANOUT = 64
 FLOOR = 0.01  # Fixed value: a level below this volume is dropped, on shrink candles only.
-REBASE = 1e-120  # The running factor restarts at one below this.
+REBASE = 1e-30  # The running factor restarts at one below this, in a new epoch.
 
 SEGMENTS = "symbol string, level long, side string, liq double, t_from int, t_to int, norm double, reason string"
 FACTORS = "symbol string, t int, factor double, created long, consumed long"
@@ -124,68 +124,69 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         if cross[k] > 0:
             leaves.setdefault(int(cross[k]), []).append(k)
 
-    factor, total = 1.0, 0.0  # Active volume is total x factor.
+    factor, total, epoch = 1.0, 0.0, 0  # Active volume is total x factor; an epoch ends where the factor restarts.
     norm = np.zeros(len(ids))
     since = np.zeros(len(ids), dtype="int64")
-    active = np.zeros(len(ids), dtype=bool)
+    live: set[int] = set()
     heap: list[tuple[float, int]] = []
     segments, factors = [], []
 
     def start(k: int, t: int, volume: float) -> None:
         nonlocal total
-        norm[k], since[k], active[k] = volume / factor, t, True
+        norm[k], since[k] = volume / factor, t
+        live.add(k)
         total += norm[k]
         heapq.heappush(heap, (norm[k], k))
 
     def stop(k: int, t: int, reason: str) -> None:
         nonlocal total
-        active[k] = False
-        total -= norm[k]
-        segments.append((symbol, int(ids[k]), side[k], liq[k], int(since[k]), t, norm[k], reason, 0.0, 0, 0, False))
+        live.discard(k)
+        total = total - norm[k] if live else 0.0
+        segments.append((symbol, int(ids[k]), side[k], liq[k], int(since[k]), t, norm[k], reason, 0.0, 0, 0, False, epoch))
 
     for k in opens.get(0, []):
         start(k, 0, v0[k])
     last = 0
     for t, delta in zip(candles["t"].to_numpy(), candles["volume"].to_numpy()):
         t = int(t)
-        gone = [k for k in leaves.get(t, []) if active[k]]
+        gone = [k for k in leaves.get(t, []) if k in live]
         for k in gone:
             stop(k, t, "consumed")
         new = opens.get(t, [])
         for k in new:
             start(k, t, v0[k])
-        if delta < 0 and active.any():
+        if delta < 0 and live:
             whole = max(total, 0.0) * factor
             if whole > 0:
                 ratio = min(-delta / whole, 1.0)
                 if ratio >= 1.0:
-                    for k in np.flatnonzero(active):
+                    for k in sorted(live):
                         stop(k, t, "closed")
-                    factor, total, heap = 1.0, 0.0, []
+                    factor, total, heap, epoch = 1.0, 0.0, [], epoch + 1
                 else:
                     factor *= 1.0 - ratio
                     while heap and heap[0][0] * factor < FLOOR:
                         n, k = heapq.heappop(heap)
-                        if active[k] and n == norm[k]:
+                        if k in live and n == norm[k]:
                             stop(k, t, "dropped")
                     if factor < REBASE:
-                        held = [(k, norm[k] * factor) for k in np.flatnonzero(active)]
+                        held = [(k, norm[k] * factor) for k in sorted(live)]
                         for k, _ in held:
                             stop(k, t, "rebased")
-                        factor, total, heap = 1.0, 0.0, []
+                        factor, total, heap, epoch = 1.0, 0.0, [], epoch + 1
                         for k, volume in held:
                             start(k, t, volume)
-        factors.append((symbol, 0, "", 0.0, t, 0, 0.0, "", factor, len(new), len(gone), True))
+        factors.append((symbol, 0, "", 0.0, t, 0, 0.0, "", factor, len(new), len(gone), True, epoch))
         last = t
-    for k in np.flatnonzero(active):
+    for k in sorted(live):
         stop(k, last + 1, "open")
-    names = ["symbol", "level", "side", "liq", "t_from", "t_to", "norm", "reason", "factor", "created", "consumed", "is_candle"]
+    names = ["symbol", "level", "side", "liq", "t_from", "t_to", "norm", "reason", "factor", "created", "consumed", "is_candle", "epoch"]
     return pd.DataFrame(segments + factors, columns=names)
 
 
 _FOLDED = (
     "symbol string, level long, side string, liq double, t_from int, t_to int, norm double, reason string, "
-    "factor double, created long, consumed long, is_candle boolean"
+    "factor double, created long, consumed long, is_candle boolean, epoch int"
 )
 
 
@@ -203,7 +204,7 @@ def evolve(candles: DataFrame, shares: dict[int, float] | None = None, carried:
         numbered.select("symbol", F.lit(True).alias("is_candle"), "t", F.coalesce("oi_delta", F.lit(0.0)).alias("volume")), allowMissingColumns=True
     )
     folded = staged(rows.groupBy("symbol").applyInPandas(_fold, _FOLDED), "folded")
-    segments = folded.filter("NOT is_candle").select("symbol", "level", "side", "liq", "t_from", "t_to", "norm", "reason")
+    segments = folded.filter("NOT is_candle").select("symbol", "level", "side", "liq", "t_from", "t_to", "norm", "reason", "epoch")
     factors = folded.filter("is_candle").select("symbol", F.col("t_from").alias("t"), "factor", "created", "consumed")
     return numbered, segments, factors
 
@@ -212,7 +213,8 @@ def snapshots(numbered: DataFrame, segments: DataFrame, factors: DataFrame, widt
     """Long and short density per (symbol, open_time, price bucket) with at least one active level.
 
     Openings and closings are summed per bucket and candle first; a bucket's running sum then holds
-    between two changes, so the rows written are the cells of the heatmap and nothing more.
+    between two changes, so the rows written are the cells of the heatmap and nothing more. Sums run within an
+    epoch of the factor: norms near its end are huge, and their rounding must not meet a factor that is one again.
     """
     lived = segments.filter("t_to > t_from")
     bucket = C.floor_bin("liq", width)
@@ -223,11 +225,11 @@ def snapshots(numbered: DataFrame, segments: DataFrame, factors: DataFrame, widt
         )
     )
     c = (
-        lived.select("symbol", "side", bucket.alias("price_bucket"), changes.alias("_c"))
-        .groupBy("symbol", "side", "price_bucket", "_c.t")
+        lived.select("symbol", "side", "epoch", bucket.alias("price_bucket"), changes.alias("_c"))
+        .groupBy("symbol", "side", "price_bucket", "epoch", "_c.t")
         .agg(F.sum("_c.d").alias("d"), F.sum("_c.n").alias("n"))
     )
-    w = Window.partitionBy("symbol", "side", "price_bucket").orderBy("t")
+    w = Window.partitionBy("symbol", "side", "price_bucket", "epoch").orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     run = c.select(
         "symbol", "side", "price_bucket", "t", F.sum("d").over(upto).alias("norm"), F.sum("n").over(upto).alias("n"), F.lead("t").over(w).alias("t_next")

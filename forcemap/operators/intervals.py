@@ -11,9 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A slot above this many right rows is dealt over as many salts as it holds thresholds.
 HOT_ROWS = 2_000_000
-MAX_HOT_SLOTS = 10_000
-MAX_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -65,18 +64,16 @@ def interval_join(
         r.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_SLOTS)
-        .select(*keys, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     l = (
-        l.join(F.broadcast(hot), keys, "left")
+        l.join(hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
     r = (
-        r.join(F.broadcast(hot), keys, "left")
+        r.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*right.columns), salts).cast("int"))
         .drop("_salts")
     )

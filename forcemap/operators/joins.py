@@ -1,24 +1,18 @@
-"""Size-checked joins and tier expansion."""
+"""Joins with reduced sides and tier expansion."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
 
-
-def attach(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
     """Join a raw-scale ``left`` with a reduced ``right``.
 
-    ``right`` is materialised once and counted; it is broadcast only if it is within ``max_rows``,
-    so ``left`` is not shuffled on a hot key. A larger ``right`` takes the ordinary shuffle join,
-    where adaptive execution splits skewed partitions.
+    No hint: adaptive execution broadcasts ``right`` if its measured bytes allow that, and otherwise splits the hot
+    partitions of a shuffle join.
     """
-    kept = right.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(kept), on, how)
-    return left.join(kept, on, how)
+    return left.join(right, on, how)
 
 
 def per_tier(df: DataFrame, shares: dict[int, float]) -> DataFrame:

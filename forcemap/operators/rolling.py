@@ -60,7 +60,7 @@ def moving_averages(df: DataFrame, keys: list[str], ts: str, value: str, length:
     """Simple and linearly weighted means over the last ``length`` rows; full frames only."""
     ramp = [float(i + 1) for i in range(length)]
     out = rolling(
-        df, keys, [ts], chunk, length, {"sma": mean_of(value), "wma": weighted_mean_of(value, ramp)}, hot_rows=None
+        df, keys, [ts], chunk, length, {"sma": mean_of(value), "wma": weighted_mean_of(value, ramp)}
     )
     return out.filter(F.col("_i") >= length).drop("_i")
 

@@ -1,8 +1,9 @@
 """Ordered prefix scans that never put a whole key into one task.
 
 A scan runs inside chunks of the order axis; the state each chunk starts from comes from a
-window over chunk summaries, which are small. Chunks that turn out hot are cut further at
-approximate quantiles of the order column. Cuts only move rows between tasks: results are exact.
+window over chunk summaries, which are small. A chunk with more rows than the threshold is cut
+into as many parts as it holds thresholds, at order tuples taken from a sample by hash, so rows
+that tie in the first column part too. Cuts only move rows between tasks: results are exact.
 """
 
 from __future__ import annotations
@@ -10,32 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A chunk above this many rows is split; at most MAX_HOT_CHUNKS split entries are broadcast.
+# A chunk above this many rows is split into parts of about as many.
 HOT_ROWS = 2_000_000
-MAX_HOT_CHUNKS = 10_000
-MAX_SPLITS = 64
+SAMPLES_PER_PART = 64
+CUTS_PER_BLOCK = 256
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: str, chunk: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def _cuts(d: DataFrame, keys: list[str], order: list[str], hot_rows: int) -> DataFrame:
+    """(keys, _chunk, _blocks) of the hot chunks: cut tuples in order, in blocks, for a search in two steps."""
+    every = max(1, hot_rows // SAMPLES_PER_PART)
+    slot = [*keys, "_chunk"]
+    hot = d.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*slot)
+    picked = d.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*slot, F.struct(*order).alias("_stamp"))
+    place = F.row_number().over(Window.partitionBy(*slot).orderBy("_stamp"))
+    cuts = picked.join(hot, slot, "left_semi").withColumn("_i", place).filter(F.col("_i") % max(1, hot_rows // every) == 0)
+    block = F.floor((F.col("_i") / max(1, hot_rows // every) - 1) / CUTS_PER_BLOCK)
+    blocks = cuts.groupBy(*slot, block.alias("_block")).agg(F.array_sort(F.collect_list("_stamp")).alias("_cuts"))
+    return blocks.groupBy(*slot).agg(F.array_sort(F.collect_list(F.struct("_block", "_cuts"))).alias("_blocks"))
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``_chunk`` and ``_part``: a coarse slice of the order axis and its cut when hot.
 
-    ``hot_rows=None`` skips the search for hot chunks, for inputs bounded by a grid or a calendar.
+    The cuts of hot chunks come by an ordinary join, whose form adaptive execution chooses by their size, and rows are
+    then dealt by chunk and part. ``hot_rows=None`` skips this, for inputs bounded by a grid or a calendar.
     """
     d = df.withColumn("_chunk", chunk)
     if hot_rows is None:
-        return d.withColumn("_part", F.lit(0))
-    marks = [i / MAX_SPLITS for i in range(1, MAX_SPLITS)]
-    hot = (
-        d.groupBy(*keys, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, marks, 1000).alias("_cuts"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_CHUNKS)
-        .drop("_n")
-    )
-    cut = d.join(F.broadcast(hot), [*keys, "_chunk"], "left")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return cut.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+        return d.withColumn("_part", F.lit(0).cast("long"))
+    cut = d.join(_cuts(d, keys, order, hot_rows), [*keys, "_chunk"], "left")
+    stamp = F.struct(*order)
+    whole = F.size(F.filter("_blocks", lambda b: b["_cuts"][0] < stamp))
+    below = F.size(F.filter(F.get("_blocks", whole - 1)["_cuts"], lambda c: c < stamp))
+    part = F.when(F.col("_blocks").isNull() | (whole == 0), 0).otherwise((whole - 1) * CUTS_PER_BLOCK + below)
+    return cut.withColumn("_part", part.cast("long")).drop("_blocks").repartition(*keys, "_chunk", "_part")
 
 
 def scan(
@@ -53,7 +62,7 @@ def scan(
     non-null value so far) and ``previous`` (value of the row before). ``order`` must be total when
     ties matter; ``chunk`` must rise with ``order[0]``. ``reverse`` scans from the end.
     """
-    d = with_chunks(df, keys, order[0], chunk, hot_rows)
+    d = with_chunks(df, keys, order, chunk, hot_rows)
     slot = [*keys, "_chunk", "_part"]
     stamp = F.struct(*order)
     newest = F.min_by if reverse else F.max_by

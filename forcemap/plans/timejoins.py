@@ -297,9 +297,9 @@ def _lookup_sql():
     from forcemap.plans.maps import _GAUSS
 
     return f"""{_GAUSS},
-    act AS (SELECT *, [5, 10, 25, 50, 100][event_id % 5 + 1] AS leverage, row_number() OVER (PARTITION BY symbol ORDER BY event_ts DESC, event_id) AS rk FROM forced),
+    act AS (SELECT *, [5, 10, 25, 50, 100][event_id % 5 + 1] AS leverage FROM forced),
     sc AS (SELECT a.symbol, a.event_price, s.price_level AS predicted FROM act a LEFT JOIN standard s
-           ON s.symbol = a.symbol AND s.leverage = a.leverage AND s.side = a.side AND s.bin = 0 WHERE rk <= 100)"""
+           ON s.symbol = a.symbol AND s.leverage = a.leverage AND s.side = a.side AND s.bin = 0)"""
 
 
 @query(

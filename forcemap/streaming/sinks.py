@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from forcemap.operators.tables import new_rows
@@ -94,45 +95,56 @@ def _spaced(alerts: DataFrame, last: DataFrame, cutoffs: DataFrame, cooldown_sec
     )
 
 
-def send_alerts(alerts: DataFrame, last: DataFrame, cooldown_seconds: int, daily_cap: int, max_rounds: int = 1000) -> DataFrame:
+def send_alerts(alerts: DataFrame, last: DataFrame, cooldown_seconds: int, daily_cap: int, used: DataFrame | None = None) -> DataFrame:
     """Alerts sent under a per-zone cooldown and a daily cap over all zones.
 
-    Alerts: alert_id, zone, ts; last: zone, last_ts. An alert the cap suppresses starts no cooldown, so a day's
-    cut-off can depend on the day before. All days are settled together and repeated until no cut-off moves;
-    after k rounds the first k days are final, and mostly two or three rounds settle everything.
+    Alerts: alert_id, zone, ts; last: zone, last_ts; used: day, n sent before (by earlier batches). An alert the cap
+    suppresses starts no cooldown, so a day's cut-off can depend on the day before. All days are settled together and
+    repeated until no cut-off moves; after k rounds the first k days are final, and mostly two or three rounds settle all.
     """
     alerts, last = staged(alerts, "alerts"), staged(last, "last")
-    cutoffs = alerts.sparkSession.createDataFrame([], "day string, cut_ts timestamp, cut_id long")
+    spark = alerts.sparkSession
+    used = spark.createDataFrame([], "day string, n long") if used is None else staged(used, "used")
+    # A day that is full already lets nothing pass: its cut-off lies before all alerts.
+    full = used.filter(F.col("n") >= daily_cap).select("day", F.timestamp_seconds(F.lit(-9_000_000_000)).alias("cut_ts"), F.lit(-1).cast("long").alias("cut_id"))
+    cutoffs = full
     in_day = Window.partitionBy("day").orderBy("ts", "alert_id")
-    for _ in range(max_rounds):
-        passed = _spaced(alerts, last, cutoffs, cooldown_seconds)
-        sent = staged(passed.withColumn("_r", F.row_number().over(in_day)).filter(F.col("_r") <= daily_cap), "sent")
-        at_cap = sent.filter(F.col("_r") == daily_cap).select("day", F.col("ts").alias("cut_ts"), F.col("alert_id").cast("long").alias("cut_id"))
-        moved = not (at_cap.exceptAll(cutoffs).isEmpty() and cutoffs.exceptAll(at_cap).isEmpty())
-        if not moved:
+    while True:
+        passed = _spaced(alerts, last, cutoffs, cooldown_seconds).join(used, "day", "left")
+        place = F.row_number().over(in_day) + F.coalesce("n", F.lit(0))
+        sent = staged(passed.withColumn("_r", place).filter(F.col("_r") <= daily_cap), "sent")
+        at_cap = sent.filter(F.col("_r") == daily_cap).select("day", F.col("ts").alias("cut_ts"), F.col("alert_id").cast("long").alias("cut_id")).union(full)
+        if at_cap.exceptAll(cutoffs).isEmpty() and cutoffs.exceptAll(at_cap).isEmpty():
             return sent.select(*alerts.columns)
         cutoffs = staged(at_cap, "cutoffs")
-    raise RuntimeError("daily cut-offs did not settle")
 
 
 def run_alerts(stream: DataFrame, cooldown_seconds: int, daily_cap: int, label: str = "alerts") -> DataFrame:
-    """Alert stream through ``send_alerts``; the sent table is the state of the next batch.
+    """Alert stream through ``send_alerts``; the sent table, partitioned by day, is the state of the next batch.
 
-    Batches must hold whole days in order for the cap to be exact.
+    The cap counts what earlier batches sent on a day, so any split of the time-ordered stream into batches sends the same.
+    A batch reads only the days that its cooldowns can reach back to.
     """
     spark = stream.sparkSession
     path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
-    schema = stream.schema
+    stored = StructType([*stream.schema.fields, StructField("day", StringType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sent = _table(batch.sparkSession, path, schema)
+        batch = batch.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+        reach = F.date_format(F.min("ts") - F.make_dt_interval(secs=F.lit(cooldown_seconds)), "yyyy-MM-dd")
+        first_day = batch.agg(reach).first()[0]
+        if first_day is None:
+            return
+        sent = _table(batch.sparkSession, path, stored).filter(F.col("day") >= first_day)
         last = sent.groupBy("zone").agg(F.max("ts").alias("last_ts"))
-        fresh = batch.join(sent.select("alert_id"), "alert_id", "left_anti").select(*batch.columns)
-        send_alerts(fresh, last, cooldown_seconds, daily_cap).select(*batch.columns).write.mode("append").parquet(path)
+        used = sent.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+        fresh = batch.join(sent.select("day", "alert_id"), ["day", "alert_id"], "left_anti").select(*stream.columns)
+        out = send_alerts(fresh, last, cooldown_seconds, daily_cap, used)
+        out.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("day").parquet(path)
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return _table(spark, path, schema)
+    return _table(spark, path, stored).drop("day")
 
 
 # ---- adaptive weights ----------------------------------------------------

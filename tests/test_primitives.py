@@ -48,6 +48,27 @@ def test_scan_matches_loop(spark, hot, reverse):
             prev = x
 
 
+def test_hot_chunks_split_without_a_ceiling(spark):
+    """One key at one instant, and more than ten thousand hot chunks: no part is above the threshold."""
+    one = spark.range(5000).select("id", F.lit("a").alias("k"), F.lit(T0).alias("ts"))
+    many = spark.range(12_000 * 7).select("id", F.lit("a").alias("k"), F.timestamp_seconds(F.floor(F.col("id") / 7) * 600).alias("ts"))
+    for df, rows, parts in ((one, 5000, 1000), (many, 84_000, 24_000)):
+        cut = scans.with_chunks(df, ["k"], ["ts", "id"], scans.time_chunk("ts", 600), 5)
+        sizes = cut.groupBy("k", "_chunk", "_part").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+        got = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.col("b") - F.col("a")).alias("span")).first()
+        assert (got["most"], got["rows"], got["parts"], got["span"]) == (5, rows, parts, 4)
+    total = scans.scan(one.withColumn("x", F.lit(1)), ["k"], ["ts", "id"], scans.time_chunk("ts", 600), hot_rows=5, n=("sum", "x"))
+    assert total.filter("n <> id + 1").count() == 0 and total.count() == 5000
+
+
+def test_hot_slots_are_salted_without_a_ceiling(spark):
+    right = spark.range(3000).select(F.col("id").alias("rid"), F.lit("a").alias("k"), F.lit(T0).alias("ts"))
+    left = spark.createDataFrame([(1, "a", T0, T0)], "id long, k string, a timestamp, b timestamp")
+    joined = intervals.interval_join(left, right, ["k"], "a", "b", "ts", 300, hot_rows=5)
+    assert joined.count() == 3000
+    assert "explode(sequence(0, (coalesce(_salts" in joined._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("hot", [None, 5])
 @pytest.mark.parametrize("forward,strict", [(False, False), (False, True), (True, False), (True, True)])
 def test_asof(spark, hot, forward, strict):
