@@ -150,9 +150,7 @@ def jaccard(v):
     return X.bucket_jaccard(provider_map(v), ["symbol"])
 
 
-@query(
-    "A24",
-    f"""WITH {_JACCARD},
+_CALIBRATION = f"""{_JACCARD},
         bp AS (SELECT m.symbol, provider, side, price_level, sum(volume) AS v, any_value(CASE provider WHEN 'p1' THEN mark * 1.01e0 ELSE mark END) AS mark FROM provider_map m JOIN tick_marks USING (symbol) GROUP BY m.symbol, provider, side, price_level),
         f AS (SELECT symbol, provider, count(DISTINCT price_level) AS n, sum(CASE WHEN side = 'long' THEN v ELSE 0 END) AS tl, sum(CASE WHEN side <> 'long' THEN v ELSE 0 END) AS ts, coalesce(max(CASE WHEN side = 'long' THEN v END), 0) AS pl, coalesce(max(CASE WHEN side <> 'long' THEN v END), 0) AS ps, any_value(mark) AS price FROM bp GROUP BY ALL),
         g AS (SELECT a.symbol, a.provider, unnest(['bucket_count_proximity', 'long_short_total_ratio', 'long_short_peak_ratio', 'current_price_anchor', 'bucket_overlap']) AS metric,
@@ -160,7 +158,12 @@ def jaccard(v):
                              CASE WHEN abs(a.price - b.price) / greatest(b.price, 1) < 0.0005 THEN 0 ELSE abs(a.price - b.price) / greatest(b.price, 1) END, jaccard]) AS value
               FROM f a JOIN f b ON a.symbol = b.symbol AND b.provider = 'p0' JOIN jac ON jac.symbol = a.symbol AND jac."left" = 'p0' AND jac."right" = a.provider WHERE a.provider IN ('p1', 'p2')),
         x AS (SELECT b.symbol, b.metric, b.value AS baseline, c.value AS calibrated, CASE WHEN b.metric = 'bucket_overlap' THEN c.value - b.value ELSE b.value - c.value END AS gain FROM g b JOIN g c ON b.symbol = c.symbol AND b.metric = c.metric AND b.provider = 'p1' AND c.provider = 'p2'),
-        y AS (SELECT *, CASE WHEN baseline > 0 THEN gain / baseline WHEN metric = 'bucket_overlap' THEN CASE WHEN calibrated > 0 THEN 1 ELSE 0 END WHEN calibrated = 0 THEN 1 ELSE 0 END AS improvement FROM x)
+        y AS (SELECT *, CASE WHEN baseline > 0 THEN gain / baseline WHEN metric = 'bucket_overlap' THEN CASE WHEN calibrated > 0 THEN 1 ELSE 0 END WHEN calibrated = 0 THEN 1 ELSE 0 END AS improvement FROM x)"""
+
+
+@query(
+    "A24",
+    f"""WITH {_CALIBRATION}
         SELECT symbol, metric, round(baseline, 8) AS baseline, round(calibrated, 8) AS calibrated, round(improvement, 7) AS improvement,
                improvement >= CASE metric WHEN 'bucket_count_proximity' THEN 0.2 WHEN 'long_short_total_ratio' THEN 0.15 WHEN 'long_short_peak_ratio' THEN 0.15 ELSE 0.1 END AS passed, baseline > 0 AND -gain / baseline > 0.3 AS critical FROM y""",
 )
@@ -185,7 +188,12 @@ def _verdict(v):
     return X.calibration_verdict(gaps("p1"), gaps("p2"), ["symbol"])
 
 
-@query("A24_acceptance")
+@query(
+    "A24_acceptance",
+    f"""WITH {_CALIBRATION},
+        e AS (SELECT symbol, count(*) FILTER (improvement >= CASE metric WHEN 'bucket_count_proximity' THEN 0.2 WHEN 'long_short_total_ratio' THEN 0.15 WHEN 'long_short_peak_ratio' THEN 0.15 ELSE 0.1 END) AS improved, bool_or(coalesce(baseline > 0 AND -gain / baseline > 0.3, false)) AS critical FROM y GROUP BY symbol)
+        SELECT 'all' AS run, count(*) FILTER (improved >= 3) AS entries_passing, bool_or(critical) AS has_critical, count(*) FILTER (improved >= 3) >= 3 AND NOT bool_or(critical) AS accepted FROM e""",
+)
 def calibration_acceptance(v):
     entries = _verdict(v)[1]
     return X.acceptance(entries.withColumn("run", F.lit("all")), ["run"])
@@ -293,10 +301,13 @@ def payloads(v):
     return a.unionByName(b)
 
 
+_SCENARIOS = f"""{_COMMON}, {aligned_sql("provider_map", "a_")}, {aligned_sql("cm", "b_")}, {aligned_sql("provider_map", "c_", "2")}, {aligned_sql("cm", "d_", "2")},
+        u AS (SELECT 'raw' AS scenario, * FROM ({metrics_sql("a_al")}) UNION ALL SELECT 'common_tiers', * FROM ({metrics_sql("b_al")}) UNION ALL SELECT 'rebinned', * FROM ({metrics_sql("c_al")}) UNION ALL SELECT 'common_tiers_rebinned', * FROM ({metrics_sql("d_al")}))"""
+
+
 @query(
     "C8",
-    f"""WITH {_COMMON}, {aligned_sql("provider_map", "a_")}, {aligned_sql("cm", "b_")}, {aligned_sql("provider_map", "c_", "2")}, {aligned_sql("cm", "d_", "2")},
-        u AS (SELECT 'raw' AS scenario, * FROM ({metrics_sql("a_al")}) UNION ALL SELECT 'common_tiers', * FROM ({metrics_sql("b_al")}) UNION ALL SELECT 'rebinned', * FROM ({metrics_sql("c_al")}) UNION ALL SELECT 'common_tiers_rebinned', * FROM ({metrics_sql("d_al")}))
+    f"""WITH {_SCENARIOS}
         SELECT scenario, symbol, "left", "right", buckets, round(pearson, 8) AS pearson, round(cosine, 8) AS cosine, round(overlap, 8) AS overlap, round(matched, 8) AS matched_ratio, round(lt / rt, 8) AS total_ratio FROM u""",
 )
 def scenarios(v):
@@ -304,9 +315,16 @@ def scenarios(v):
     return m.select("scenario", "symbol", "left", "right", "buckets", *[F.round(c, 8).alias(c) for c in ("pearson", "cosine", "overlap", "matched_ratio", "total_ratio")])
 
 
-@query("C8_anchor")
+@query(
+    "C8_anchor",
+    f"""WITH {_SCENARIOS},
+        t AS (SELECT symbol, scenario, CASE WHEN "left" = 'p0' THEN "right" ELSE "left" END AS vendor, (coalesce(cosine, 0) + coalesce(overlap, 0)) / nullif((cosine IS NOT NULL)::INT + (overlap IS NOT NULL)::INT, 0) AS score,
+                     CASE WHEN "left" = 'p0' THEN rt / lt ELSE lt / rt END AS scale FROM u WHERE "left" = 'p0' OR "right" = 'p0')
+        SELECT symbol, scenario, vendor, round(score, 8) AS shape_score, round(scale, 8) AS scale_factor, first_value(vendor) OVER (PARTITION BY symbol, scenario ORDER BY score DESC, vendor DESC) AS best_vendor FROM t""",
+)
 def anchor(v):
-    return X.anchor_alignment(staged(X.scenario_metrics(provider_map(v), ["symbol"]), "scenarios"), ["symbol"], "p0")
+    t = X.anchor_alignment(staged(X.scenario_metrics(provider_map(v), ["symbol"]), "scenarios"), ["symbol"], "p0")
+    return t.withColumns({c: F.round(c, 8) for c in ("shape_score", "scale_factor")})
 
 
 def _coarse_sql(mults: list[int], cumulative: bool) -> str:
