@@ -356,15 +356,15 @@ def profile(v):
 
 @query(
     "S19",
-    """WITH f AS (SELECT DISTINCT event_type AS dataset, CAST(ts AS DATE) AS day FROM events WHERE value >= 60)
+    """WITH f AS (SELECT DISTINCT event_type AS dataset, CAST(ts AS DATE) AS day FROM events)
        SELECT dataset, count(*) FILTER (day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') AS days_present, strftime(max(day) FILTER (day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'), '%Y-%m-%d') AS latest_day,
               strftime(max(day) FILTER (day <= DATE '2024-01-05'), '%Y-%m-%d') AS anchor_day, 21 - count(*) FILTER (day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') AS days_missing FROM f GROUP BY dataset""",
 )
 def dataset_days(v):
     root = fresh_path(v.spark, "datasets")
-    sample = v.events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).filter("value >= 60")
+    days = v.events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     # The operator looks at file names only; each dataset and day that occurs becomes one folder.
-    sample.select(F.col("event_type").alias("dataset"), "day").distinct().withColumn("x", F.lit(1)).withColumn("d", F.col("dataset")).write.partitionBy("d", "day").parquet(root)
+    days.select(F.col("event_type").alias("dataset"), "day").distinct().withColumn("x", F.lit(1)).withColumn("d", F.col("dataset")).write.partitionBy("d", "day").parquet(root)
     f = files.list_files(v.spark, root).filter("day IS NOT NULL").withColumn("dataset", F.regexp_replace("dataset", "^d=", ""))
     c = tables.dataset_coverage(f, F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"))
     return c.select(
@@ -375,7 +375,7 @@ def dataset_days(v):
 @query(
     "H15",
     """WITH d AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events), q AS (SELECT symbol, day, ch AS channel, unnest(CASE ch WHEN 'standard' THEN ['klines', 'trades'] ELSE ['klines', 'trades', 'orderbook'] END) AS ic FROM d CROSS JOIN (SELECT unnest(['standard', 'depth_weighted']) AS ch)),
-       f AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, CASE user_id % 3 WHEN 0 THEN 'klines' WHEN 1 THEN 'trades' ELSE 'orderbook' END AS ic, min(CASE WHEN value < 8 THEN 0 WHEN value < 16 THEN 1 ELSE 2 END) AS rk FROM events WHERE value < 24 GROUP BY ALL),
+       f AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, CASE user_id % 3 WHEN 0 THEN 'klines' WHEN 1 THEN 'trades' ELSE 'orderbook' END AS ic, min(CASE WHEN value < 8 THEN 0 WHEN value < 16 THEN 1 ELSE 2 END) AS rk FROM events GROUP BY ALL),
        j AS (SELECT q.*, CASE WHEN q.ic = 'orderbook' AND q.day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN NULL ELSE rk END AS rk FROM q LEFT JOIN f ON f.symbol = q.symbol AND f.day = q.day AND f.ic = q.ic)
        SELECT symbol, strftime(day, '%Y-%m-%d') AS day, channel, count(*) AS required, count(*) FILTER (rk IS NULL) AS missing, CASE WHEN bool_or(rk IS NULL) THEN 'blocked_source_missing' WHEN bool_or(rk = 2) THEN 'blocked_source_unverified' ELSE 'available' END AS status FROM j GROUP BY ALL""",
 )
@@ -386,6 +386,6 @@ def ready(v):
     req = e.select("symbol", "day").distinct().select("symbol", "day", F.explode(need).alias("n")).select("symbol", "day", "n.*")
     kind = F.when(F.col("value") < 8, "catalog").when(F.col("value") < 16, "normalised").otherwise("raw")
     cls = F.element_at(F.array(*[F.lit(x) for x in deep]), (F.col("user_id") % 3 + 1).cast("int"))
-    listed = e.filter("value < 24").select("symbol", "day", cls.alias("input_class"), kind.alias("kind"))
+    listed = e.select("symbol", "day", cls.alias("input_class"), kind.alias("kind"))
     r = tables.readiness(req, listed, ("2024-01-10", "2024-01-12"))
     return r.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
