@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forcemap.operators.scans import asof
+
 # A slot above this many right rows is dealt over as many salts as it holds thresholds.
 HOT_ROWS = 2_000_000
 
@@ -135,19 +137,29 @@ def nearest(
     left: DataFrame, right: DataFrame, left_id: list[str], on: list[str], left_ts: str, right_ts: str,
     within_seconds: int, values: list[str],
 ) -> DataFrame:
-    """Nearest right row strictly within ``within_seconds``; the earlier row wins a tie. Left join."""
-    micros = within_seconds * 1_000_000 - 1
-    window = left.withColumn("_from", F.timestamp_micros(F.unix_micros(left_ts) - micros)).withColumn(
-        "_to", F.timestamp_micros(F.unix_micros(left_ts) + micros)
-    )
-    r = right.select(*on, F.col(right_ts).alias("_rts"), F.struct(*values).alias("_value"))
-    gap = F.abs(F.unix_micros("_rts") - F.unix_micros(left_ts))
+    """Nearest right row strictly within ``within_seconds``; the earlier row wins a tie. Left join.
+
+    Two as-of scans, one to each side, so nothing is paired that isn't a neighbour. Of right rows at one instant the
+    smallest values count.
+    """
+    r = right.groupBy(*on, F.col(right_ts).alias("_rts")).agg(F.min(F.struct(*values)).alias("_value")).filter("_rts IS NOT NULL")
+    r = r.select(*on, "_rts", F.struct("_rts", "_value").alias("_hit"))
+
+    def chunk(c: str) -> Column:
+        return _slot(F.col(c), max(3600, 8 * within_seconds))
+
+    ids = left.select(*dict.fromkeys([*left_id, *on, left_ts])).filter(F.col(left_ts).isNotNull())
+    before = asof(ids, r, on, left_ts, "_rts", ["_hit"], chunk).withColumnRenamed("_hit", "_before")
+    both = asof(before, r, on, left_ts, "_rts", ["_hit"], chunk, forward=True).withColumnRenamed("_hit", "_after")
+    back = F.unix_micros(left_ts) - F.unix_micros("_before._rts")
+    ahead = F.unix_micros("_after._rts") - F.unix_micros(left_ts)
+    limit = within_seconds * 1_000_000
     best = (
-        interval_join(window, r, on, "_from", "_to", "_rts", within_seconds)
-        .groupBy(*left_id)
-        .agg(F.min_by(F.struct("_rts", "_value"), F.struct(gap, "_rts")).alias("_best"))
+        F.when((back < limit) & (back <= F.coalesce(ahead, F.lit(limit))), F.col("_before"))
+        .when(ahead < limit, F.col("_after"))
     )
-    return left.join(best, left_id, "left").select(
+    found = both.select(*left_id, best.alias("_best")).filter("_best IS NOT NULL")
+    return left.join(found, left_id, "left").select(
         *left.columns,
         F.col("_best._rts").alias("matched_ts"),
         *[F.col(f"_best._value.{v}").alias(v) for v in values],

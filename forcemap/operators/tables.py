@@ -16,7 +16,7 @@ def new_rows(target: DataFrame, incoming: DataFrame, keys: list[str], tiebreak:
     """
     rest = [c for c in incoming.columns if c not in keys]
     first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*tiebreak)).alias("_r")).select(*keys, "_r.*")
-    return first.join(target.select(*keys).distinct(), keys, "left_anti").select(*incoming.columns)
+    return first.join(target.select(*keys), keys, "left_anti").select(*incoming.columns)
 
 
 def insert_or_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], tiebreak: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from forcemap.functions import columns as C
 from forcemap.functions import identifiers
-from forcemap.functions.constants import MAINTENANCE_TIERS
 from forcemap.operators import accounts, features, parsing
 from forcemap.plans.registry import query
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forcemap.functions import columns as C
-from forcemap.functions import identifiers
-from forcemap.operators import adaptive, bootstrap, cluster, quality, quantiles, scorecard
+from forcemap.operators import adaptive, bootstrap, cluster, quality, scorecard
 from forcemap.operators.distributions import to_distribution
 from forcemap.plans.registry import query
 from forcemap.plans.timejoins import _PATH, touched
@@ -125,16 +124,12 @@ def _exclusive_sql(i: str, k: str, x: str) -> str:
     "A9",
     f"""WITH x AS (SELECT symbol, list_sort(list(price)) AS x FROM ticks GROUP BY symbol),
         k AS (SELECT symbol, x, CASE WHEN len(x) < 800 THEN 1 ELSE least(5, len(x) // 400) END AS k FROM x)
-        SELECT symbol, len(x) AS n, k AS buckets, x[1] AS least, CASE WHEN k > 1 THEN round({_exclusive_sql("1", "k", "x")}, 8) END AS first_cut,
-               CASE WHEN k > 1 THEN round({_exclusive_sql("(k - 1)", "k", "x")}, 8) END AS last_cut, x[len(x)] AS most FROM k""",
+        SELECT symbol, len(x) AS n, k AS buckets, unnest(range(0, k + 1))::INT AS cut,
+               unnest(list_transform(range(0, k + 1), lambda i: CASE WHEN i = 0 THEN x[1] WHEN i = k THEN x[len(x)] ELSE round({_exclusive_sql("i", "k", "x")}, 8) END)) AS boundary FROM k""",
 )
 def learned_buckets(v):
     b = adaptive.equal_frequency(v.ticks, ["symbol"], "price", 5.0, 400)
-    e = F.col("boundaries")
-    return b.select(
-        "symbol", "n", F.col("buckets").cast("long").alias("buckets"), e[0].alias("least"), F.when(F.col("buckets") > 1, F.round(e[1], 8)).alias("first_cut"),
-        F.when(F.col("buckets") > 1, F.round(F.element_at(e, -2), 8)).alias("last_cut"), F.element_at(e, -1).alias("most"),
-    )
+    return b.select("symbol", "n", F.col("buckets").cast("long").alias("buckets"), F.posexplode("boundaries").alias("cut", "boundary")).withColumn("boundary", F.round("boundary", 8))
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forcemap.functions.columns import floor_time
-from forcemap.operators import resample, tables
+from forcemap.operators import tables
 from forcemap.operators.distributions import explode_sides, to_distribution
 from forcemap.plans.registry import query
 from forcemap.session import fresh_path, staged

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forcemap.functions.columns import finite
 
 DEC = "decimal(18,8)"
 WIDE = "decimal(20,8)"
@@ -191,18 +190,3 @@ def unzip_csv(archives: DataFrame, columns: list[str], content: str = "content")
                                 yield pd.read_csv(f, dtype=str).reindex(columns=columns)
 
     return archives.select(content).mapInPandas(members, ", ".join(f"{c} string" for c in columns))
-
-
-def read_archives(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    return unzip_csv(spark.read.format("binaryFile").load(path), columns)
-
-
-def provenance(df: DataFrame, label: str) -> DataFrame:
-    """Row count and an order-independent digest of all values."""
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest")).withColumn("input_class", F.lit(label))
-
-
-def only_finite(df: DataFrame, columns: list[str]) -> DataFrame:
-    for c in columns:
-        df = df.filter(finite(c))
-    return df

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forcemap.functions.columns import case
 
 CHAIN_TRADES = "struct<channel:string,data:array<struct<coin:string,px:string,sz:string,side:string,time:bigint,tid:bigint,liquidation:boolean>>>"
 
@@ -111,7 +110,3 @@ def shadow_positions(entries: DataFrame, exits: DataFrame, hold: str = "7 days",
     return a.join(b, (F.col("signal_id") == F.col("exit_id")) & within).select(
         "signal_id", "symbol", "side", "entry_price", "exit_price", "exit_ts", F.when(F.col("side") == "long", move).otherwise(-move).alias("pnl")
     )
-
-
-def side_code(code: Column, mapping: dict[str, str]) -> Column:
-    return case([(code == k, F.lit(v)) for k, v in mapping.items()])

@@ -1,6 +1,5 @@
 """Sequential rules against plain loops: heatmap, breaker, alerts, orders, clustering, solvers."""
 
-import json
 import math
 import os
 import random
