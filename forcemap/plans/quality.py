@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forcemap.operators import adaptive, quality, scorecard
 from forcemap.plans.registry import query
+from forcemap.plans.scorecards import _exclusive_sql
 from forcemap.plans.timejoins import _CONFIRM, touched
 from forcemap.session import staged
 
@@ -72,7 +73,13 @@ def contracts(v):
     return quality.violations(hurt, quality.observation_rules()).select("obs_id", "rule")
 
 
-@query("Q4_buckets", """SELECT symbol, 5 AS buckets, true AS ok FROM ticks GROUP BY symbol HAVING count(*) >= 200""")
+@query(
+    "Q4_buckets",
+    f"""WITH x AS (SELECT symbol, list_sort(list(price)) AS x FROM ticks GROUP BY symbol),
+        k AS (SELECT symbol, x, CASE WHEN len(x) < 80 THEN 1 ELSE least(5, len(x) // 40) END AS k FROM x),
+        b AS (SELECT symbol, k, list_transform(range(0, k + 1), lambda i: CASE WHEN i = 0 THEN x[1] WHEN i = k THEN x[len(x)] ELSE {_exclusive_sql("i", "k", "x")} END) AS b FROM k)
+        SELECT symbol, k::INT AS buckets, len(b) = k + 1 AND b = list_sort(b) AS ok FROM b""",
+)
 def bucket_contracts(v):
     b = adaptive.equal_frequency(v.ticks, ["symbol"], "price", 5.0, 40)
     bad = quality.violations(b, quality.boundary_rules()).select("symbol", "rule")
