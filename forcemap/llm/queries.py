@@ -38,7 +38,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": lambda spark, sf_dir: bpe.encode_decode(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken")),
 }
 
+def _secrets_sql() -> str:
+    """The scan in SQL: positions from the gaps between matches; entropy of every window by counting its characters."""
+    kinds = [("assign", secrets.ASSIGN, 2, 12), ("access", secrets.ACCESS, 0, 18), ("hex", secrets.HEX.replace("+", "{16,}"), 0, 16), ("entropy", secrets.CANDIDATE, 0, 0)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, p, 0) AS whole, regexp_extract_all(t, p, {group}) AS val, string_split_regex(t, p) AS gaps"
+        f" FROM (SELECT *, '{pattern.replace(chr(39), chr(39) * 2)}' AS p FROM d) WHERE regexp_matches(t, p)"
+        for i, (kind, pattern, group, least) in enumerate(kinds)
+    )
+    bits = f"""list_max(list_transform(range(1, length(val) - {secrets.WINDOW - 2}), lambda i: list_sum(list_transform(list_distinct(string_split(val[i:i + {secrets.WINDOW - 1}], '')),
+               lambda c: -len(list_filter(string_split(val[i:i + {secrets.WINDOW - 1}], ''), lambda x: x = c)) / {secrets.WINDOW}e0 * log2(len(list_filter(string_split(val[i:i + {secrets.WINDOW - 1}], ''), lambda x: x = c)) / {secrets.WINDOW}e0)))))"""
+    uuid = secrets.ALLOWED[2]
+    least = {k: v[3] for k, v in secrets.CLASSES.items()}
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({found}),
+        u AS (SELECT doc_id, ord, kind, least, unnest(list_transform(range(1, len(whole) + 1), lambda i: {{'i': i, 'val': val[i], 'n': length(whole[i]), 'gap': length(gaps[i])}})) AS x FROM f),
+        s AS MATERIALIZED (SELECT doc_id, ord, kind, least, x.val AS val, x.n AS n, sum(x.gap + x.n) OVER (PARTITION BY doc_id, ord ORDER BY x.i) AS stop FROM u),
+        b AS (SELECT doc_id, ord, kind, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM s WHERE ord < 3 AND length(val) >= least),
+        e AS (SELECT doc_id, ord, kind, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM s
+              WHERE ord = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '{uuid}')
+                AND CASE WHEN regexp_matches(val, '^[0-9a-fA-F]+$') THEN {bits} >= {least["hex"]} WHEN regexp_matches(val, '^[0-9a-z]+$') THEN {bits} >= {least["lower"]} ELSE {bits} >= {least["token"]} END),
+        a AS (SELECT * FROM b UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+        g AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+                     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM a GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_secrets": _secrets_sql(),
     "op5_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -5,11 +5,13 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from forcemap.llm import pii, secrets, tagger
 from forcemap.llm.common import running_starts
+from forcemap.llm.queries import ORACLES
 from pyspark.sql import functions as F
 from tests.llm.shapes import LONG, awkward, documents, empty
 
@@ -76,6 +78,16 @@ def test_secrets_equal_brute_force(spark):
     assert any("entropy" in got[i]["spans"] for i in got)
 
 
+def test_secrets_equal_sql(spark):
+    """Over the given texts and the awkward ones, which hold strings of high entropy."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(100_000 + i, t) for i, t in enumerate(secret_texts()) if len(t) < 10_000])
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    got = {tuple(r) for r in secrets.scan_secrets(documents(spark, rows)).collect()}
+    assert got == set(con.execute(ORACLES["op3_secrets"]).fetchall())
+
+
 def test_secrets_on_awkward_and_empty(spark):
     assert secrets.scan_secrets(awkward(spark)).count() == 10
     assert secrets.scan_secrets(empty(spark)).count() == 0
