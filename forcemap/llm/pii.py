@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches: the leftmost begins at the first digit of a run, so no run is tried from each of its digits.
+IP_SEARCH = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 AT = r"[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]"
 TRIGGER = re.compile(rf"[0-9@]+|{AT}")
 ADDED_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+\s?(?:@|{AT})\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[{{<]\s?(?:dot|DOT|\.)\s?[)\]}}>])\s?[A-Za-z0-9-]+)+")
@@ -67,7 +70,7 @@ def passes(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in found.split(".")))
     digits = _digits(found)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -93,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         out += [(s, 0, e) for s, e in _email_spans(text)]
     if re.search("[0-9]", text):
-        out += [(m.start(), 1, m.end()) for m in PATTERNS["ip"].finditer(text) if passes("ip", m[0])]
+        out += [(m.start(), 1, m.end()) for m in IP_SEARCH.finditer(text) if passes("ip", m[0])]
         out += [(m.start(), 2, m.end()) for m in PATTERNS["card"].finditer(text) if passes("card", m[0])]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in PATTERNS["phone"].finditer(text) if passes("phone", m[0])]
@@ -294,11 +297,13 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     out = []
     for text, proposed in zip(texts, tagged_spans(texts, model), strict=True):
         base = base_spans(text)
+        starts, reach = [b[0] for b in base], list(itertools.accumulate((b[2] for b in base), max))
         added = []
         for s, k, e in proposed:
             while e > s and (text[e - 1] in ".,;:!?-/" or text[e - 1].isspace()):
                 e -= 1
-            if e > s and _plausible(k, text[s:e]) and not any(b < e and s < f for b, _, f in base):
+            before = bisect.bisect_left(starts, e)  # base spans that begin before the end; the furthest of them decides
+            if e > s and _plausible(k, text[s:e]) and not (before and reach[before - 1] > s):
                 added.append((s, k, e))
         out.append((base, sorted(base + added)))
     return out
