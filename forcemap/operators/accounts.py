@@ -451,6 +451,15 @@ def margin_validation(marked: DataFrame, modes: DataFrame, reported: DataFrame)
     )
 
 
+def validation_by_mode(validated: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
+    """Accounts, how many deviate by at most the tolerance, and the mean deviation, per margin mode."""
+    good = F.count_if(F.col("deviation_pct") <= tolerance_pct)
+    return validated.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("accounts"), good.alias("within_tolerance"), (good / F.count(F.lit(1))).alias("tolerance_rate"),
+        F.avg("deviation_pct").alias("mean_deviation_pct"),
+    )
+
+
 # ---- portfolio margin ----------------------------------------------------
 
 # Portfolio-margin rules.

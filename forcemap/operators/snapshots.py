@@ -70,14 +70,15 @@ def collect_inputs(
     )
 
 
-def backfill_counts(inputs: DataFrame, key="symbol") -> DataFrame:
-    """Success, partial and gap counts of a back-fill over the grid."""
+def backfill_counts(snapshots: DataFrame, key="symbol") -> DataFrame:
+    """Success, partial, gap and failure counts of a back-fill, from the manifest status of every grid time."""
     s = F.col("status")
-    return inputs.groupBy(key).agg(
+    return snapshots.groupBy(key).agg(
         F.count(F.lit(1)).alias("snapshots"),
         F.count_if(s == "available").alias("success"),
         F.count_if(s == "partial").alias("partial"),
         F.count_if(s.startswith("blocked")).alias("gap"),
+        F.count_if(~s.isin("available", "partial") & ~s.startswith("blocked")).alias("failure"),
     )
 
 

@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from forcemap.functions import columns as C
 from forcemap.functions.constants import TEST_WEIGHTS
 from forcemap.operators.joins import attach
+from forcemap.operators.quantiles import exact_quantiles
 from forcemap.operators.rolling import BLOCK_ROWS, numbered
 from forcemap.operators.scans import scan
 from forcemap.session import staged
 
 DAY = 86_400
+REACH = 128  # Blocks that a block of an exponential average still reaches.
 
 
 # ---- running state -------------------------------------------------------
@@ -70,10 +72,15 @@ def exponential_average(
 ) -> DataFrame:
     """Recurrence e = alpha x + (1 - alpha) e, started at the first value, for series of any length.
 
-    Inside a block the recurrence is affine in its start, so each block is summed once, the starts
-    follow from the block summaries, and the blocks are then evaluated independently.
+    Inside a block the recurrence is affine in its start, so each block is summed once. A block's start is the sum of the
+    blocks before it, each decayed by its distance; each sends its share to the next ones until the decay underflows.
+    The blocks are then evaluated independently. Blocks are long enough that a share reaches at most ``REACH`` of them.
     """
     keep = 1.0 - alpha
+    # exp(-745) is the smallest double above zero.
+    rows_to_zero = 745.0 / -math.log(keep) if keep > 0 else 1.0
+    block_rows = max(block_rows, math.ceil(rows_to_zero / REACH))
+    reach = math.ceil(rows_to_zero / block_rows)
     n = numbered(df, keys, order, chunk).withColumn("_block", F.floor((F.col("_i") - 1) / F.lit(block_rows)))
     age = (F.col("_block") + 1) * block_rows - F.col("_i")
     first = F.max(F.when(F.col("_i") == 1, F.col(value)))
@@ -81,19 +88,13 @@ def exponential_average(
         F.sum(F.lit(alpha) * F.pow(F.lit(keep), age.cast("double")) * F.col(value)).alias("_local"), first.alias("_first")
     )
     decay = keep**block_rows
-    ordered = F.sort_array(F.collect_list(F.struct("_block", "_local")))
-
-    def step(acc: Column, b: Column) -> Column:
-        start = F.element_at(acc, -1)["_next"]
-        nxt = F.lit(decay) * start + b["_local"]
-        return F.concat(acc, F.array(F.struct(b["_block"].alias("_block"), start.alias("_start"), nxt.alias("_next"))))
-
-    seed = F.array(F.struct(F.lit(-1).cast("long").alias("_block"), F.col("_x0").alias("_start"), F.col("_x0").alias("_next")))
+    first_value = F.struct(F.lit(-1).cast("long").alias("_block"), F.col("_first").alias("_local"))
+    own = F.struct(F.col("_block").cast("long").alias("_block"), F.col("_local").alias("_local"))
+    sources = blocks.select(*keys, F.explode(F.when(F.col("_block") == 0, F.array(first_value, own)).otherwise(F.array(own))).alias("_b")).select(*keys, "_b.*")
+    shares = sources.select(*keys, "_block", "_local", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_step"))
     starts = (
-        blocks.groupBy(*keys)
-        .agg(ordered.alias("_blocks"), F.max("_first").alias("_x0"))
-        .withColumn("_s", F.explode(F.aggregate("_blocks", seed, step)))
-        .select(*keys, "_s._block", "_s._start")
+        shares.groupBy(*keys, (F.col("_block") + F.col("_step")).alias("_block"))
+        .agg(F.sum(F.col("_local") * F.pow(F.lit(decay), (F.col("_step") - 1).cast("double"))).alias("_start"))
     )
 
     kept = list(df.columns)
@@ -366,8 +367,13 @@ def degradation(runs: DataFrame, keys: list[str], ts: str, now: Column, lookback
     )
 
 
-def run_summary(runs: DataFrame, keys: list[str], ts: str, tie: str, score: str, grade: str, chunk: Column, now: Column) -> DataFrame:
-    """Score statistics, pass rate, last week, completion, stability and longest failure run."""
+def run_summary(
+    runs: DataFrame, keys: list[str], ts: str, tie: str, score: str, grade: str, chunk: Column, now: Column, duration: str = "duration_seconds"
+) -> DataFrame:
+    """Score statistics, passes, last week, completion and failure rates, mean duration, stability and longest failure run.
+
+    Null and zero durations don't count in the mean.
+    """
     recent = F.col(ts) >= now - F.expr("INTERVAL 7 DAYS")
     streak = longest_runs(runs, keys, [ts, tie], F.col("status") == "failed", chunk).withColumnRenamed("longest", "max_consecutive_failures")
     return (
@@ -375,9 +381,12 @@ def run_summary(runs: DataFrame, keys: list[str], ts: str, tie: str, score: str,
         .agg(
             F.count(F.lit(1)).alias("total_runs"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"),
             F.max_by(score, F.struct(ts, tie)).alias("latest"),
+            F.count_if(F.col(grade).isin("A", "B")).alias("passed_count"),
             (F.count_if(F.col(grade).isin("A", "B")) / F.count(F.lit(1)) * 100).alias("pass_rate"),
             F.count_if(recent).alias("recent_runs"), F.coalesce(F.avg(F.when(recent, F.col(score))), F.lit(0.0)).alias("recent_avg"),
             (F.count_if(F.col("status") == "completed") / F.count(F.lit(1)) * 100).alias("completion_rate"),
+            (F.count_if(F.col("status") == "failed") / F.count(F.lit(1)) * 100).alias("failure_rate"),
+            F.coalesce(F.avg(F.when(F.col(duration) != 0, F.col(duration))), F.lit(0.0)).alias("mean_duration"),
             F.try_divide(F.stddev_pop(score), F.avg(score)).alias("variation"),
         )
         .join(streak, keys)
@@ -418,12 +427,17 @@ def compare_models(latest: DataFrame, passes: DataFrame, group: list[str], thres
 
 
 def hit_rate_summary(results: DataFrame, keys: list[str], rate: str = "hit_rate", threshold: float = 0.70) -> DataFrame:
-    """Mean, median, spread, pass rate, quartile histogram and status counts of hit rates."""
+    """Mean, median, spread, pass rate, quartile histogram and status counts of hit rates (0 to 1).
+
+    The median comes from counted values, so no task holds a group's values.
+    """
     h = F.col(rate)
-    return results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.avg(h).alias("avg_hit_rate"), F.median(h).alias("median_hit_rate"),
+    medians = exact_quantiles(results, keys, rate, {"median_hit_rate": 0.5}, 0.01).select(*keys, "median_hit_rate")
+    totals = results.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), F.avg(h).alias("avg_hit_rate"),
         F.coalesce(F.stddev_samp(h), F.lit(0.0)).alias("std_hit_rate"), F.min(h).alias("min_hit_rate"), F.max(h).alias("max_hit_rate"),
         F.count_if(h >= threshold).alias("pass_count"),
         F.count_if(h < 0.25).alias("h0_25"), F.count_if((h >= 0.25) & (h < 0.5)).alias("h25_50"),
         F.count_if((h >= 0.5) & (h < 0.75)).alias("h50_75"), F.count_if(h >= 0.75).alias("h75_100"),
     )
+    return totals.join(medians, keys, "left")

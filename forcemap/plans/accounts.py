@@ -407,6 +407,16 @@ def validated(v):
     )
 
 
+@query(
+    "R11_modes",
+    f"""WITH {_VALID} SELECT mode, count(*) AS accounts, count(*) FILTER (dev <= 1) AS within_tolerance, round(count(*) FILTER (dev <= 1) / count(*), 8) AS tolerance_rate,
+               round(avg(dev), 7) AS mean_deviation_pct FROM vd GROUP BY mode""",
+)
+def validated_modes(v):
+    s = A.validation_by_mode(validation(v)[1])
+    return s.withColumn("tolerance_rate", F.round("tolerance_rate", 8)).withColumn("mean_deviation_pct", F.round("mean_deviation_pct", 7))
+
+
 @query(
     "A43",
     f"""WITH {_VALID}, w AS (SELECT account, dev FROM vd WHERE mode = 'cross' ORDER BY dev DESC, account LIMIT 20),

@@ -95,19 +95,7 @@ def asof_inputs(v):
     )
 
 
-@query(
-    "U9",
-    f"""WITH {_inputs_sql()}
-        SELECT symbol, count(*) AS snapshots, count(*) FILTER (status = 'available') AS success, count(*) FILTER (status = 'partial') AS partial,
-               count(*) FILTER (status LIKE 'blocked%') AS gap FROM judged GROUP BY symbol""",
-)
-def backfill(v):
-    return snapshots.backfill_counts(_inputs(v))
-
-
-@query(
-    "H14",
-    f"""WITH {_inputs_sql("12 hours")},
+_MODELLED = f"""{_inputs_sql("12 hours")},
         rated AS (SELECT *, coalesce((SELECT rate FROM tiers WHERE cap >= open_interest ORDER BY cap LIMIT 1), 0.004) AS rate FROM judged),
         tr AS (SELECT symbol, ts, price, price * volume AS gross, CASE WHEN wallet % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM ticks WHERE price * volume >= 500),
         lv AS (SELECT r.symbol, snapshot_ts, r.price AS mark, tr.side, gross / 5 AS volume,
@@ -117,17 +105,36 @@ def backfill(v):
         b AS (SELECT symbol, snapshot_ts, CASE WHEN side = 'buy' THEN 'long' ELSE 'short' END AS side, round(liq / 2e0) * 2e0 AS bucket, sum(volume) AS volume
               FROM lv WHERE (side = 'buy' AND liq < mark) OR (side = 'sell' AND liq > mark) GROUP BY ALL),
         st AS (SELECT symbol, snapshot_ts, CASE WHEN status LIKE 'blocked%' THEN status WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = j.symbol AND b.snapshot_ts = j.snapshot_ts)
-                      THEN 'failed_processing' ELSE status END AS status FROM judged j)
-        SELECT st.symbol, st.snapshot_ts, status, side, bucket, round(volume, 4) AS volume FROM st LEFT JOIN b ON st.symbol = b.symbol AND st.snapshot_ts = b.snapshot_ts""",
-)
-def modelled(v):
+                      THEN 'failed_processing' ELSE status END AS status FROM judged j)"""
+
+
+def manifests(v):
+    """The modelled snapshot of every grid time with its manifest status."""
     trades = v.ticks.select(
         "symbol", "ts", "price", (F.col("price") * F.col("volume")).alias("gross_value"),
         F.when(F.col("wallet") % 2 == 0, "buy").otherwise("sell").alias("side"),
     ).filter("gross_value >= 500")
-    art = staged(
-        snapshots.modelled_snapshots(staged(_inputs(v, 12 * 3600), "inputs"), trades, 2 * 86400, 86400, 2.0), "artifacts"
-    )
+    return snapshots.modelled_snapshots(staged(_inputs(v, 12 * 3600), "inputs"), trades, 2 * 86400, 86400, 2.0)
+
+
+@query(
+    "U9",
+    f"""WITH {_MODELLED}
+        SELECT symbol, count(*) AS snapshots, count(*) FILTER (status = 'available') AS success, count(*) FILTER (status = 'partial') AS partial,
+               count(*) FILTER (status LIKE 'blocked%') AS gap, count(*) FILTER (status NOT LIKE 'blocked%' AND status NOT IN ('available', 'partial')) AS failure
+        FROM st GROUP BY symbol""",
+)
+def backfill(v):
+    return snapshots.backfill_counts(manifests(v))
+
+
+@query(
+    "H14",
+    f"""WITH {_MODELLED}
+        SELECT st.symbol, st.snapshot_ts, status, side, bucket, round(volume, 4) AS volume FROM st LEFT JOIN b ON st.symbol = b.symbol AND st.snapshot_ts = b.snapshot_ts""",
+)
+def modelled(v):
+    art = staged(manifests(v), "artifacts")
     cells = explode_sides(art).select("symbol", "snapshot_ts", "side", "bucket", F.round("volume", 4).alias("volume"))
     return art.select("symbol", "snapshot_ts", "status").join(cells, ["symbol", "snapshot_ts"], "left")
 

@@ -242,12 +242,14 @@ def degradations(v):
         SELECT g.model, g.test, count(*) AS total_runs, round(avg(score), 8) AS mean, min(score) AS min, max(score) AS max, arg_max(score, (run_ts, run_id)) AS latest,
                round(count(*) FILTER (grade IN ('A', 'B')) / count(*) * 100, 8) AS pass_rate, count(*) FILTER (run_ts >= now - INTERVAL '7 days') AS recent_runs,
                round(coalesce(avg(score) FILTER (run_ts >= now - INTERVAL '7 days'), 0), 8) AS recent_avg, round(count(*) FILTER (status = 'completed') / count(*) * 100, 8) AS completion_rate,
+               count(*) FILTER (grade IN ('A', 'B')) AS passed_count, round(count(*) FILTER (status = 'failed') / count(*) * 100, 8) AS failure_rate,
+               round(coalesce(avg(duration_seconds) FILTER (duration_seconds <> 0), 0), 8) AS mean_duration,
                round(stddev_pop(score) / avg(score), 9) AS variation, any_value(mx) AS max_consecutive_failures
         FROM g CROSS JOIN n JOIN s ON s.model = g.model AND s.test = g.test GROUP BY g.model, g.test""",
 )
 def summaries(v):
     s = trends.run_summary(graded(v), ["model", "test"], "run_ts", "run_id", "score", "grade", time_chunk("run_ts", 90 * DAY), newest_run(v))
-    rounded = {"mean": 8, "pass_rate": 8, "recent_avg": 8, "completion_rate": 8, "variation": 9}
+    rounded = {"mean": 8, "pass_rate": 8, "recent_avg": 8, "completion_rate": 8, "failure_rate": 8, "mean_duration": 8, "variation": 9}
     return s.select(*[F.round(c, rounded[c]).alias(c) if c in rounded else F.col(c) for c in s.columns])
 
 

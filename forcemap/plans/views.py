@@ -106,7 +106,8 @@ VIEW_SQL = {
         SELECT o_orderkey AS run_id, CAST(o_orderdate AS TIMESTAMP) AS run_ts,
                'model_' || o_orderstatus AS model, o_orderpriority AS test,
                CAST(o_totalprice AS DOUBLE) / 5000.0 AS score,
-               CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'completed' END AS status
+               CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'completed' END AS status,
+               CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey % 300 AS DOUBLE) END AS duration_seconds
         FROM orders""",
     # Closed signals with a profit or loss.
     "feedback": """
@@ -277,6 +278,7 @@ class Views:
             F.col("o_orderpriority").alias("test"),
             (F.col("o_totalprice") / 5000.0).alias("score"),
             F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise("completed").alias("status"),
+            F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_custkey") % 300).cast("double")).alias("duration_seconds"),
         )
 
     @cached_property

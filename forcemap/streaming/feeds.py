@@ -85,16 +85,33 @@ def window_candles(stream: DataFrame, interval: str, key="symbol", ts="ts", pric
     )
 
 
-def sliding_metrics(stream: DataFrame, length: str, slide: str, key="symbol", ts="ts", delay: str = "10 minutes") -> DataFrame:
-    """Rolling total, profitable count, hit rate and mean result."""
-    n = F.col("total")
-    return (
+# Lengths of the rolling windows, in hours.
+ROLLING = {"1h": 1, "24h": 24, "7d": 168}
+
+
+def sliding_metrics(stream: DataFrame, lengths: dict[str, int] | None = None, key="symbol", ts="ts", delay: str = "10 minutes") -> DataFrame:
+    """Rolling total, profitable count, hit rate and mean result every hour, for every named window length in hours.
+
+    Rows are summed per hour first, so only one row per key and hour is repeated for the windows it is in. The
+    longest window holds the shorter ones, so one aggregation gives all lengths.
+    """
+    lengths = lengths or ROLLING
+    hourly = (
         stream.withWatermark(ts, delay)
-        .groupBy(key, F.window(ts, length, slide))
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("pnl") > 0).alias("profitable"), F.sum("pnl").alias("_sum"))
-        .select(
-            key, F.col("window.end").alias("window_end"), "total", "profitable", (F.col("profitable") / n).alias("hit_rate"), (F.col("_sum") / n).alias("avg_pnl")
-        )
+        .groupBy(key, F.window(ts, "1 hour"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pnl") > 0).alias("good"), F.sum("pnl").alias("pnl"))
+        .select(key, F.window_time("window").alias("at"), "n", "good", "pnl")
+    )
+    held = hourly.select(key, "at", "n", "good", "pnl", F.window("at", f"{max(lengths.values())} hours", "1 hour").alias("span"))
+    sums = []
+    for name, hours in lengths.items():
+        inside = F.col("at") >= F.col("span.end") - F.expr(f"INTERVAL {hours} HOURS")
+        sums += [F.sum(F.when(inside, F.col(c))).alias(f"{c}_{name}") for c in ("n", "good", "pnl")]
+    each = F.array(*[F.struct(F.lit(m).alias("length"), F.col(f"n_{m}").alias("total"), F.col(f"good_{m}").alias("profitable"), F.col(f"pnl_{m}").alias("_sum")) for m in lengths])
+    found = held.groupBy(key, "span").agg(*sums).select(key, F.col("span.end").alias("window_end"), F.explode(each).alias("_e")).select(key, "window_end", "_e.*")
+    n = F.col("total")
+    return found.filter("total > 0").select(
+        key, "length", "window_end", "total", "profitable", (F.col("profitable") / n).alias("hit_rate"), (F.col("_sum") / n).alias("avg_pnl")
     )
 
 
