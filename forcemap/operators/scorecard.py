@@ -17,6 +17,7 @@ from forcemap.operators.distributions import explode_sides
 from forcemap.operators.intervals import Band, interval_join, range_extremes
 from forcemap.operators.quantiles import ranked_values
 from forcemap.operators.scans import asof, scan, time_chunk
+from forcemap.session import staged
 
 
 def _shift(ts: str, seconds: int) -> Column:
@@ -144,8 +145,6 @@ def volume_clock(
         ticks.select("symbol", "ts", F.col("volume").isNull().alias("_gap"), F.coalesce("volume", F.lit(0.0)).alias("_v")),
         ["symbol"], ["ts"], time_chunk("ts", chunk_seconds), _cum=("sum", "_v"),
     )
-    from forcemap.session import staged
-
     running = staged(running, "clock")
 
     def by_time(c: str) -> Column:
@@ -262,10 +261,26 @@ def missing_artifacts(available: DataFrame, expected: list[str], expert="expert"
 
 
 def scorecard(obs: DataFrame, ticks: DataFrame, events: DataFrame, metrics=("mfe_bps", "mae_bps", "time_to_touch_secs", "time_to_confirm_secs")) -> DataFrame:
-    """Fixed-mode scorecard: touch, confirm, path, slice, aggregate. One row per slice."""
-    from forcemap.session import staged
-
-    outcome = path(confirm(staged(touch(obs, ticks), "touch"), events), ticks)
-    sliced = staged(slice_columns(outcome), "outcomes")
+    """Slices of the fixed-mode scorecard: dedupe, touch, confirm, path, slice, aggregate. One row per slice."""
+    sliced = staged(slice_columns(outcomes(obs, ticks, events)), "outcomes")
     keys = [*SLICE, "slice_id"]
     return probabilities(sliced, keys).join(integer_quantiles(sliced, keys, list(metrics)), keys)
+
+
+def outcomes(obs: DataFrame, ticks: DataFrame, events: DataFrame) -> DataFrame:
+    """Every observation once, by its id, with touch, confirmation and path."""
+    rest = [c for c in obs.columns if c != "obs_id"]
+    unique = staged(first_seen(obs, "obs_id", rest), "observations")
+    return path(confirm(staged(touch(unique, ticks), "touch"), events), ticks)
+
+
+def scorecard_bundle(obs: DataFrame, ticks: DataFrame, events: DataFrame, expected: list[str]) -> DataFrame:
+    """The whole scorecard as one table: ``part`` is slice, gap (an expected expert without artifact) or leader.
+
+    Columns of other parts are null. Repeated observations change nothing. Intervals of dominance between two experts come
+    from ``bootstrap.dominance`` over ``outcomes``.
+    """
+    slices = staged(scorecard(obs, ticks, events), "slices")
+    gaps = missing_artifacts(obs, expected).withColumn("part", F.lit("gap"))
+    best = leaders(slices, [c for c in SLICE if c != "expert"]).withColumn("part", F.lit("leader"))
+    return slices.withColumn("part", F.lit("slice")).unionByName(gaps, allowMissingColumns=True).unionByName(best, allowMissingColumns=True)

@@ -78,18 +78,34 @@ METRIC_COLUMNS = {"mfe_bps": "mfe", "mae_bps": "mae", "time_to_touch_secs": "tim
 @query(
     "C2",
     f"""WITH {_DIST},
-        quant AS (SELECT {SLICE_SQL}, {", ".join(_quantile_sql(m, c) for m, c in METRIC_COLUMNS.items())} FROM sliced GROUP BY ALL)
-        SELECT p.*, p.expert || ':' || p.symbol || ':' || p.side || ':' || p.distance_bucket || ':' || p.confidence_bucket || ':none' AS slice_id,
+        quant AS (SELECT {SLICE_SQL}, {", ".join(_quantile_sql(m, c) for m, c in METRIC_COLUMNS.items())} FROM sliced GROUP BY ALL),
+        sl AS (SELECT p.*, p.expert || ':' || p.symbol || ':' || p.side || ':' || p.distance_bucket || ':' || p.confidence_bucket || ':none' AS slice_id,
                round_even(touch_count / sample_count, 6) AS touch_probability,
                CASE WHEN touch_count > 0 THEN round_even(confirm_count / touch_count, 6) ELSE 0 END AS confirm_probability, sample_count < 30 AS low_sample,
                {", ".join(f"q.{m}_p{p}" for m in METRIC_COLUMNS for p in (10, 25, 50, 75, 90))}
-        FROM probs p JOIN quant q USING ({SLICE_SQL})""",
+        FROM probs p JOIN quant q USING ({SLICE_SQL})),
+        av AS (SELECT DISTINCT expert, snapshot_ts FROM signals),
+        gp AS (SELECT snapshot_ts, e AS expert FROM (SELECT DISTINCT snapshot_ts FROM av) CROSS JOIN (SELECT unnest(['expert_0', 'expert_1', 'expert_2', 'expert_3']) AS e)
+               WHERE (e, snapshot_ts) NOT IN (SELECT (expert, snapshot_ts) FROM av)),
+        ld AS (SELECT symbol, side, distance_bucket, confidence_bucket, regime, count(*) AS experts, arg_max(expert, (touch_probability, sample_count, expert)) AS best_touch,
+                      arg_max(expert, (confirm_probability, confirm_count, expert)) AS best_confirm, arg_max(expert, (mfe_bps_p50, sample_count, expert)) AS best_mfe,
+                      arg_min(expert, (mae_bps_p50, -sample_count, expert)) AS lowest_mae
+               FROM sl GROUP BY ALL HAVING count(*) >= 2)
+        SELECT 'slice' AS part, * FROM sl UNION ALL BY NAME SELECT 'gap' AS part, * FROM gp UNION ALL BY NAME SELECT 'leader' AS part, * FROM ld""",
 )
-def full_scorecard(v):
+def whole_scorecard(v):
+    return scorecard.scorecard_bundle(_observations(v), v.ticks, v.forced, ["expert_0", "expert_1", "expert_2", "expert_3"])
+
+
+def _observations(v):
     obs = v.signals.join(v.tick_marks, "symbol").withColumn(
         "distance_bps", F.bround(F.try_divide(F.abs(F.col("level_price") - F.col("mark")), F.col("mark")) * 10000).cast("long")
     )
-    return scorecard.scorecard(obs.drop("mark", "last_ts"), v.ticks, v.forced)
+    return obs.drop("mark", "last_ts")
+
+
+def full_scorecard(v):
+    return scorecard.scorecard(_observations(v), v.ticks, v.forced)
 
 
 @query(

@@ -15,7 +15,7 @@ from forcemap.operators.accounts import TERMINAL
 
 # ---- signal and event correlation ----------------------------------------
 
-PAIR_BUCKET = 0.02  # Log-price width of a state key; a one percent band meets at most two.
+PAIR_BUCKET = 0.02  # Log-price width of a state key; a one percent band meets two or three.
 
 
 def _bucket(price: Column) -> Column:
@@ -23,22 +23,23 @@ def _bucket(price: Column) -> Column:
 
 
 def correlate_stream(signals: DataFrame, events: DataFrame, tolerance_pct: float = 1.0, window_seconds: int = 1800, delay: str = "10 minutes") -> DataFrame:
-    """First event per signal and price bucket; a signal matches at most once per bucket and expires.
+    """Earliest event of each signal's symbol and side, near its price and within the window; one match a signal.
 
     Signals: signal_id, symbol, side, price, ts; events: event_id, symbol, side, price, ts. The state is keyed
-    by symbol, side and price bucket, so a busy symbol is spread over many keys. ``earliest_match`` reduces the
-    at most two bucket matches of a signal to the earliest.
+    by symbol, side and price bucket, so a busy symbol is spread over many keys. A signal waits in its own bucket only;
+    an event goes to every bucket whose signals it can reach, so no signal matches in two places. A batch sees the signals
+    that came with it or before it, and a signal that has matched or expired leaves the state.
     """
     def canonical() -> Column:
         return F.regexp_replace(F.upper("symbol"), "-PERP", "")
 
     reach = tolerance_pct / 100.0 * 1.000001
-    s = signals.select(
-        canonical().alias("sym"), "side", F.lit(True).alias("is_signal"), F.col("signal_id").alias("id"), "price", "ts",
-        F.explode(F.sequence(_bucket(F.col("price") * (1 - reach)), _bucket(F.col("price") * (1 + reach)))).alias("bucket"),
+    s = signals.filter("price > 0").select(
+        canonical().alias("sym"), "side", F.lit(True).alias("is_signal"), F.col("signal_id").alias("id"), "price", "ts", _bucket(F.col("price")).alias("bucket")
     )
     e = events.filter("price > 0").select(
-        canonical().alias("sym"), "side", F.lit(False).alias("is_signal"), F.col("event_id").alias("id"), "price", "ts", _bucket(F.col("price")).alias("bucket")
+        canonical().alias("sym"), "side", F.lit(False).alias("is_signal"), F.col("event_id").alias("id"), "price", "ts",
+        F.explode(F.sequence(_bucket(F.col("price") / (1 + reach)), _bucket(F.col("price") / (1 - reach)))).alias("bucket"),
     )
     span = window_seconds * 1_000_000
 
@@ -46,34 +47,32 @@ def correlate_stream(signals: DataFrame, events: DataFrame, tolerance_pct: float
         if state.hasTimedOut:
             state.remove()
             return
-        ids, prices, times = (list(x) for x in state.get) if state.exists else ([], [], [])
         rows = pd.concat(list(batches), ignore_index=True)
         rows["us"] = rows["ts"].astype("datetime64[us]").astype("int64")
-        rows = rows.sort_values(["us", "is_signal", "id"], ascending=[True, False, True])
-        out = []
-        for r in rows.itertuples(index=False):
-            alive = [i for i in range(len(ids)) if r.us - times[i] <= span]
-            ids, prices, times = [ids[i] for i in alive], [prices[i] for i in alive], [times[i] for i in alive]
-            if r.is_signal:
-                ids.append(int(r.id))
-                prices.append(float(r.price))
-                times.append(int(r.us))
-                continue
-            keep = []
-            for i in range(len(ids)):
-                if abs(prices[i] - r.price) / prices[i] * 100 <= tolerance_pct:
-                    out.append((ids[i], int(r.id), r.ts, float(r.price)))
-                else:
-                    keep.append(i)
-            ids, prices, times = [ids[i] for i in keep], [prices[i] for i in keep], [times[i] for i in keep]
-        if ids:
-            state.update((ids, prices, times))
-            expiry = (max(times) + span) // 1000 + 1
+        fresh, seen = rows[rows["is_signal"]], rows[~rows["is_signal"]].sort_values(["us", "id"])
+        held = state.get if state.exists else ([], [], [])
+        ids = np.concatenate([np.array(held[0], np.int64), fresh["id"].to_numpy(np.int64)])
+        prices = np.concatenate([np.array(held[1], float), fresh["price"].to_numpy(float)])
+        times = np.concatenate([np.array(held[2], np.int64), fresh["us"].to_numpy(np.int64)])
+        at, paid = seen["us"].to_numpy(np.int64), seen["price"].to_numpy(float)
+        first, last = np.searchsorted(at, times, "left"), np.searchsorted(at, times + span, "right")
+        found = np.full(len(ids), -1, np.int64)
+        for i in np.flatnonzero(last > first).tolist():
+            near = np.abs(prices[i] - paid[first[i] : last[i]]) / prices[i] * 100 <= tolerance_pct
+            if near.any():
+                found[i] = first[i] + near.argmax()
+        hit = found >= 0
+        horizon = max(int(at[-1]) if len(at) else 0, state.getCurrentWatermarkMs() * 1000)
+        wait = ~hit & (times + span >= horizon)
+        if wait.any():
+            state.update((ids[wait].tolist(), prices[wait].tolist(), times[wait].tolist()))
+            expiry = (int(times[wait].max()) + span) // 1000 + 1
             if expiry > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(expiry)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["signal_id", "event_id", "event_ts", "event_price"])
+        won = seen.iloc[found[hit]]
+        yield pd.DataFrame({"signal_id": ids[hit], "event_id": won["id"].to_numpy(np.int64), "event_ts": won["ts"].to_numpy(), "event_price": won["price"].to_numpy(float)})
 
     return (
         s.unionByName(e)
@@ -86,12 +85,6 @@ def correlate_stream(signals: DataFrame, events: DataFrame, tolerance_pct: float
     )
 
 
-def earliest_match(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("signal_id").agg(
-        F.min_by(F.struct("event_id", "event_ts", "event_price"), F.struct("event_ts", "event_id")).alias("_e")
-    ).select("signal_id", "_e.*")
-
-
 # ---- circuit breaker -----------------------------------------------------
 
 

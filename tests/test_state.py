@@ -335,3 +335,43 @@ def test_blocked_snapshot_has_no_levels(spark):
     interest = spark.createDataFrame([], "symbol string, ts timestamp, oi_value double")
     got = [(r.price_status, r.oi_status, r.status, r.open_interest) for r in snapshots.collect_inputs(grid, prices, interest).orderBy("snapshot_ts").collect()]
     assert got == [("fresh", "fallback", "partial", 500000.0), ("stale", "fallback", "blocked_source_missing", 500000.0)]
+
+
+def test_signal_matches_once_in_any_batches(spark, tmp_path):
+    """One match a signal, the earliest of its window, however the time-ordered rows fall into batches."""
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        signal = i % 2 == 0
+        rows.append((i, signal, f"{'btc' if i % 3 else 'eth'}{'-perp' if signal else ''}", r.choice(["long", "short"]), 100.0 * math.exp(r.uniform(-0.05, 0.05)), T0 + timedelta(minutes=i)))
+    want = {}
+    for i, signal, sym, side, price, ts in rows:
+        if signal:
+            near = [e for e in rows if not e[1] and e[2] == sym[:3] and e[3] == side and ts <= e[5] <= ts + timedelta(minutes=30) and abs(price - e[4]) / price * 100 <= 1]
+            if near:
+                want[i] = min(near, key=lambda e: (e[5], e[0]))[0]
+    schema = "id long, is_signal boolean, symbol string, side string, price double, ts timestamp"
+    for batches in (1, 6):
+        folder = str(tmp_path / f"rows{batches}")
+        size = len(rows) // batches
+        for b in range(batches):
+            spark.createDataFrame(rows[b * size : (b + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        signals = stream.filter("is_signal").withColumnRenamed("id", "signal_id").drop("is_signal")
+        events = stream.filter("NOT is_signal").withColumnRenamed("id", "event_id").drop("is_signal")
+        got = sinks.run_to_table(state.correlate_stream(signals, events), "matches").collect()
+        assert len(got) == len({x.signal_id for x in got})
+        assert {x.signal_id: x.event_id for x in got} == want
+
+
+def test_scorecard_ignores_repeated_observations(spark):
+    obs = [(i, f"e{i % 2}", "s", T0, 100.0 + i % 5, "long", 0.5, 10) for i in range(40)]
+    o = spark.createDataFrame(obs, "obs_id long, expert string, symbol string, snapshot_ts timestamp, level_price double, side string, confidence double, distance_bps long")
+    t = spark.createDataFrame([("s", T0 + timedelta(minutes=i), 100.0 + i % 7) for i in range(200)], "symbol string, ts timestamp, price double")
+    f = spark.createDataFrame([("s", "long", T0 + timedelta(minutes=i), 100.0 + i % 3) for i in range(200)], "symbol string, side string, event_ts timestamp, event_price double")
+    once = scorecard.scorecard_bundle(o, t, f, ["e0", "e1", "e2"]).toPandas()
+    twice = scorecard.scorecard_bundle(o.union(o), t, f, ["e0", "e1", "e2"]).toPandas()
+    order = ["part", "expert", "symbol"]
+    pd.testing.assert_frame_equal(once.sort_values(order, ignore_index=True), twice.sort_values(order, ignore_index=True))
+    assert once["part"].value_counts().to_dict() == {"slice": 2, "gap": 1, "leader": 1}
+    assert once.loc[once["part"] == "slice", "sample_count"].sum() == 40
