@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forcemap.functions import columns as C
 from forcemap.operators.joins import attach
+from forcemap.session import staged
 
 
 def new_rows(target: DataFrame, incoming: DataFrame, keys: list[str], tiebreak: list[str]) -> DataFrame:
@@ -30,6 +31,23 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], version: lis
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", *version)).alias("_r")).select(*keys, "_r.*")
 
 
+def _replace_partitions(rows: DataFrame, path: str, partition: list[str]) -> None:
+    """Write whole partitions in place of the stored ones; other partitions stay. ``rows`` mustn't read ``path``."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def upsert_table(path: str, incoming: DataFrame, keys: list[str], version: list[str], partition: list[str]) -> None:
+    """Upsert into a partitioned Parquet table; only partitions that ``incoming`` touches are read and rewritten.
+
+    The partition columns are keys, so a key never moves between partitions.
+    """
+    if not set(partition) <= set(keys):
+        raise ValueError("partition columns must be keys")
+    target = incoming.sparkSession.read.parquet(path)
+    touched = target.join(incoming.select(*partition).distinct(), partition, "left_semi")
+    _replace_partitions(staged(upsert(touched, incoming.select(*target.columns), keys, version), "merged"), path, partition)
+
+
 def inserted_count(target: DataFrame, incoming: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
     """Keys added (not replaced) by an upsert, per group."""
     added = incoming.select(*keys).distinct().join(target.select(*keys), keys, "left_anti")
@@ -56,6 +74,22 @@ def retention_counts(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.groupBy(*keys).agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("deleted"))
 
 
+def prune_table(spark: SparkSession, path: str, partition: list[str], ts: str, now: Column, days: Column) -> None:
+    """Delete the expired rows of a partitioned Parquet table.
+
+    Partitions without any are left alone, partly expired ones rewritten, wholly expired ones removed.
+    """
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
+    flagged = retained(spark.read.parquet(path).withColumn("_folder", folder), ts, now, days)
+    touched = staged(retention_counts(flagged, ["_folder"]).filter("deleted > 0"), "touched")
+    left = flagged.join(touched.filter("kept > 0").select("_folder"), "_folder", "left_semi").filter("keep").drop("_folder", "keep")
+    _replace_partitions(staged(left, "left"), path, partition)
+    jvm = spark._jvm
+    for row in touched.filter("kept = 0").select("_folder").toLocalIterator():  # folders: the calendar bounds them
+        gone = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["_folder"]))
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def latest_with_fallback(series: dict[str, DataFrame], key: str, ts: str, value: str) -> DataFrame:
     """Latest value per key from the first listed source that has any, with the source's name."""
     out = None

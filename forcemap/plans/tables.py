@@ -136,7 +136,8 @@ def fill_blocks(v):
 @query(
     "S7",
     """SELECT 'funding' AS input_class, count(*) AS row_count, round(sum(rate * 1000000), 3) AS total FROM funding UNION ALL SELECT 'open_interest', count(*), round(sum(oi_value), 2) FROM oi
-       UNION ALL SELECT 'orderbook', count(*), round(sum(price * volume), 2) FROM ticks UNION ALL SELECT 'klines', count(*), round(sum(close), 4) FROM candles""",
+       UNION ALL SELECT 'orderbook', count(*), round(sum(price * volume), 2) FROM ticks UNION ALL SELECT 'klines', count(*), round(sum(close), 4) FROM candles
+       UNION ALL SELECT 'trades', count(*), round(sum(price * volume), 2) FROM ticks""",
 )
 def raw_classes(v):
     def summary(kind, df, value):
@@ -145,17 +146,21 @@ def raw_classes(v):
         return total
 
     ms = millis("ts").cast("string")
-    fund = v.funding.groupBy("symbol").agg(
+    # One document per symbol and day, as a venue's history gives them.
+    fund = v.funding.groupBy("symbol", floor_time("ts", "1d")).agg(
         F.to_json(F.struct(F.collect_list(F.struct(ms.alias("funding_rate_timestamp"), F.col("rate").cast("string").alias("funding_rate"))).alias("result"))).alias("value")
     )
     oi = v.oi.groupBy("symbol", floor_time("ts", "1h")).agg(
         F.to_json(F.collect_list(F.struct(ms.alias("timestamp"), F.col("oi_value").cast("string").alias("open_interest")))).alias("value")
     )
-    kl = v.candles.groupBy("symbol").agg(
+    kl = v.candles.groupBy("symbol", floor_time("open_time", "1d")).agg(
         F.to_json(F.collect_list(F.array(millis("open_time").cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")]))).alias("value")
     )
     books = _zipped_books(v)
+    path = fresh_path(v.spark, "trades")
+    v.ticks.select(millis("ts").alias("T"), F.col("price").alias("p"), F.col("volume").alias("q"), F.lit("Buy").alias("S")).write.option("header", True).csv(path, compression="gzip")
     parts = [
+        summary("trades", v.spark.read.option("header", True).csv(path), F.round(F.sum(F.col("price") * F.col("quantity")), 2)),
         summary("funding", files.json_records(fund, "value", ["funding_rate_timestamp", "timestamp", "funding_rate"]), F.round(F.sum(F.col("funding_rate") * 1000000), 3)),
         summary("open_interest", files.json_records(oi, "value", ["timestamp", "open_interest"]), F.round(F.sum("open_interest_value"), 2)),
         summary("orderbook", files.unzip_csv(books, ["timestamp", "side", "price", "size"]), F.round(F.sum(F.col("price") * F.col("size")), 2)),
@@ -208,7 +213,10 @@ def upserted(v):
         "symbol", floor_time("ts", "1h").alias("open_time"), F.col("price").alias("close"), F.lit(1).alias("version"),
         (F.col("volume") * 100000 + F.col("event_id") % 100000).alias("rank"),
     )
-    return tables.upsert(old, new, ["symbol", "open_time"], ["rank"]).drop("rank")
+    path = fresh_path(v.spark, "candles")
+    old.write.partitionBy("symbol").parquet(path)
+    tables.upsert_table(path, new, ["symbol", "open_time"], ["rank"], ["symbol"])
+    return v.spark.read.parquet(path).drop("rank")
 
 
 @query(
@@ -239,7 +247,12 @@ def incremental(v):
 def retention(v):
     now = v.ticks.agg(F.max("ts")).scalar()
     days = F.when(F.col("symbol") == "click", 7).when(F.col("symbol") == "view", 14)
-    return tables.retention_counts(tables.retained(v.ticks, "ts", now, days), ["symbol"])
+    path = fresh_path(v.spark, "ticks")
+    v.ticks.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.partitionBy("symbol", "day").parquet(path)
+    planned = staged(tables.retention_counts(tables.retained(v.ticks, "ts", now, days), ["symbol"]), "planned")
+    tables.prune_table(v.spark, path, ["symbol", "day"], "ts", now, days)
+    left = v.spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("kept"))
+    return planned.drop("kept").join(left, "symbol", "left").fillna(0, ["kept"])
 
 
 @query(
@@ -328,21 +341,39 @@ def retained_artifacts(v):
     root = fresh_path(v.spark, "artifacts")
     a.drop("snapshot_day").write.json(f"{root}/artifacts")
     status = F.when((F.col("expert_id") == "expert_1") & (F.dayofmonth(F.to_date("snapshot_day")) % 2 == 0), "blocked_source_missing").otherwise("available")
-    entry = F.struct(status.alias("availability_status"), F.concat_ws("/", "symbol", "snapshot_day", "expert_id").alias("artifact_path"))
-    a.groupBy("symbol", "snapshot_ts").agg(F.map_from_entries(F.collect_list(F.struct("expert_id", entry))).alias("experts")).write.json(f"{root}/manifests")
+    artifacts.export_manifests(a.withColumn("availability_status", status), f"{root}/manifests")
     got = artifacts.read_available(v.spark, f"{root}/manifests", f"{root}/artifacts", ["click", "view"], ["expert_0", "expert_1"])
     return explode_sides(got.select("expert_id", "symbol", "snapshot_ts", "long_distribution", "short_distribution")).select(
         "expert_id", "symbol", "snapshot_ts", "side", F.col("bucket").cast("double").alias("bucket"), "volume"
     )
 
 
-@query("S17")
+def _canonical_map(side: str) -> str:
+    """The side's buckets as key-sorted JSON entries, in SQL."""
+    entry = """'{"key":"' || bucket || '","value":' || volume || '}'"""
+    return f"""'[' || coalesce(string_agg({entry}, ',' ORDER BY bucket) FILTER (side = '{side}'), '') || ']'"""
+
+
+@query(
+    "S17",
+    f"""WITH c AS (SELECT 'expert_' || event_id % 3 AS expert_id, symbol, strftime(event_ts, '%Y-%m-%d') AS d, side, round(event_price / 5e0) * 5e0 AS b, sum(event_size) AS volume FROM forced GROUP BY ALL),
+        t AS (SELECT *, CAST(b AS VARCHAR) AS bucket FROM c),
+        g AS (SELECT expert_id, symbol, d || 'T00:00:00Z' AS snapshot_ts, count(*) FILTER (side = 'long') AS long_buckets, count(*) FILTER (side = 'short') AS short_buckets,
+                     '{{"expert_id":"' || expert_id || '","symbol":"' || symbol || '","snapshot_ts":"' || d || 'T00:00:00Z","reference_price":100.0,"bucket_grid":{{"min_price":' || min(b) || ',"max_price":' || max(b)
+                     || ',"step":5.0}},"long_distribution":' || {_canonical_map("long")} || ',"short_distribution":' || {_canonical_map("short")} || '}}' AS body
+              FROM t GROUP BY expert_id, symbol, d)
+        SELECT expert_id, symbol, snapshot_ts, sha256(body) AS content_hash, long_buckets::INTEGER AS long_buckets, short_buckets::INTEGER AS short_buckets,
+               'available' AS availability_status, 'symbol=' || symbol || '/snapshot_day=' || snapshot_ts[:10] AS artifact_path FROM g""",
+)
 def exported(v):
-    a = artifacts.with_hash(day_artifacts(v), ["expert_id", "symbol", "snapshot_ts", "reference_price", "bucket_grid", "long_distribution", "short_distribution"])
-    path = fresh_path(v.spark, "export")
-    artifacts.export(a, path)
+    a = staged(artifacts.with_hash(day_artifacts(v), ["expert_id", "symbol", "snapshot_ts", "reference_price", "bucket_grid", "long_distribution", "short_distribution"]), "hashed")
+    root = fresh_path(v.spark, "export")
+    artifacts.export(a, f"{root}/artifacts")
+    artifacts.export_manifests(a.withColumn("availability_status", F.lit("available")), f"{root}/manifests")
     schema = artifacts.ARTIFACT.replace("symbol string, ", "") + ", content_hash string, symbol string, snapshot_day string"
-    return v.spark.read.schema(schema).json(path).select("expert_id", "symbol", "snapshot_ts", "content_hash", F.size("long_distribution").alias("long_buckets"), F.size("short_distribution").alias("short_buckets"))
+    stored = v.spark.read.schema(schema).json(f"{root}/artifacts").select("expert_id", "symbol", "snapshot_ts", "content_hash", F.size("long_distribution").alias("long_buckets"), F.size("short_distribution").alias("short_buckets"))
+    listed = v.spark.read.schema(artifacts.MANIFEST).json(f"{root}/manifests").select("symbol", "snapshot_ts", F.explode("experts").alias("expert_id", "_e")).select("symbol", "snapshot_ts", "expert_id", "_e.*")
+    return stored.join(listed, ["symbol", "snapshot_ts", "expert_id"])
 
 
 @query(

@@ -27,6 +27,17 @@ def export(artifacts: DataFrame, path: str) -> None:
     artifacts.write.mode("overwrite").partitionBy("symbol", "snapshot_day").json(path)
 
 
+def export_manifests(entries: DataFrame, path: str) -> None:
+    """One manifest a symbol and snapshot: status and artifact path of every expert.
+
+    ``entries`` has symbol, snapshot_day, snapshot_ts, expert_id and availability_status; experts of a snapshot are few.
+    """
+    where = F.concat(F.lit("symbol="), "symbol", F.lit("/snapshot_day="), "snapshot_day")
+    entry = F.struct("availability_status", F.when(F.col("availability_status") == "available", where).alias("artifact_path"))
+    one = entries.groupBy("symbol", "snapshot_day", "snapshot_ts").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("expert_id", entry)))).alias("experts"))
+    one.select("snapshot_day", "symbol", "snapshot_ts", "experts").write.mode("overwrite").partitionBy("snapshot_day").json(path)
+
+
 def read_available(
     spark: SparkSession, manifests: str, artifacts: str, symbols: list[str] | None = None, experts: list[str] | None = None
 ) -> DataFrame:
