@@ -1,12 +1,12 @@
 """Main text of web pages by removing what a site repeats.
 
-Every element's subtree (tags, classes and text, not links) is hashed. Spark counts, per host, the pages that hold each
-hash. A subtree that recurs on many pages of its host is template and is deleted; what is left is text. Elements that
+Every element's subtree (tags, classes and text, not links) is hashed. Spark counts, per host, the different pages that
+hold each hash: rows with the same html are one page, so copies of a page don't make its text a template. A subtree that recurs on many pages of its host is template and is deleted; what is left is text. Elements that
 are never main text by their kind (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) go too.
 Where a page marks its article, only the article counts, and a plain paragraph or heading in it is never taken for
 template: sites do publish the same paragraph often, and dropping it would lose text.
 
-Recurring: on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages. The share bounds the templates of a
+Recurring: on at least ``LEAST_PAGES`` different pages and ``LEAST_SHARE`` of the host's different pages. The share bounds the templates of a
 host to the subtrees of a page divided by it, whatever the host's size.
 
 Defined results: null html is empty and gives empty text; a null or odd url has the empty host, whose pages are counted
@@ -217,19 +217,24 @@ def host_of(url_col: str):
 
 
 def recurring(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on many pages of the host; pages have host and html."""
+    """(host, templates): hashes of the subtrees that recur on many different pages of the host; pages have host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One entry per page and distinct subtree, counted within the batch before anything moves; hash zero counts pages.
+        import xxhash
+
+        # Copies of a page within the batch are parsed once; hash zero counts pages.
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
+            found: dict[tuple[str, bytes], list[int]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for h in (*_candidates(parse(page)), 0):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-            hosts, hashes = zip(*counts, strict=True) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "hash", "n"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+                key = host, xxhash.xxh3_128_digest(page.encode("utf-8", "surrogatepass"))
+                if key not in found:
+                    found[key] = [*_candidates(parse(page)), 0]
+            hosts, digests = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["host", "page", "hashes"])
+
+    # Only digests and hashes move; equal pages of a host have equal hashes.
+    distinct = pages.select("host", "html").mapInArrow(run, "host string, page binary, hashes array<long>").dropDuplicates(["host", "page"])
+    seen = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.filter(F.col("n") >= least_pages)
     totals = often.filter("hash = 0").select("host", F.col("n").alias("pages"))
     return often.filter("hash <> 0").join(totals, "host").filter(F.col("n") >= least_share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))

@@ -231,6 +231,18 @@ def test_site_templates_go_and_repeated_paragraphs_of_articles_stay(spark):
     assert got[200] == "Site slogan\nx" and got[201] == "" == got[None]
 
 
+def test_copies_of_a_page_are_no_templates(spark):
+    unmarked = "<div><h2>Report</h2><p>All of this text belongs to the page.</p></div>"
+    marked = "<article><div><p>A story in a box.</p></div><p>Its end.</p></article>"
+    rows = []
+    for host, copy in (("a.org", unmarked), ("b.org", marked)):
+        rows += [(len(rows) + i, f"http://{host}/{i}", copy if i < 5 else f"<div>Slogan of the site</div><p>Own text {i}</p>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {got[i] for i in range(5)} == {"Report\nAll of this text belongs to the page."}
+    assert {got[i] for i in range(20, 25)} == {"A story in a box.\nIts end."}
+    assert all(got[i] == got[20 + i] == f"Own text {i}" for i in range(5, 20))
+
+
 def test_deep_and_long_pages():
     assert htmltext.main_text(htmltext.parse("<div>" * 5000 + "x" + "</div>" * 5000)) == "x"
     assert htmltext.main_text(htmltext.parse("<p>" + "word " * 200_000)) == ("word " * 200_000).strip()
