@@ -65,9 +65,22 @@ def _mark(attributes: str) -> str:
 
 
 def parse(page: str) -> Node:
-    """A tree of nodes and strings; strings still hold character references."""
+    """A tree of nodes and strings; strings still hold character references. Elements nest to any depth."""
     root = Node("html")
     open_nodes, at, size = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # per tag, where it is open; so nesting costs no search
+    blocks = [0]  # where blocks but paragraphs are open
+
+    def innermost(tags) -> int:
+        return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+
+    def end_at(i: int) -> None:
+        for gone in reversed(open_nodes[i:]):
+            places[gone.tag].pop()
+            if gone.tag in BLOCKS and gone.tag != "p":
+                blocks.pop()
+        del open_nodes[i:]
+
     while at < size:
         end = page.find("<", at)
         while end >= 0 and not (m := TOKEN.match(page, end)):
@@ -82,38 +95,28 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
-                if tag not in BLOCKS and open_nodes[i].tag in BLOCKS and open_nodes[i].tag != "p":
-                    break  # an inline end tag doesn't close a block
+            i = innermost((tag,))
+            if i and (tag in BLOCKS or i > blocks[-1]):  # an inline end tag doesn't close a block
+                end_at(i)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS:
-            for i in range(len(open_nodes) - 1, 0, -1):  # a block ends an open paragraph
-                if open_nodes[i].tag == "p":
-                    del open_nodes[i:]
-                    break
-                if open_nodes[i].tag in BLOCKS:
-                    break
+        if tag in BLOCKS and (i := innermost(("p",))) > blocks[-1]:  # a block ends an open paragraph
+            end_at(i)
         if tag in ENDS:
             ends, bounds = ENDS[tag]
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag in bounds:
-                    break
-                if open_nodes[i].tag in ends:
-                    del open_nodes[i:]
-                    break
+            if (i := innermost(ends)) > innermost(bounds):
+                end_at(i)
         node = Node(tag, _mark(m[3]))
         open_nodes[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else (size if tag in ("script", "style", "textarea", "title") else at)
         elif tag not in VOID and not m[3].endswith("/"):
-            if len(open_nodes) < 200:  # deeper nesting is flattened
-                open_nodes.append(node)
+            places.setdefault(tag, []).append(len(open_nodes))
+            if tag in BLOCKS and tag != "p":
+                blocks.append(len(open_nodes))
+            open_nodes.append(node)
     return root
 
 
@@ -121,18 +124,22 @@ def _squeezed(text: str) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
-def _hashed(node: Node) -> int:
+def _hashed(root: Node) -> int:
     import xxhash
 
-    parts = [node.tag, node.mark]
-    for k in node.kids:
-        if isinstance(k, str):
-            if t := k.strip():
-                parts.append("t" + t)
-        else:
-            parts.append("n%x" % _hashed(k))
-    node.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-    return node.hash
+    order = [root]
+    for node in order:
+        order += [k for k in node.kids if isinstance(k, Node)]
+    for node in reversed(order):  # children before their parents
+        parts = [node.tag, node.mark]
+        for k in node.kids:
+            if isinstance(k, str):
+                if t := k.strip():
+                    parts.append("t" + t)
+            else:
+                parts.append("n%x" % k.hash)
+        node.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return root.hash
 
 
 def _never(node: Node) -> bool:
@@ -187,27 +194,31 @@ def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset()) ->
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, plain: bool) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
-                line.append(k)
-                continue
-            if k.tag in ("br", "wbr", "img"):
-                line.append(" " if k.tag == "br" else "")
-                continue
-            guarded = plain and k.tag in PLAIN or k.tag not in BLOCKS
-            if _never(k) or k.hash in templates and not guarded:
-                continue
-            if k.tag in BLOCKS:
-                flush()
-                walk(k, plain)
-                flush()
+    def walk(top: Node, plain: bool) -> None:
+        stack = [(iter(top.kids), True)]  # and whether a line ends behind
+        while stack:
+            kids, ends = stack[-1]
+            for k in kids:
+                if isinstance(k, str):
+                    line.append(k)
+                    continue
+                if k.tag in ("br", "wbr", "img"):
+                    line.append(" " if k.tag == "br" else "")
+                    continue
+                guarded = plain and k.tag in PLAIN or k.tag not in BLOCKS
+                if _never(k) or k.hash in templates and not guarded:
+                    continue
+                if k.tag in BLOCKS:
+                    flush()
+                stack.append((iter(k.kids), k.tag in BLOCKS))
+                break
             else:
-                walk(k, plain)
+                stack.pop()
+                if ends:
+                    flush()
 
     for top in tops or [root]:
         walk(top, bool(tops))
-        flush()
     return "\n".join(blocks)
 
 

@@ -247,3 +247,14 @@ def test_deep_and_long_pages():
     assert htmltext.main_text(htmltext.parse("<div>" * 5000 + "x" + "</div>" * 5000)) == "x"
     assert htmltext.main_text(htmltext.parse("<p>" + "word " * 200_000)) == ("word " * 200_000).strip()
     assert htmltext.main_text(htmltext.parse("<" * 20_000)) == "<" * 20_000
+
+
+def test_text_after_and_in_deep_nesting():
+    deep = "<div><article>" + "<div>" * 250 + "text" + "</div>" * 250 + "<p>rest</p></article></div>"
+    assert htmltext.main_text(htmltext.parse(deep)) == "text\nrest"
+    menu = "<div>" * 300 + "<nav>menu</nav><aside><p>side</p></aside><p>own</p>" + "</div>" * 300 + "<p>rest</p>"
+    root = htmltext.parse(menu)
+    assert len(htmltext._candidates(root)) == 302 and htmltext.main_text(root) == "own\nrest"
+    for odd in ("<b>" * 50_000 + "x" + "</i>" * 50_000, "<div>" * 50_000 + "x" + "<li></li>" * 50_000 + "</b>" * 50_000, "<table><tr><td>" * 20_000 + "x", "<p><b>" * 50_000 + "x" + "</b></p>" * 50_000):
+        assert htmltext.main_text(htmltext.parse(odd)) == "x"
+        htmltext._candidates(htmltext.parse(odd))
