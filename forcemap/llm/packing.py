@@ -6,6 +6,9 @@ window exactly are enumerated, non-negative least squares finds how often to rep
 histogram, and the repeats are rounded down to what the histogram holds. Rests left over are packed greedily, longest
 first, each cut where a window ends. Only the last window of a block can be short, and it is padded to the full length.
 
+Ids are those of the named library's plain call without a template's tokens: text that spells an added token, such as
+``<|endoftext|>``, gets that token's id. With ``added_tokens=False`` special ones are text like any other.
+
 Every task packs its own rows: no shuffle, and no state that grows with the table. Sequence ids are the task's number in
 the high bits and a count in the low ones, so a task that runs again writes the same rows.
 
@@ -38,10 +41,11 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The same vocabulary and split pattern run in the faster of the two installed libraries. The pattern's look-ahead only
-    matters where white space follows white space, so texts without that take the pattern without it, faster still.
+    matters where white space follows white space, so texts without that take the pattern without it, faster still. A text
+    that spells an added token goes to the named library. ``added_tokens``: whether special ones get their own ids.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import json
         import os
         import re
@@ -51,13 +55,16 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added_tokens
         # The usual printable stand-ins of the 256 bytes in byte-level vocabularies.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        added = self.whole.get_added_tokens_decoder().values()
+        special = {t.content for t in added}
+        spelled = [t.content for t in added if added_tokens or not t.special]
+        self.spelled = re.compile("|".join(map(re.escape, spelled))) if spelled else None
         ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
         self.single = tiktoken.Encoding("single", pat_str=rf"{words}|\s+", mergeable_ranks=ranks, special_tokens={})
@@ -69,7 +76,9 @@ class Encoder:
         from array import array
 
         found = self.special_case.search(text)
-        if found is None:
+        if self.spelled is not None and self.spelled.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        elif found is None:
             ids = self.single.encode_ordinary(text)
         elif self.foreign.search(text, found.start()) is None:
             ids = self.spaced.encode_ordinary(text)
@@ -156,13 +165,13 @@ def pack_block(lengths: list[int], window: int = WINDOW):
     return windows
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, block_tokens: int = BLOCK_TOKENS, added_tokens: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
     rows = ids_and_texts(df, id_col, text_col)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer), end.to_bytes(4, "little")
+        encoder, tail = Encoder(tokenizer, added_tokens), end.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         rests, held, out = [], 0, []  # rests: (doc, start, ids, doc_tokens)
 

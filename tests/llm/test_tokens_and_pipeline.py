@@ -102,6 +102,18 @@ def test_small_blocks_and_awkward_rows(spark, tokenizer):
     assert packing.pack(empty(spark), JSON).count() == 0
 
 
+def test_spelled_tokens_get_the_ids_of_the_plain_call(spark):
+    plain = Tokenizer.from_file(JSON)
+    texts = odd_texts()[:300] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "<|endoftext|>  日本 é", "  <|endoftext|> \n"]
+    encode = packing.Encoder(JSON, added_tokens=True)
+    for t in texts:
+        assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    rows = dict(enumerate(texts[-5:]))
+    got = packing.pack(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), JSON).collect()
+    check_pieces(got, rows, plain)
+    assert next(r["doc_tokens"] for r in got if r["doc_id"] == 0) == 5  # 64, 220, 50256, 275 and the end
+
+
 def test_least_squares_uses_the_histogram():
     rng = random.Random(8)
     lengths = [rng.randint(1, 2047) for _ in range(4000)]
