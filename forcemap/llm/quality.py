@@ -9,7 +9,8 @@ menus and stutters show in any language. A logistic curve over the four, fitted
 haven't seen, turns these into a score.
 
 Labelled rows are used up to ``SAMPLE_ROWS`` (chosen by a hash of their id) with up to ``PIECES_PER_ROW`` pieces each:
-a bound for the fit only. Scoring reads whole texts.
+a bound for the fit only. A dictionary holds ``DICTIONARY_BYTES``, the real bound of what is learned: every sampled text of
+its half of the class has an equal share of it, in slices at hashed places. Scoring reads whole texts.
 
 Defined results: a null text is empty; an empty text gets the share of good labels; without labels of both classes
 every text gets that share (one half without any); repeated labels of an id count once, the largest one; a null id is
@@ -32,6 +33,7 @@ SAMPLE_ROWS = 4_000
 PIECES_PER_ROW = 8
 PIECE = 2_000
 DICTIONARY_BYTES = 112 << 10
+SLICE = 200  # A text's share is cut from so many pieces that the slices have this size, where the share allows it.
 BLOCK = 500  # Bytes compressed at a time.
 LEVEL = 6
 THRESHOLD = 0.3
@@ -59,11 +61,30 @@ def sampled_pieces(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return list(once.values())
 
 
-def _dictionary(pieces: list[bytes]):
-    """Raw content: whole pieces up to the size, each a slice of it, so many texts are in it."""
-    share = max(200, DICTIONARY_BYTES // max(1, len(pieces)))
-    content = b"".join(p[:share] for p in pieces)[:DICTIONARY_BYTES]
-    return content
+def _place(*key: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(repr(key).encode())
+
+
+def _dictionary(texts: list[tuple[int, list[bytes]]]) -> bytes:
+    """Raw content: of every (id, pieces) an equal share of the size; what short texts leave goes to the longer ones."""
+    room, left = 0, DICTIONARY_BYTES
+    for k, n in enumerate(sorted(sum(map(len, pieces)) for _, pieces in texts)):
+        room = left // (len(texts) - k)
+        if n > room:
+            break
+        left -= n
+    content = []
+    for i, pieces in texts:
+        if sum(map(len, pieces)) <= room:
+            content += pieces
+            continue
+        n = min(len(pieces), max(1, room // SLICE))
+        for j in sorted(sorted(range(len(pieces)), key=lambda j: _place(i, j))[:n]):
+            at = _place(i, j, 1) % (max(0, len(pieces[j]) - room // n) + 1)
+            content.append(pieces[j][at : at + room // n])
+    return b"".join(content)
 
 
 def _sizes(data: bytes, compressors) -> list[int]:
@@ -142,17 +163,17 @@ def train(sample: list[tuple[int, int, list[str]]], prior: float | None = None)
     share = prior if prior is not None else (sum(labels) / len(labels) if labels else 0.5)
     if len(set(labels)) < 2:
         return {"share": float(share), "dictionaries": None}
-    sides: dict[int, list[list[str]]] = {0: [], 1: []}
-    for _, label, pieces in sample:
-        sides[label].append([p for p in pieces if p])
-    if not all(any(own) for own in sides.values()):
+    sides: dict[int, list[tuple[int, list[str]]]] = {0: [], 1: []}
+    for i, label, pieces in sorted(sample, key=lambda s: (_place(s[0]), s[0])):  # ids may follow source or language
+        sides[label].append((i, [p for p in pieces if p]))
+    if not all(any(pieces for _, pieces in own) for own in sides.values()):
         return {"share": float(share), "dictionaries": None}
-    learned = [[p for own in sides[k][::2] for p in own] or [p for own in sides[k] for p in own] for k in (0, 1)]
-    dictionaries = [[_dictionary([view(p).encode("utf-8", "surrogatepass") for p in own]) for own in learned] for view in (str, shape)]
+    learned = [[t for t in sides[k][::2] if t[1]] or [t for t in sides[k] if t[1]] for k in (0, 1)]
+    dictionaries = [[_dictionary([(i, [view(p).encode("utf-8", "surrogatepass") for p in pieces]) for i, pieces in own]) for own in learned] for view in (str, shape)]
     compressors = _compressors(dictionaries)
     x, y = [], []
     for label, own in sides.items():
-        for pieces in own[1::2] or own:
+        for _, pieces in own[1::2] or own:
             if f := features("".join(pieces), compressors):
                 x.append(f)
                 y.append(label)

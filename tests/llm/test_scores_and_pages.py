@@ -107,6 +107,15 @@ def test_quality_ignores_held_out_labels(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, flipped)
 
 
+def test_dictionaries_hold_every_sampled_text_of_their_half():
+    rng = random.Random(2)
+    sample = [(i, i % 2, [f"<{i}>" * 300, f"<{i}>" * rng.randint(1, 300)]) for i in range(10_000, 11_500)]
+    bad, good = quality.train(sample)["dictionaries"][0]
+    held = [f"<{i}>".encode() in (bad, good)[label] for i, label, _ in sample]
+    assert sum(held) >= 750 and 200 < sum(held[:500]) < 310 and 200 < sum(held[-500:]) < 310
+    assert max(len(bad), len(good)) <= quality.DICTIONARY_BYTES
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_report(awkward(spark), none).collect()
