@@ -10,6 +10,7 @@ each is decoded by itself, and the windows' spans are reconciled over the whole
 set of spans that don't overlap with the greatest total score, a span counting less the nearer it is to its window's edge.
 Stretches further than ``MARGIN`` from any such character hold no span by definition and aren't tagged.
 
+A window or stretch may end within a long address, so a proposed address grows to the whole of what its letters belong to.
 An added span passes its kind's check on its digits and touches no base span. Base spans always stay.
 
 Defined results: a null text is empty; ids may be null or repeat; an empty table gives an empty result.
@@ -46,6 +47,11 @@ IP_SEARCH = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 AT = r"[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]"
 TRIGGER = re.compile(rf"[0-9@]+|{AT}")
 ADDED_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+\s?(?:@|{AT})\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[{{<]\s?(?:dot|DOT|\.)\s?[)\]}}>])\s?[A-Za-z0-9-]+)+")
+#: What belongs to an address before a part of it and behind it; a bare dot only joins without blanks.
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+DOMAIN = r"(?:(?:\.|\s?[(\[{<]\s?(?:dot|DOT|\.)\s?[)\]}>]\s?)[A-Za-z0-9-]+)*+"
+ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]++\s?(?:@|{AT})\s?[A-Za-z0-9-]++{DOMAIN}")
+BEHIND = re.compile(rf"[A-Za-z0-9-]*+{DOMAIN}")
 WINDOW, STRIDE, MARGIN = 96, 48, 40
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -292,6 +298,14 @@ def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, i
     return [reconcile(found) if found else [] for found in out]
 
 
+def _whole_address(text: str, start: int, end: int) -> tuple[int, int]:
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    m = ADDRESS.match(text, start)
+    end = max(end, m.end() if m else 0)
+    return start, BEHIND.match(text, end).end()
+
+
 def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, kind, end) in order."""
     out = []
@@ -302,9 +316,14 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
         for s, k, e in proposed:
             while e > s and (text[e - 1] in ".,;:!?-/" or text[e - 1].isspace()):
                 e -= 1
-            before = bisect.bisect_left(starts, e)  # base spans that begin before the end; the furthest of them decides
-            if e > s and _plausible(k, text[s:e]) and not (before and reach[before - 1] > s):
-                added.append((s, k, e))
+            if e <= s:
+                continue
+            forms = [_whole_address(text, s, e), (s, e)] if KINDS[k] == "email" else [(s, e)]
+            for a, b in forms:
+                before = bisect.bisect_left(starts, b)  # base spans that begin before the end; the furthest of them decides
+                if not (added and added[-1][2] > a) and _plausible(k, text[a:b]) and not (before and reach[before - 1] > a):
+                    added.append((a, k, b))
+                    break
         out.append((base, sorted(base + added)))
     return out
 

@@ -166,6 +166,20 @@ def test_windows_are_reconciled_over_long_runs(model):
     assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_long_spelled_addresses_are_whole(model):
+    rng, partly, whole = random.Random(12), 0, 0
+    word = lambda n: "".join(rng.choice("abcdeilmnorst") for _ in range(n))
+    for n in (1, 2, 3, 4) * 10:
+        dot = rng.choice([" [dot] ", " (dot) "])
+        address = word(rng.randint(3, 12 * n)) + rng.choice([" (at) ", " [at] "]) + dot.join(["web" + word(3 * n), *(word(8) for _ in range(2 * n)), "example", "org"])
+        text = f"{word(5)} {word(40)} {address} {word(6)}, {word(30)}. {word(7)}"
+        start = text.index(address)
+        found = [(s, e) for s, k, e in pii.all_spans([text], model)[0][1] if s < start + len(address) and e > start]
+        whole += found == [(start, start + len(address))]
+        partly += bool(found) and found != [(start, start + len(address))]
+    assert partly == 0 and whole >= 30
+
+
 def test_interval_scheduling_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
