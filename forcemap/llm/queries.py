@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forcemap.llm import bpe, exact_dedup, htmltext, packing, pii, quality, secrets, simhash, urls, winnow
+from forcemap.llm import bpe, exact_dedup, htmltext, importance, packing, pii, quality, secrets, simhash, urls, winnow
 from forcemap.llm.common import bounded_batches, table
 
 
@@ -36,8 +36,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": _on("pages", htmltext.extract),
     "op9_packing": lambda spark, sf_dir: packing.pack(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
     "op10_bpe": lambda spark, sf_dir: bpe.encode_decode(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken")),
+    "op11_importance": lambda spark, sf_dir: importance.resample(table(bounded_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
+
 def _secrets_sql() -> str:
     """The scan in SQL: positions from the gaps between matches; entropy of every window by counting its characters."""
     kinds = [("assign", secrets.ASSIGN, 2, 12), ("access", secrets.ACCESS, 0, 18), ("hex", secrets.HEX.replace("+", "{16,}"), 0, 16), ("entropy", secrets.CANDIDATE, 0, 0)]
@@ -66,7 +68,25 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN g USING (doc_id)"""
 
 
+#: CRC-32 of the different words by the table of the reflected polynomial, over the bytes of their hexadecimal form.
+_IMPORTANCE_SQL = """
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    side AS (SELECT 0 AS target, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+    words AS MATERIALIZED (SELECT target, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM side),
+    bytes AS (SELECT word, list_transform(range(0, length(hex(word)) // 2), lambda i: ('0x' || hex(word)[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM (SELECT DISTINCT word FROM words)),
+    hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+    found AS MATERIALIZED (SELECT target, doc_id, bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+    totals AS (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target = 1), 0)::DOUBLE AS t FROM found GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000e0 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000) / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000))))::BIGINT AS gain FROM totals),
+    weights AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id),
+    scored AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                      (coalesce(weight, 0) + floor(-1000e0 * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5e0) / 4294967296e0))))::BIGINT AS score FROM documents d LEFT JOIN weights USING (doc_id)),
+    placed AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS place FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM placed"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_importance": _IMPORTANCE_SQL,
     "op3_secrets": _secrets_sql(),
     "op5_exact_dedup": """
         SELECT doc_id,
