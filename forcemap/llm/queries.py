@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forcemap.llm import bpe, exact_dedup, htmltext, importance, packing, pii, quality, secrets, simhash, urls, winnow
+from forcemap.llm import bpe, exact_dedup, htmltext, importance, lmscore, packing, pii, quality, secrets, simhash, urls, winnow
 from forcemap.llm.common import bounded_batches, table
 
 
@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": lambda spark, sf_dir: packing.pack(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
     "op10_bpe": lambda spark, sf_dir: bpe.encode_decode(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken")),
     "op11_importance": lambda spark, sf_dir: importance.resample(table(bounded_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_mixing": _on("documents", lmscore.language_scores),
 }
 
 
