@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forcemap.llm import bpe, exact_dedup, htmltext, importance, lmscore, packing, pii, quality, secrets, simhash, urls, winnow
+from forcemap.llm import bpe, exact_dedup, htmltext, importance, lmscore, negatives, packing, pii, quality, secrets, simhash, urls, winnow
 from forcemap.llm.common import bounded_batches, table
 
 
@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": lambda spark, sf_dir: bpe.encode_decode(table(bounded_batches(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken")),
     "op11_importance": lambda spark, sf_dir: importance.resample(table(bounded_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op12_mixing": _on("documents", lmscore.language_scores),
+    "op13_negatives": _on("embeddings", negatives.mine),
 }
 
 
@@ -86,7 +87,19 @@ _IMPORTANCE_SQL = """
     SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM placed"""
 
 
+#: Every anchor with every row; the registered query searches trees instead.
+_NEGATIVES_SQL = """
+    WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256e0 * x::DOUBLE)) AS v
+          FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, list_inner_product(a.v, o.v)::BIGINT AS score FROM r a JOIN r o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, p.other AS positive_id, row_number() OVER w::INTEGER AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    WINDOW w AS (PARTITION BY anchor_id, p.other ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 3"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_negatives": _NEGATIVES_SQL,
     "op11_importance": _IMPORTANCE_SQL,
     "op3_secrets": _secrets_sql(),
     "op5_exact_dedup": """

@@ -220,7 +220,7 @@ def test_stages_keep_columns_and_take_awkward_and_empty_tables(spark):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert [n for n in names if n.startswith("op")] == ["op1_pii", "op2_simhash", "op3_secrets", "op4_winnowing", "op5_exact_dedup", "op6_quality", "op7_urls", "op8_html", "op9_packing", "op10_bpe", "op11_importance", "op12_mixing"]
+    assert [n for n in names if n.startswith("op")] == ["op1_pii", "op2_simhash", "op3_secrets", "op4_winnowing", "op5_exact_dedup", "op6_quality", "op7_urls", "op8_html", "op9_packing", "op10_bpe", "op11_importance", "op12_mixing", "op13_negatives"]
     assert "pipeline" in names
 
 
