@@ -8,7 +8,9 @@ provably settled; if not, the window grows on that side by one token.
 
 A text splits into the pattern's matches, which are encoded separately, so joining at their borders is plain concatenation.
 A space between two characters that aren't white space always begins a match, so a text divides there into words, and
-words that repeat are taken from a bounded table. Decoding joins the tokens' bytes up the same tree.
+words that repeat are taken from a bounded table. A match divides at the largest power of two below its length, so words
+that begin alike have the same left parts, and these are kept too. Tables are kept by the worker process for all its tasks
+and have two generations: what was used since the last change stays. Decoding joins the tokens' bytes up the same tree.
 
 Defined results: a null text is empty and has no token; ids may be null or repeat; an empty table gives an empty result;
 unpaired surrogates, which Spark's strings can't hold, would be encoded as the library does, by the replacement character.
@@ -39,25 +41,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Kept(dict):
+    """A bounded table of two generations: when the young one is full it becomes the old one; what is asked for comes back."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder over a rank table: token bytes to id, lower ids merge first."""
 
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF, table: int = TABLE) -> None:
-        self.ranks, self.leaf, self.table = ranks, leaf, table
+        self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.short: dict[bytes, list[bytes]] = {}
+        self.pairs, self.short, self.left = Kept(table), Kept(table), Kept(table)
 
     def few(self, data: bytes) -> list[bytes]:
         """``direct``, with the results for short strings kept in a bounded table; the caller doesn't change them."""
         if len(data) > SHORT:
             return self.direct(data) if len(data) <= 256 else self._long(data)
-        found = self.short.get(data)
-        if found is None:
-            if len(self.short) > self.table:
-                self.short.clear()
-            found = self.short[data] = self.direct(data)
-        return found
+        found = self.short[data]
+        return self.short.keep(data, self.direct(data)) if found is None else found
 
     def direct(self, data: bytes) -> list[bytes]:
         """Tokens of few bytes by merging the lowest-ranked neighbours, leftmost first."""
@@ -82,12 +100,8 @@ class Codec:
 
     def _settled(self, a: bytes, b: bytes) -> bool:
         """Whether the two tokens stay as they are next to each other."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > self.table:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.few(a + b) == [a, b]
-        return known
+        known = self.pairs[a, b]
+        return self.pairs.keep((a, b), a + b not in self.ranks and self.direct(a + b) == [a, b]) if known is None else known
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of the joined bytes of two encodings."""
@@ -134,10 +148,19 @@ class Codec:
 
     def tree(self, data: bytes) -> list[bytes]:
         """Tokens of one match, by halves."""
-        if len(data) <= self.leaf or data in self.ranks:
+        if data in self.ranks:
+            return [data]
+        if len(data) <= self.leaf:
             return self.few(data)
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        cut = 1 << (len(data) - 1).bit_length() - 1
+        return self.join(self._left(data[:cut]), self.tree(data[cut:]))
+
+    def _left(self, data: bytes) -> list[bytes]:
+        """``tree`` of a left part, kept where it is short; the caller doesn't change it."""
+        if len(data) > SHORT:
+            return self.tree(data)
+        found = self.left[data]
+        return self.left.keep(data, self.tree(data)) if found is None else found
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids, joined up a tree of halves."""
@@ -153,19 +176,16 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, table: int = TABLE) -> None:
         import regex
 
-        self.codec, self.pattern, self.most = Codec(ranks, table=table), regex.compile(pattern), table
-        self.matches: dict[str, list[int]] = {}
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.codec, self.pattern, self.plain = Codec(ranks, table=table), regex.compile(pattern), pattern == PATTERN
+        self.matches, self.words = Kept(table), Kept(table)
 
     def match_ids(self, match: str) -> list[int]:
-        ids = self.matches.get(match)
+        ids = self.matches[match]
         if ids is None:
             ranks = self.codec.ranks
             ids = [ranks[t] for t in self.codec.tree(match.encode("utf-8", "replace"))]
             if len(match) <= 32:
-                if len(self.matches) > self.most:
-                    self.matches.clear()
-                self.matches[match] = ids
+                self.matches.keep(match, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -173,7 +193,9 @@ class TextCodec:
 
     def _part(self, text: str) -> tuple[int, bytes, bytes]:
         """(tokens, ids in decimal with commas before, decoded bytes) of a part that begins and ends between matches."""
-        ids = self.encode(text)
+        return self._whole(self.encode(text))
+
+    def _whole(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         return len(ids), ("," + ",".join(map(str, ids))).encode() if ids else b"", self.codec.decode(ids)
 
     def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
@@ -182,21 +204,38 @@ class TextCodec:
         if words and (not head or head[-1].isspace()):
             return [self._part(text)]
         known = self.words
-        if len(known) > self.most:
-            known.clear()
-        out = list(map(known.get, words))
+        out = list(map(known.__getitem__, words))
         if None in out:
             for i, found in enumerate(out):
                 if found is None:
                     w = words[i]
                     if not w or w != w.strip():
                         return [self._part(text)]  # white space next to a space: the text as a whole
-                    found = known.get(w)
-                    out[i] = found = found or self._part(" " + w)
-                    if len(w) <= 32:
-                        known[w] = found
+                    out[i] = known[w] or self._word(w)
         return [self._part(head), *out]
 
+    def _word(self, word: str) -> tuple[int, bytes, bytes]:
+        if not self.plain or len(word) > 32:
+            found = self._part(" " + word)
+            return found if len(word) > 32 else self.words.keep(word, found)
+        # Letters alone are one match; up to U+024F every version of the character tables agrees on what a letter is.
+        if word.isalpha() and max(word) < "\u0250":
+            ranks = self.codec.ranks
+            found = self._whole([ranks[t] for t in self.codec.tree((" " + word).encode())])
+        else:
+            found = self._part(" " + word)
+        return self.words.keep(word, found)
+
+
+_CODECS: dict[tuple[str, str], TextCodec] = {}
+
+
+def _codec(ranks_path: str, pattern: str) -> TextCodec:
+    """The worker process's codec, with what its earlier tasks have met."""
+    if (ranks_path, pattern) not in _CODECS:
+        _CODECS[ranks_path, pattern] = TextCodec(load_ranks(ranks_path), pattern)
+    return _CODECS[ranks_path, pattern]
+
 
 def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
@@ -204,7 +243,7 @@ def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(load_ranks(ranks_path), pattern)
+        codec = _codec(ranks_path, pattern)
         for batch in batches:
             counts, ids, back = [], [], []
             for text in batch.column("text").to_pylist():
@@ -222,7 +261,7 @@ def encode_texts(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     rows = ids_and_texts(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(load_ranks(ranks_path), pattern)
+        codec = _codec(ranks_path, pattern)
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
