@@ -2,9 +2,11 @@
 
 Every element's subtree (tags, classes and text, not links) is hashed. Spark counts, per host, the different pages that
 hold each hash: rows with the same html are one page, so copies of a page don't make its text a template. A subtree that recurs on many pages of its host is template and is deleted; what is left is text. Elements that
-are never main text by their kind (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) go too.
-Where a page marks its article, only the article counts, and a plain paragraph or heading in it is never taken for
-template: sites do publish the same paragraph often, and dropping it would lose text.
+are never main text by their kind (menus, headers, footers, asides, forms, scripts, adverts, comments) go too, by tag, role
+or a word in a class or id. Words that also name parts of an article (``header``, ``share``, ``menu``) only count outside of
+articles and on containers; inside one, such an element goes if it recurs. Where a page marks its article, only the article
+counts, and a plain paragraph or heading in it without such a word is never taken for template: sites do publish the same
+paragraph often, and dropping it would lose text.
 
 Recurring: on at least ``LEAST_PAGES`` different pages and ``LEAST_SHARE`` of the host's different pages. The share bounds the templates of a
 host to the subtrees of a page divided by it, whatever the host's size.
@@ -40,39 +42,108 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr table tb
 #: A start tag of the key ends an open element of these kinds, up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-#: Words in a class or id that name parts which aren't main text.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adbox|banner|promo|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar"
-    r"|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comment|comments|disqus"
-    r"|reply|replies|respond|widget|pagination|pager|skip|toolbar)(?:$|[\s_-])",
-    re.I,
-)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words in a class or id that name parts which are never main text,
+HARD_WORDS = "ad ads advert advertisement adbox sponsor sponsored navbar breadcrumb breadcrumbs sidebar side-bar cookie cookies consent popup modal newsletter subscribe comment comments disqus reply replies respond pagination pager"
+#: and words that often do, but also name parts of an article: inside one, counting has to agree.
+SOFT_WORDS = "banner promo nav navigation menu footer header masthead notice share sharing social related widget skip toolbar"
+HARD, SOFT = (re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-])", re.I) for words in (HARD_WORDS, SOFT_WORDS))
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What decides where a tag ends: its end, or a value's beginning.
+NEXT = re.compile(r"[>=]")
+SPACE, BARE = re.compile(r"\s*"), re.compile(r"[^\s>]*")
+ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)?))?""")
+#: Headings, paragraphs and inline elements aren't dropped for a soft word alone.
+OWN = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "kids", "hash")
+    """``part`` says by its kind: 0 may be main text, 1 only if it doesn't recur (or isn't in an article), 2 never."""
+
+    __slots__ = ("tag", "mark", "part", "kids", "hash")
 
-    def __init__(self, tag: str, mark: str = "") -> None:
-        self.tag, self.mark, self.kids, self.hash = tag, mark, [], None
+    def __init__(self, tag: str, mark: str = "", part: int = 0) -> None:
+        self.tag, self.mark, self.part, self.kids, self.hash = tag, mark, part, [], None
 
 
-def _mark(attributes: str) -> str:
+def _marked(tag: str, attributes: str) -> tuple[str, int]:
+    """What a node's hash takes from its attributes, and its ``part``."""
+    part = 2 if tag in NEVER else 0
     if not attributes or attributes.isspace():
-        return ""
-    return " ".join(f"{m[1].lower()}={(m[2] or m[3] or m[4] or '').strip()}" for m in ATTRIBUTE.finditer(attributes))
+        return "", part
+    marks = []
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        marks.append(f"{name}={value}")
+        if name in ("class", "id"):
+            part = max(part, 2 if HARD.search(value) else 1 if SOFT.search(value) else 0)
+        elif name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
+            part = 2
+    return " ".join(marks), part
+
+
+class _Tags:
+    """Finds tags by the rules for attributes: quotes only count where a value begins. Every search is made once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.no_end: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its ``>``; -1 if nowhere."""
+        page, last = self.page, self.last
+        start = at
+        while m := NEXT.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = SPACE.match(page, m.end()).end()
+            quote = page[at : at + 1]
+            if quote not in ("'", '"') or not quote:
+                at = BARE.match(page, at).end()
+            elif at < last[quote]:
+                at = page.index(quote, at + 1) + 1
+            else:
+                return page.find(">", start)  # a quote that never ends
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of the raw element; -1 if there is none."""
+        if tag in self.no_end:
+            return -1
+        if found := re.compile(rf"</{tag}\s*>", re.I).search(self.page, at):
+            return found.end()
+        self.no_end.add(tag)
+        return -1
+
+    def at(self, at: int) -> tuple[int, str, str, str] | None:
+        """(behind, slash, name, attributes) of the markup at a ``<``, name empty for comments; None for a lone character."""
+        page = self.page
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) if "--" not in self.no_end else -1
+            if stop < 0:
+                self.no_end.add("--")
+            return (len(page) if stop < 0 else stop + 3), "", "", ""
+        if at > self.last[">"]:
+            return None
+        if page[at + 1 : at + 2] in ("!", "?"):
+            return page.index(">", at) + 1, "", "", ""
+        m = NAME.match(page, at + 1)
+        if not m:
+            return None
+        stop = self.end(m.end())
+        return None if stop < 0 else (stop + 1, m[1], m[2].lower(), page[m.end() : stop])
 
 
 def parse(page: str) -> Node:
     """A tree of nodes and strings; strings still hold character references. Elements nest to any depth."""
     root = Node("html")
-    open_nodes, at, size = [root], 0, len(page)
+    open_nodes, at, size, tags = [root], 0, len(page), _Tags(page)
     places: dict[str, list[int]] = {}  # per tag, where it is open; so nesting costs no search
     blocks = [0]  # where blocks but paragraphs are open
 
-    def innermost(tags) -> int:
-        return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+    def innermost(kinds) -> int:
+        return max((own[-1] for t in kinds if (own := places.get(t))), default=0)
 
     def end_at(i: int) -> None:
         for gone in reversed(open_nodes[i:]):
@@ -83,18 +154,17 @@ def parse(page: str) -> Node:
 
     while at < size:
         end = page.find("<", at)
-        while end >= 0 and not (m := TOKEN.match(page, end)):
+        while end >= 0 and not (found := tags.at(end)):
             end = page.find("<", end + 1)  # a lone character
         if end < 0:
             open_nodes[-1].kids.append(page[at:])
             break
         if end > at:
             open_nodes[-1].kids.append(page[at:end])
-        at = m.end()
-        if m[2] is None:
+        at, slash, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             i = innermost((tag,))
             if i and (tag in BLOCKS or i > blocks[-1]):  # an inline end tag doesn't close a block
                 end_at(i)
@@ -107,12 +177,12 @@ def parse(page: str) -> Node:
             ends, bounds = ENDS[tag]
             if (i := innermost(ends)) > innermost(bounds):
                 end_at(i)
-        node = Node(tag, _mark(m[3]))
+        node = Node(tag, *_marked(tag, attributes))
         open_nodes[-1].kids.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else (size if tag in ("script", "style", "textarea", "title") else at)
-        elif tag not in VOID and not m[3].endswith("/"):
+            close = tags.raw_end(tag, at)
+            at = close if close >= 0 else (size if tag in ("script", "style", "textarea", "title") else at)
+        elif tag not in VOID and not attributes.endswith("/"):
             places.setdefault(tag, []).append(len(open_nodes))
             if tag in BLOCKS and tag != "p":
                 blocks.append(len(open_nodes))
@@ -142,18 +212,9 @@ def _hashed(root: Node) -> int:
     return root.hash
 
 
-def _never(node: Node) -> bool:
-    if node.tag in NEVER:
-        return True
-    if not node.mark:
-        return False
-    for word in re.findall(r"(\S+?)=([^=]*)(?= \S+=|$)", node.mark):
-        name, value = word
-        if name in ("class", "id") and PARTS.search(value):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+def _never(node: Node, article: bool = False) -> bool:
+    """Left out by its kind alone; in an article, and for headings, paragraphs and inline elements, a soft word isn't enough."""
+    return node.part == 2 or node.part == 1 and not article and node.tag in BLOCKS and node.tag not in OWN
 
 
 def _articles(node: Node, tag: str) -> list[Node]:
@@ -176,7 +237,7 @@ def _candidates(root: Node) -> set[int]:
     found, stack = set(), [k for k in root.kids if isinstance(k, Node)]
     while stack:
         n = stack.pop()
-        if _never(n):
+        if _never(n, True):
             continue
         if n.kids:
             found.add(n.hash)
@@ -205,8 +266,8 @@ def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset()) ->
                 if k.tag in ("br", "wbr", "img"):
                     line.append(" " if k.tag == "br" else "")
                     continue
-                guarded = plain and k.tag in PLAIN or k.tag not in BLOCKS
-                if _never(k) or k.hash in templates and not guarded:
+                guarded = (plain and k.tag in PLAIN or k.tag not in BLOCKS) and not k.part
+                if _never(k, plain) or k.hash in templates and not guarded:
                     continue
                 if k.tag in BLOCKS:
                     flush()

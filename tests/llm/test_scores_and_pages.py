@@ -230,6 +230,68 @@ def test_markup(page, text):
     assert htmltext.main_text(htmltext.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p title=it's>three</p>", "three"),
+        ("<p title='a>b' data-x=\"c'>\" q=1\">four</p>", "four"),
+        ("<p data=a=\"b>five</p>", "five"),
+        ("<p title=\"never ends>six</p><p>seven", "six\nseven"),
+        ("<a title=\"class=ad\" href=x>eight</a>", "eight"),
+        ("<my-tag x>nine</my-tag><br/>ten<img alt='>'>", "nine ten"),
+        ("<p ' \" =>odd</p><p id = 'x' class= y >names</p>", "odd\nnames"),
+        ('<article><h1 class="post-header">Title</h1><p>a <a class=share-price>12</a></p><div class="menu">soup</div></article>', "Title\na 12\nsoup"),
+        ('<h1 class="page-header">Title</h1><div class="page-header">top</div><p class="notice">told</p>', "Title\ntold"),
+        ('<article><div class="share"><nav>x</nav>kept</div><div class="ad-box">y</div><p class=comment>z</p></article>', "kept"),
+    ],
+)
+def test_attributes_and_words_in_classes(page, text):
+    assert htmltext.main_text(htmltext.parse(page)) == text
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<!x", "<a x=\"", "<p title='", "<a =", "<!-- ", "<math><b ", "</p x='", "<x y=z\"", "<select>a"])
+def test_a_megabyte_of_unclosed_markup_is_quick(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    for end in ("", ">", "\">", "'"):
+        begun = time.process_time()
+        htmltext.main_text(htmltext.parse(page + end))
+        assert time.process_time() - begun < 3.0, (piece, end)
+
+
+def test_templates_decide_on_pages_without_an_article(spark):
+    """Made-up sites of stacked boxes: what stays is what plain counting of equal boxes leaves."""
+    rng = random.Random(8)
+    rows, boxes = [], {}
+    shared = {h: [f"<div class='box-{k}'><span>Part {k} of {h}</span><ul><li>one {k}</li><li>two</li></ul></div>" for k in range(6)] for h in ("a.org", "b.org")}
+    for i in range(60):
+        host = ("a.org", "b.org")[i % 2]
+        own = [f"<div><p>Text {i} {j}</p><p>Again {i}</p></div>" for j in range(rng.randrange(1, 4))]
+        mixed = own + [shared[host][k] for k in range(6) if rng.random() < (0.9, 0.5, 0.3, 0.2, 0.04, 0.02)[k]]
+        rng.shuffle(mixed)
+        boxes[i] = mixed
+        rows.append((i, f"http://{host}/{i}", "<body>" + "".join(mixed) + "</body>"))
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plainly = lambda box: [t for t in (x.strip() for x in __import__("re").split(r"</?(?:div|p|ul|li)[^>]*>", box.replace("<span>", "").replace("</span>", ""))) if t]
+    decided = 0
+    for i, own in boxes.items():
+        pages = [j for j in boxes if j % 2 == i % 2]
+        count = {b: sum(b in boxes[j] for j in pages) for b in own}
+        # A list item or a list recurs with whatever boxes hold it; here only whole boxes and equal parts do.
+        parts = {p: sum(any(p in b for b in boxes[j]) for j in pages) for b in own for p in ("<li>two</li>",)}
+        gone = lambda n: n >= htmltext.LEAST_PAGES and n >= htmltext.LEAST_SHARE * len(pages)  # noqa: B023, E731
+        want = []
+        for b in own:
+            if gone(count[b]):
+                decided += 1
+                continue
+            kept = b.replace("<li>two</li>", "") if "<li>two</li>" in b and gone(parts["<li>two</li>"]) else b
+            want += plainly(kept)
+        assert got[i] == "\n".join(want), i
+    assert decided > 50
+
+
 def test_site_templates_go_and_repeated_paragraphs_of_articles_stay(spark):
     rows = [(i, f"http://h.org/{i}", f"<div><div><span>Site slogan</span> and links</div><div><p>Text number {i} of this site.</p></div></div>") for i in range(20)]
     rows += [(100 + i, f"http://g.org/{i}", f"<div>Site slogan</div><article><p>Same licence.</p><p>Own {i}</p></article>") for i in range(20)]
