@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forcemap.operators.intervals import Band, interval_join
+from forcemap.operators.firsthit import first_hit
 
 
 def hourly_coverage(predictions: DataFrame, ticks: DataFrame, tolerance_pct: float = 1.0, top: int = 50) -> DataFrame:
@@ -85,16 +85,15 @@ def correlate(
     right = events.withColumn("_sym", canonical("symbol")).select(
         "_sym", "side", "event_id", "event_ts", "event_price", "event_size"
     )
-    hits = interval_join(left, right, ["_sym", "side"], "_from", "_to", "event_ts", window_seconds, Band("event_price", "_lo", "_hi", 0.02))
-    close = F.try_divide(F.abs(F.col("signal_price") - F.col("event_price")), F.col("signal_price")) * 100 <= tolerance_pct
-    return (
-        hits.filter(close)
-        .groupBy("signal_id")
-        .agg(
-            F.min_by(F.struct("event_id", "event_ts", "event_price", "event_size"), F.struct("event_ts", "event_id")).alias("_e")
-        )
-        .select("signal_id", "_e.*")
+
+    def close(price: Column) -> Column:
+        return F.try_divide(F.abs(F.col("signal_price") - price), F.col("signal_price")) * 100 <= tolerance_pct
+
+    hits = first_hit(
+        left, right, "signal_id", ["_sym", "side"], "_from", "_to", "_lo", "_hi", "event_ts", "event_price",
+        payload=["event_id", "event_size"], accepts=close, carry=["signal_price"], window_seconds=window_seconds, width=0.005,
     )
+    return hits.select("signal_id", "hit.event_id", F.timestamp_micros("hit.us").alias("event_ts"), F.col("hit.price").alias("event_price"), "hit.event_size")
 
 
 def lookup_error(predictions: DataFrame, actuals: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,8 @@ from forcemap.functions.constants import (
     TOUCH_WINDOW_SECONDS,
 )
 from forcemap.operators.distributions import explode_sides
-from forcemap.operators.intervals import Band, interval_join, range_extremes
+from forcemap.operators.firsthit import first_hit
+from forcemap.operators.intervals import range_extremes
 from forcemap.operators.quantiles import ranked_values
 from forcemap.operators.scans import asof, scan, time_chunk
 from forcemap.session import staged
@@ -67,11 +68,8 @@ def touch(
         "obs_id", "symbol", F.col("snapshot_ts").alias("_from"), _shift("snapshot_ts", window_seconds).alias("_to"),
         (F.col("level_price") - tolerance).alias("_lo"), (F.col("level_price") + tolerance).alias("_hi"),
     )
-    hits = interval_join(
-        left, ticks.select("symbol", F.col("ts").alias("_ts"), F.col("price").alias("_price")),
-        ["symbol"], "_from", "_to", "_ts", chunk_seconds, Band("_price", "_lo", "_hi"),
-    )
-    first = hits.groupBy("obs_id").agg(F.min("_ts").alias("touch_ts"))
+    hits = first_hit(left, ticks, "obs_id", ["symbol"], "_from", "_to", "_lo", "_hi", "ts", "price", window_seconds=chunk_seconds)
+    first = hits.select("obs_id", F.timestamp_micros("hit.us").alias("touch_ts"))
     return (
         obs.join(first, "obs_id", "left")
         .withColumn("touched", F.col("touch_ts").isNotNull())
@@ -94,9 +92,8 @@ def confirm(
         (_shift("touch_ts", window_seconds) if end is None else F.col(end)).alias("_to"),
         (F.col("level_price") - tolerance).alias("_lo"), (F.col("level_price") + tolerance).alias("_hi"),
     )
-    right = events.select("symbol", "side", F.col("event_ts").alias("_ts"), F.col("event_price").alias("_price"))
-    hits = interval_join(left, right, ["symbol", "side"], "_from", "_to", "_ts", chunk_seconds, Band("_price", "_lo", "_hi"))
-    first = hits.groupBy("obs_id").agg(F.min("_ts").alias("confirm_ts"))
+    hits = first_hit(left, events, "obs_id", ["symbol", "side"], "_from", "_to", "_lo", "_hi", "event_ts", "event_price", window_seconds=chunk_seconds)
+    first = hits.select("obs_id", F.timestamp_micros("hit.us").alias("confirm_ts"))
     return (
         touched.join(first, "obs_id", "left")
         .withColumn("confirmed", F.col("confirm_ts").isNotNull())

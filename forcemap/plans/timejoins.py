@@ -114,7 +114,7 @@ def manifests(v):
         "symbol", "ts", "price", (F.col("price") * F.col("volume")).alias("gross_value"),
         F.when(F.col("wallet") % 2 == 0, "buy").otherwise("sell").alias("side"),
     ).filter("gross_value >= 500")
-    return snapshots.modelled_snapshots(staged(_inputs(v, 12 * 3600), "inputs"), trades, 2 * 86400, 86400, 2.0)
+    return snapshots.modelled_snapshots(staged(_inputs(v, 12 * 3600), "inputs"), trades, 2 * 86400, 3600, 2.0)
 
 
 @query(

@@ -24,6 +24,13 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpo
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_matches(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Matches given as soon as they were seen: of a signal's matches the one with the earliest event counts."""
+    given = run_to_table(stream, label, path, checkpoint)
+    rest = [c for c in stream.columns if c != "signal_id"]
+    return given.groupBy("signal_id").agg(F.min(F.struct("event_ts", "event_id", *[c for c in rest if c not in ("event_ts", "event_id")])).alias("_m")).select("signal_id", *[f"_m.{c}" for c in rest])
+
+
 def run_updates(stream: DataFrame, keys: list[str], label: str, path: str, checkpoint: str) -> DataFrame:
     """Update-mode stream into a table of versions; returns the latest version per key.
 

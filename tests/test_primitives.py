@@ -1,5 +1,6 @@
 """Scans, as-of lookups, interval joins, quantiles and rolling frames against plain Python."""
 
+import math
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -7,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from forcemap.operators import adaptive, intervals, quantiles, rolling, scans, trends
+from forcemap.operators import adaptive, firsthit, intervals, quantiles, rolling, scans, trends
 from forcemap.operators.intervals import Band
 
 T0 = datetime(2024, 1, 1)
@@ -162,3 +163,69 @@ def test_correlation_p_value(spark):
     df = spark.createDataFrame([(r, n), (0.0, 30), (0.999, 50)], "r double, n long")
     p = [x.p for x in df.select(trends.correlation_p_value("r", "n").alias("p")).collect()]
     assert p[0] == pytest.approx(0.05, abs=1e-9) and p[1] == pytest.approx(1.0) and p[2] < 1e-50
+
+
+def _hit_rows(n, ticks_per_minute, seed=3):
+    """A price walk with many ticks a minute, and levels near its path."""
+    r = random.Random(seed)
+    price, ticks = 100.0, []
+    for i in range(180 * ticks_per_minute):
+        price *= math.exp(r.gauss(0, 0.0012 / math.sqrt(ticks_per_minute)))
+        ticks.append(("ab"[i % 3 == 0], i, T0 + timedelta(seconds=60 * i / ticks_per_minute), round(price, 3)))
+    lefts = []
+    for i in range(n):
+        level = 100.0 * math.exp(r.gauss(0, 0.01))
+        start = T0 + timedelta(seconds=r.choice([0, 60 * r.randrange(150), r.uniform(0, 9000)]))
+        lefts.append((i, "ab"[i % 2], start, start + timedelta(minutes=r.choice([0, 5, 60, 200])), level * (1 - r.choice([0.0, 0.0001, 0.0005, 0.004])), level * (1 + r.choice([0.0, 0.0005]))))
+    lefts += [(n, "a", T0, T0 - timedelta(minutes=1), 1.0, 1e9), (n + 1, "a", T0, T0 + timedelta(days=1), 0.0, 1e9), (n + 2, "z", T0, T0 + timedelta(days=1), 1.0, 1e9), (n + 3, "a", None, T0, 1.0, 2.0), (n + 4, "a", T0, T0 + timedelta(days=1), ticks[2][3], ticks[2][3])]
+    return lefts, ticks
+
+
+LEFT = "id long, k string, a timestamp, b timestamp, lo double, hi double"
+TICK = "k string, n long, ts timestamp, price double"
+
+
+@pytest.mark.parametrize("steps", [(60,), (600, 60, 1)])
+def test_first_hit_equals_a_plain_search(spark, steps):
+    lefts, ticks = _hit_rows(150, 12)
+    ticks += [("a", -5, ticks[9][2], ticks[9][3]), ("a", -9, T0 + timedelta(minutes=7), None), ("a", -8, None, 100.0), ("a", -7, T0, -1.0)]
+    got = firsthit.first_hit(
+        spark.createDataFrame(lefts, LEFT), spark.createDataFrame(ticks, TICK), "id", ["k"], "a", "b", "lo", "hi", "ts", "price", payload=["n"], window_seconds=3600, steps=steps
+    )
+    want = {}
+    for i, k, a, b, lo, hi in lefts:
+        near = [(ts, n, p) for kk, n, ts, p in ticks if kk == k and a and lo > 0 and p and ts and a <= ts <= b and lo <= p <= hi]
+        if near:
+            want[i] = min(near)
+    rows = got.select("id", F.timestamp_micros("hit.us").alias("ts"), "hit.n", "hit.price").collect()
+    assert {r["id"]: (r["ts"].replace(tzinfo=None), r["n"], r["price"]) for r in rows} == want
+    assert 30 < len(want) < 150
+
+
+def test_first_hit_takes_an_exact_rule_and_carried_columns(spark):
+    lefts, ticks = _hit_rows(80, 6)
+    lefts = [(i, k, a, b, (lo + hi) / 2) for i, k, a, b, lo, hi in lefts if a and lo > 0]
+    left = spark.createDataFrame(lefts, "id long, k string, a timestamp, b timestamp, level double").withColumn("lo", F.col("level") * 0.98).withColumn("hi", F.col("level") * 1.02)
+    got = firsthit.first_hit(left, spark.createDataFrame(ticks, TICK), "id", ["k"], "a", "b", "lo", "hi", "ts", "price", accepts=lambda p: F.abs(p - F.col("level")) / F.col("level") * 100 <= 0.25, carry=["level"])
+    want = {}
+    for i, k, a, b, level in lefts:
+        near = [ts for kk, _, ts, p in ticks if kk == k and a <= ts <= b and abs(p - level) / level * 100 <= 0.25]
+        if near:
+            want[i] = min(near)
+    assert {r["id"]: r["ts"].replace(tzinfo=None) for r in got.select("id", F.timestamp_micros("hit.us").alias("ts")).collect()} == want
+
+
+def test_first_hit_joins_no_more_rows_at_a_higher_tick_rate(spark):
+    """Four and sixty times the ticks of the same hours: rows joined follow the index, not the ticks."""
+    joined = {}
+    for rate in (15, 60, 900):
+        lefts, ticks = _hit_rows(60, rate)
+        frames = []
+
+        def watch(name, rows):
+            frames.append((name, rows))  # noqa: B023
+            return rows
+
+        firsthit.first_hit(spark.createDataFrame(lefts, LEFT), spark.createDataFrame(ticks, TICK), "id", ["k"], "a", "b", "lo", "hi", "ts", "price", steps=(600, 60, 1), watch=watch).collect()
+        joined[rate] = sum(rows.count() for _, rows in frames)
+    assert joined[900] < 3 * joined[15] and joined[900] < 2 * joined[60], joined

@@ -145,6 +145,52 @@ def test_breaker_rule():
     assert [o[1] for o in out] == ["", "", "", "", "rate_limit", "rate_limit"]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_breaker_by_stretches_equals_one_signal_at_a_time(seed, monkeypatch):
+    """Stretches of any window, in batches or alone, against a loop that only counts what the rule speaks of."""
+    from forcemap.streaming import breaker
+
+    r = random.Random(seed)
+    limits = breaker.Limits(r.choice([2, 4, 99]), r.choice([-12.0, -1e9]), r.choice([1, 3, 8]), r.choice([0.0, 600.0, 5000.0]))
+    times = np.cumsum([r.choice([0.0, 30.0, 200.0, 2000.0]) for _ in range(400)])
+    results = np.array([r.choice([-1.5, -0.5, 0.0, 1.0]) for _ in range(400)])
+    want, passed, total, run, halted = [], [], 0.0, 0, None
+    for now, x in zip(times, results, strict=True):
+        if halted and limits.cooldown and now - halted[1] >= limits.cooldown:
+            halted, run = None, 0
+        if not halted:
+            met = [("consecutive_losses", run >= limits.losses), ("session_drawdown", total <= limits.drawdown), ("rate_limit", sum(p > now - 3600 for p in passed) >= limits.per_hour)]
+            halted = next(((name, now) for name, yes in met if yes), None)
+            if not halted:
+                passed.append(now)
+                total, run = total + x, run + 1 if x < 0 else 0
+                met = [("consecutive_losses", run >= limits.losses), ("session_drawdown", total <= limits.drawdown)]
+                halted = next(((name, now) for name, yes in met if yes), None)
+                want.append("")
+                continue
+        want.append(halted[0])
+    monkeypatch.setattr(breaker, "WINDOW", r.choice([1, 7, 256]))
+    for size in (400, 13, 1):
+        b, got = breaker.Breaker(), []
+        for i in range(0, 400, size):
+            got += breaker.pass_signals(b, times[i : i + size], results[i : i + size], limits)
+        assert got == want
+        assert len(b.recent) <= limits.per_hour
+
+
+def test_breaker_loops_over_halts_only():
+    """A million signals with few halts take few searches."""
+    import time
+
+    from forcemap.streaming import breaker
+
+    n = 1_000_000
+    times, results = np.arange(n) * 400.0, np.where(np.arange(n) % 50_000 < 5, -1.0, 1.0)
+    begun = time.perf_counter()
+    reasons = breaker.pass_signals(breaker.Breaker(), times, results, breaker.Limits(4, -1e9, 10, 1800.0))
+    assert time.perf_counter() - begun < 3 and reasons.count("consecutive_losses") == 20 * 4
+
+
 @pytest.mark.parametrize("cap", [3, 50])
 def test_alerts_match_loop(spark, cap):
     r = random.Random(5)
@@ -364,6 +410,54 @@ def test_signal_matches_once_in_any_batches(spark, tmp_path):
         assert {x.signal_id: x.event_id for x in got} == want
 
 
+def _late_rows(seed=9, n=160):
+    """Signals and events by arrival: each comes up to nine minutes after its time, in no order."""
+    r = random.Random(seed)
+    rows = [(900, True, "btc-perp", "long", 100.0, T0), (901, False, "btc", "long", 100.2, T0 + timedelta(minutes=31)), (902, False, "btc", "long", 100.1, T0 + timedelta(minutes=29))]
+    for i in range(n):
+        signal = i % 2 == 0
+        rows.append((i, signal, f"{'btc' if i % 3 else 'eth'}{'-perp' if signal else ''}", r.choice(["long", "short"]), 100.0 * math.exp(r.uniform(-0.03, 0.03)), T0 + timedelta(minutes=20 + 2 * i, seconds=r.randrange(100))))
+    return sorted(rows, key=lambda x: (x[5] + timedelta(minutes=r.uniform(0, 9)) if x[0] < 900 else T0 + timedelta(minutes=31 + (x[0] == 902) * 2)))
+
+
+def _expected_matches(rows):
+    want = {}
+    for i, signal, sym, side, price, ts in rows:
+        near = [e for e in rows if signal and not e[1] and e[2] == sym[:3] and e[3] == side and ts <= e[5] <= ts + timedelta(minutes=30) and abs(price - e[4]) / price * 100 <= 1]
+        if near:
+            want[i] = min(near, key=lambda e: (e[5], e[0]))[0]
+    return want
+
+
+def test_late_event_matches_however_rows_fall_into_batches(spark, tmp_path):
+    """Late rows within the delay change no match: at once or one by one, given early and bettered or only when final."""
+    rows = _late_rows()
+    want = _expected_matches(rows)
+    assert want[900] == 902 and len(want) > 15
+    schema = "id long, is_signal boolean, symbol string, side string, price double, ts timestamp"
+    for batches in (1, 11):
+        for final in (False, True):
+            folder = str(tmp_path / f"late{batches}{final}")
+            path, check = str(tmp_path / f"out{batches}{final}"), str(tmp_path / f"check{batches}{final}")
+            size = -(-len(rows) // batches)
+            for b in range(batches):
+                spark.createDataFrame(rows[b * size : (b + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+            beats = str(tmp_path / f"beats{batches}{final}")
+            closing = spark.createDataFrame([(T0 + timedelta(days=1),)], "ts timestamp")
+            closing.limit(0).write.parquet(beats)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            signals = stream.filter("is_signal").withColumnRenamed("id", "signal_id").drop("is_signal")
+            events = stream.filter("NOT is_signal").withColumnRenamed("id", "event_id").drop("is_signal")
+            make = lambda: state.correlate_stream(signals, events, final=final, beats=spark.readStream.schema(closing.schema).parquet(beats))  # noqa: B023, E731
+            run = sinks.run_to_table if final else sinks.run_matches
+            run(make(), "m", path, check)
+            closing.write.mode("append").parquet(beats)
+            got = run(make(), "m", path, check).collect()
+            assert len(got) == len({x.signal_id for x in got})
+            assert {x.signal_id: x.event_id for x in got} == want, (batches, final)
+            assert all(x.event_ts.replace(tzinfo=None) == next(r[5] for r in rows if r[0] == x.event_id).replace(tzinfo=None) for x in got)
+
+
 def test_scorecard_ignores_repeated_observations(spark):
     obs = [(i, f"e{i % 2}", "s", T0, 100.0 + i % 5, "long", 0.5, 10) for i in range(40)]
     o = spark.createDataFrame(obs, "obs_id long, expert string, symbol string, snapshot_ts timestamp, level_price double, side string, confidence double, distance_bps long")
@@ -375,3 +469,47 @@ def test_scorecard_ignores_repeated_observations(spark):
     pd.testing.assert_frame_equal(once.sort_values(order, ignore_index=True), twice.sort_values(order, ignore_index=True))
     assert once["part"].value_counts().to_dict() == {"slice": 2, "gap": 1, "leader": 1}
     assert once.loc[once["part"] == "slice", "sample_count"].sum() == 40
+
+
+def _snapshot_inputs(spark, step_minutes, hours, odd=0, seed=6):
+    r = random.Random(seed)
+    trades = [("ab"[i % 4 == 0], T0 + timedelta(seconds=60 * r.randrange(60 * hours) if i % 5 == 0 else r.uniform(0, 3600 * hours)), 100.0 * math.exp(r.gauss(0, 0.05)), r.choice(["buy", "sell"]), r.uniform(500, 5000)) for i in range(1500)]
+    grid = [(s, T0 + timedelta(minutes=m + odd), 100.0 * math.exp(r.gauss(0, 0.03)), r.choice([1e4, 3e6, 9e7]), r.choice(["available", "available", "partial", "blocked_source_missing"])) for s in "abc" for m in range(0, 60 * hours, step_minutes)]
+    return grid, trades, spark.createDataFrame(grid, "symbol string, snapshot_ts timestamp, price double, open_interest double, status string"), spark.createDataFrame(trades, "symbol string, ts timestamp, price double, side string, gross_value double")
+
+
+@pytest.mark.parametrize("odd,lookback,unit", [(0, 6 * 3600, 3600), (17, 5 * 3600 + 120, 3600), (0, 1800, 3600), (7, 40 * 60, 600)])
+def test_snapshot_cells_equal_every_trade_in_the_look_back(spark, odd, lookback, unit):
+    from forcemap.functions.constants import MAINTENANCE_TIERS
+
+    grid, trades, inputs, t = _snapshot_inputs(spark, 90, 12, odd)
+    want = {}
+    for sym, at, mark, oi, status in grid:
+        rate = next((rate for cap, rate, _ in MAINTENANCE_TIERS if oi <= cap), MAINTENANCE_TIERS[0][1])
+        for s, ts, price, side, gross in trades:
+            if status.startswith("blocked") or s != sym or not at - timedelta(seconds=lookback) <= ts <= at:
+                continue
+            for lev in LEVERAGE_SHARES:
+                liq = price * ((1 - 1 / lev) + rate) if side == "buy" else price * ((1 + 1 / lev) - rate)
+                if (liq < mark) if side == "buy" else (liq > mark):
+                    key = (sym, at, "long" if side == "buy" else "short", math.floor(liq / 2.0 + 0.5) * 2.0)
+                    want[key] = want.get(key, 0.0) + gross / len(LEVERAGE_SHARES)
+    got = snapshots.snapshot_cells(inputs, t, lookback, 2.0, unit).groupBy("symbol", "snapshot_ts", "side", "price_level").agg(F.sum("volume").alias("v")).collect()
+    assert {(r["symbol"], r["snapshot_ts"].replace(tzinfo=None), r["side"], r["price_level"]): pytest.approx(r["v"]) for r in got} == want
+
+
+def test_snapshot_rows_dont_follow_look_back_over_step(spark):
+    """Eight times the look-back reads few more rows a snapshot: one more block for each doubling."""
+    read = {}
+    for hours in (4, 32):
+        _, _, inputs, t = _snapshot_inputs(spark, 60, 48)
+        seen = []
+
+        def watch(name, rows):
+            seen.append((name, rows))  # noqa: B023
+            return rows
+
+        snapshots.snapshot_cells(inputs, t, hours * 3600, 2.0, 3600, watch).count()
+        counts = {name: rows.count() for name, rows in seen}
+        read[hours] = counts["blocks"]
+    assert read[32] < 3 * read[4], read
