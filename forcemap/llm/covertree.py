@@ -22,6 +22,8 @@ FEW = 12
 LEAF = 64
 #: Share of the largest possible product by which bounds are widened against rounding.
 MARGIN = 1e-7
+#: Below every score: scores are cut at one more.
+NOTHING = -(2**63) + 1
 
 
 @dataclass
@@ -123,13 +125,72 @@ class Search:
         self.below = np.minimum(reach[:, None] * np.cos(np.minimum(angle + tree.angles, np.pi)) - slack, 2.0**63 - 1024)
         self.visited = 0
 
+    def _block(self, queries: np.ndarray, first: int, after: int) -> np.ndarray:
+        """Exact scores of some queries with the rows of a node."""
+        self.visited += len(queries) * int(after - first)
+        scores = self.wanted[queries] @ self.rows[first:after].T
+        if self.kind is object:
+            scores = np.array([[max(2 - 2**63, min(2**63 - 1, int(s))) for s in line] for line in scores], np.int64).reshape(scores.shape)
+        return scores.astype(np.int64)
+
+    def sweep(self, k: int, ids: np.ndarray, labels: np.ndarray, same: bool, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For every query (its id and label) and each of its windows the first ``k`` rows of its label, or of all others.
+
+        One descent for all queries: nodes come best first by the best bound of any query, and a query takes part only
+        where its own bounds reach its window and can still better what it has. ``low`` and ``high`` are (queries, windows);
+        a window without room is left out. Returns scores and ids, (queries, windows, k), ``NOTHING`` where there is none.
+        """
+        tree, n = self.tree, len(self.queries)
+        if low is None:
+            low, high = np.full((n, 1), 2 - 2**63), np.full((n, 1), 2**63 - 1)
+        score, found = np.full((*low.shape, k), NOTHING), np.full((*low.shape, k), NOTHING)
+        at = np.searchsorted(tree.names, labels)
+        known = (at < len(tree.names)) & (tree.names[np.minimum(at, len(tree.names) - 1)] == labels)
+        mine = np.where(known, tree.has[:, np.minimum(at, len(tree.names) - 1)], False)  # nodes x queries
+        below = mine if same else tree.has.sum(axis=1)[:, None] > mine
+        queue = [(0.0, 0, low <= high)]
+        while queue:
+            _, node, active = heapq.heappop(queue)
+            above, under = self.above[:, node, None], self.below[:, node, None]
+            active = active & below[node][:, None] & (above >= low) & (under <= high) & (np.minimum(above, high) >= score[:, :, -1])
+            who = np.flatnonzero(active.any(axis=1))
+            if not len(who):
+                continue
+            first, after = tree.own[node]
+            if after > first:
+                own = tree.labels[first:after] == labels[who][:, None]
+                fits = own & (tree.ids[first:after] != ids[who][:, None]) if same else ~own
+                scores = self._block(who, first, after)
+                for w in range(low.shape[1]):
+                    ok = fits & active[who, w][:, None] & (scores >= np.maximum(low[who, w], score[who, w, -1])[:, None]) & (scores <= high[who, w][:, None])
+                    line, column = np.nonzero(ok)
+                    if len(line):
+                        self._merge(score[:, w], found[:, w], who[line], scores[line, column], tree.ids[first + column])
+            for child in tree.children[node]:
+                reach = np.where(active, np.minimum(self.above[:, child, None], high), -np.inf).max()
+                heapq.heappush(queue, (-float(reach), child, active))
+        return score, found
+
+    @staticmethod
+    def _merge(score: np.ndarray, found: np.ndarray, query: np.ndarray, more: np.ndarray, ids: np.ndarray) -> None:
+        """The first k of what queries have and get, in place."""
+        who, k = np.unique(query), score.shape[1]
+        q = np.concatenate([query, np.repeat(who, k)])
+        s, i = np.concatenate([more, score[who].ravel()]), np.concatenate([ids, found[who].ravel()])
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1))
+        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(q)]))))
+        top = rank < k
+        score[who], found[who] = s[top].reshape(-1, k), i[top].reshape(-1, k)
+
     def _scores(self, query: int, node: int, met: dict[int, np.ndarray]) -> np.ndarray:
         if node not in met:
             first, after = self.tree.own[node]
             self.visited += int(after - first)
             scores = self.rows[first:after] @ self.wanted[query]
             if self.kind is object:
-                scores = np.array([max(1 - 2**63, min(2**63 - 1, int(s))) for s in scores], np.int64)
+                scores = np.array([max(2 - 2**63, min(2**63 - 1, int(s))) for s in scores], np.int64)
             met[node] = scores.astype(np.int64)
         return met[node]
 

@@ -131,16 +131,11 @@ def _positives(units: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                tree = covertree.Tree(**pickle.loads(row["tree"]))
                 ids, labels, vectors, _ = pickle.loads(row["anchors"])
-                search, out = covertree.Search(tree, vectors), []
-                for q, (anchor, label) in enumerate(zip(ids.tolist(), labels.tolist(), strict=True)):
-                    at = int(np.searchsorted(tree.names, label))
-                    if at < len(tree.names) and tree.names[at] == label:
-                        allowed = (tree.labels == label) & (tree.ids != anchor)
-                        out += [(anchor, row["block"], s, i) for s, i in search.best(q, k, allowed, tree.has[:, at])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["anchor", "block", "score", "id"])
+                score, found = covertree.Search(covertree.Tree(**pickle.loads(row["tree"])), vectors).sweep(k, ids, labels, True)
+                q, _, place = np.nonzero(score != covertree.NOTHING)
+                columns = [ids[q], np.full(len(q), row["block"]), score[q, 0, place], found[q, 0, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "block", "score", "id"])
 
     return units.mapInArrow(run, "anchor long, block long, score long, id long")
 
@@ -149,24 +144,23 @@ def _negatives(units: DataFrame, k: int, low: int, high: int) -> DataFrame:
     """(anchor, positive, positive_score, block, score, id): each tree's first rows in each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
             for row in batch.to_pylist():
-                tree = covertree.Tree(**pickle.loads(row["tree"]))
                 ids, labels, vectors, windows = pickle.loads(row["anchors"])
-                search, out = covertree.Search(tree, vectors), []
-                for q, (anchor, label) in enumerate(zip(ids.tolist(), labels.tolist(), strict=True)):
-                    allowed, met, known = tree.labels != label, {}, {}
-                    nodes = tree.has[:, tree.names != label].any(axis=1)
-                    if not nodes[0]:
-                        continue
-                    for w in windows[q]:
-                        p = w["score"]
-                        least, most = -((-low * p) // 100), (high * p) // 100
-                        if p not in known:
-                            known[p] = search.best(q, k, allowed, nodes, least, most, met) if least <= most else []
-                        out += [(anchor, w["id"], p, row["block"], s, i) for s, i in known[p]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["anchor", "positive", "positive_score", "block", "score", "id"])
+                most = max(map(len, windows))
+                lows, highs = np.full((len(ids), most), 1), np.full((len(ids), most), 0)  # no room
+                positive, scores = np.zeros((len(ids), most), np.int64), np.zeros((len(ids), most), np.int64)
+                for q, own in enumerate(windows):
+                    for w, one in enumerate(own):
+                        p = one["score"]
+                        positive[q, w], scores[q, w] = one["id"], p
+                        lows[q, w], highs[q, w] = -((-low * p) // 100), (high * p) // 100
+                score, found = covertree.Search(covertree.Tree(**pickle.loads(row["tree"])), vectors).sweep(k, ids, labels, False, lows, highs)
+                q, w, place = np.nonzero(score != covertree.NOTHING)
+                columns = [ids[q], positive[q, w], scores[q, w], np.full(len(q), row["block"]), score[q, w, place], found[q, w, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "positive", "positive_score", "block", "score", "id"])
 
     return units.mapInArrow(run, "anchor long, positive long, positive_score long, block long, score long, id long")
 

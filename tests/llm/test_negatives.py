@@ -35,7 +35,7 @@ def test_searches_equal_plain_sorting(name):
     search = covertree.Search(tree, queries)
     for q in range(len(queries)):
         scores = [int(a) for a in x.astype(object) @ queries[q].astype(object)]
-        scores = [max(1 - 2**63, min(2**63 - 1, s)) for s in scores]
+        scores = [max(2 - 2**63, min(2**63 - 1, s)) for s in scores]
         top = max(scores)
         for low, high in ((None, None), (top // 2, top * 95 // 100), (-(10**5), -1), (top, top), (5, 1)):
             fits = [i for i in range(len(x)) if labels[i] != 3 and (low is None or low <= scores[i] <= high)]
@@ -45,6 +45,27 @@ def test_searches_equal_plain_sorting(name):
             assert got == want
 
 
+@pytest.mark.parametrize("name", clouds())
+def test_sweeps_of_many_queries_equal_single_searches(name):
+    rng = np.random.default_rng(2)
+    x = clouds()[name]
+    ids, labels = rng.permutation(10 * len(x))[: len(x)], rng.integers(0, 4, len(x))
+    search = covertree.Search(tree := covertree.build(ids, labels, x), x[:40])
+    own, asked = ids[:40], np.concatenate([labels[:40][:-1], [9]])[: len(x[:40])]  # one label that no row has
+    tops = [max((s for s, _ in search.best(q, 1, np.ones(len(x), bool), np.ones(len(tree.centers), bool))), default=0) for q in range(len(own))]
+    low = np.array([[t // 2, -(10**5), 3] for t in tops])
+    high = np.array([[t * 95 // 100, 10**5, 2] for t in tops])
+    for same, windows in ((True, (None, None)), (False, (low, high))):
+        score, found = search.sweep(3, own, asked, same, *windows)
+        for q in range(len(own)):
+            for w in range(score.shape[1]):
+                fits = (tree.labels == asked[q]) & (tree.ids != own[q]) if same else tree.labels != asked[q]
+                bounds = (None, None) if same else (int(low[q, w]), int(high[q, w]))
+                want = search.best(q, 3, fits, np.ones(len(tree.centers), bool), *bounds) if same or bounds[0] <= bounds[1] else []
+                got = [(int(a), int(b)) for a, b in zip(score[q, w], found[q, w], strict=True) if a != covertree.NOTHING]
+                assert got == want
+
+
 def test_nodes_cover_what_is_below_them():
     x = clouds()["clusters"]
     tree = covertree.build(np.arange(len(x)), np.zeros(len(x), np.int64), x)
@@ -68,6 +89,9 @@ def test_search_skips_most_of_clustered_rows():
     for q in range(50):
         search.best(q, 3, tree.labels == 1, tree.has[:, 1])
     assert search.visited < 0.5 * 50 * len(x)
+    search.visited = 0
+    search.sweep(3, np.arange(50), np.full(50, 1), True)
+    assert search.visited < 0.6 * 50 * len(x)
 
 
 def plain(rows, every=50):
