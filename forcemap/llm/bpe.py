@@ -30,6 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEAF = 4
 SHORT = 24
 TABLE = 400_000
+NEVER = 1 << 62  # Beyond all ranks.
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -82,21 +83,19 @@ class Codec:
         ranks = self.ranks
         if data in ranks:
             return [data]
+        rank = ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        scores = [ranks.get(data[i : i + 2]) for i in range(len(data) - 1)]
-        while True:
-            least, at = None, -1
-            for i, s in enumerate(scores):
-                if s is not None and (least is None or s < least):
-                    least, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        scores = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while scores and (least := min(scores)) < NEVER:
+            at = scores.index(least)
+            joined = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [joined]
             del scores[at]
             if at:
-                scores[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                scores[at - 1] = rank(parts[at - 1] + joined, NEVER)
             if at < len(scores):
-                scores[at] = ranks.get(parts[at] + parts[at + 1])
+                scores[at] = rank(joined + parts[at + 1], NEVER)
+        return parts
 
     def _settled(self, a: bytes, b: bytes) -> bool:
         """Whether the two tokens stay as they are next to each other."""
