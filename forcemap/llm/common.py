@@ -29,6 +29,11 @@ def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the one column ``_whole``, so an operator's own names clash with none; ``_whole.*`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_whole")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` mentions it."""
     return F.transform(F.array(value), body)[0]

@@ -1,12 +1,15 @@
 """Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Rows are dealt to ``runs`` runs. Within a run, rows of one digest collapse to one entry (sorted, because the
-best row is a struct and Spark then aggregates by sorting). Rounds merge ``fan`` neighbouring runs each until one
-is left, so a digest that a third of all rows share never meets in one task: a round reads at most ``fan`` entries
-of it per task and run. The winner goes back down by (digest, run), which spreads a hot digest over all runs.
+Rows are dealt to ``runs`` runs; a run is a partition, sorted by digest, with one entry per digest it has met. In each round
+groups of ``fan`` runs exchange: an entry goes to the run of its group that the next digit of its digest names, and what
+arrives is merged in digest order, the best row of each digest staying. After as many rounds as a run's number has digits
+every entry is in the run its digest names, one per digest. All runs work in every round, and a digest that a third of all
+rows share is at most ``fan`` entries for a run in a round. The winner goes back by (digest, first run), which spreads a hot
+digest over all runs.
 
-A digest is SHA-256 together with the text's length and an independent 64-bit hash; only rows that agree in all
-three are merged, at every level.
+A digest is SHA-256 together with the text's length and an independent 64-bit hash; only entries that agree in all three are
+merged, at every level. Two different texts would have to agree in all of them; for a trillion texts the odds of SHA-256 alone
+are below 1e-53.
 
 Defined results: a null text is empty; a null id takes part and loses to any other id when the largest stays, wins
 when the smallest stays; of repeated rows with one id exactly one stays; an empty table gives an empty result.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forcemap.llm.common import ids_and_texts
+from forcemap.llm.common import ids_and_texts, whole_row
 from forcemap.session import staged
 
 DIGEST = ["_digest", "_length", "_check"]
@@ -44,18 +47,25 @@ def with_digest(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _in_order(entries: DataFrame, runs: int) -> DataFrame:
+    """Each run in one partition, sorted by digest."""
+    return entries.repartition(runs, "_run").sortWithinPartitions("_run", *DIGEST)
+
+
 def merge_runs(entries: DataFrame, keep: str, runs: int, fan: int) -> tuple[DataFrame, DataFrame]:
-    """Entries (digest, run, row, id) merged in rounds: those of the first level, and one per digest."""
+    """Entries (digest, run, row, id) merged in rounds: those of the first runs, and one per digest."""
     best = F.max if keep == "largest" else F.min
-    level = entries.groupBy(*DIGEST, "_run").agg(best(F.struct("_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    first, left = level, runs
-    while left > 1:
-        left = -(-left // fan)
-        level = (
-            level.withColumn("_run", F.floor(F.col("_run") / fan).cast("int"))
-            .groupBy(*DIGEST, "_run")
-            .agg(best("_best").alias("_best"), F.sum("_n").alias("_n"))
-        )
+    first = _in_order(entries, runs).groupBy("_run", *DIGEST).agg(best(F.struct("_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    level, weight = first, 1
+    goal = F.pmod(F.xxhash64(*DIGEST), F.lit(runs)).cast("int")
+    while weight < runs:
+        # The last digit may have fewer values than ``fan``.
+        values = min(fan, -(-runs // weight))
+        digit = lambda run: F.floor(run / weight) % values  # noqa: B023, E731
+        moved = F.col("_run") + ((digit(goal) - digit(F.col("_run"))) * weight).cast("int")
+        met = level.withColumn("_run", moved.cast("int"))
+        level = _in_order(met, runs).groupBy("_run", *DIGEST).agg(best("_best").alias("_best"), F.sum("_n").alias("_n"))
+        weight *= fan
     return first, level.drop("_run")
 
 
@@ -76,10 +86,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """``df`` without the rows whose text is also that of a row that stays.
 
     Whole rows are written once with their digests; only digests go through the merge, and rows are picked by number.
+    Columns of any name come back as they were.
     """
-    rows = staged(with_digest(df, text_col).withColumn("_id", F.col(id_col).cast("long")), "rows")
+    packed = df.select(whole_row(df), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
+    rows = staged(with_digest(packed, "_text").drop("_text"), "rows")
     kept = mark(rows.select(*DIGEST, "_row", "_id"), keep).filter("_kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    return rows.join(kept, "_row", "left_semi").select("_whole.*")
 
 
 def duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forcemap.llm.common import ids_and_texts
+from forcemap.llm.common import ids_and_texts, whole_row
 
 SAMPLE_ROWS = 4_000
 PIECES_PER_ROW = 8
@@ -57,8 +57,8 @@ def sampled_pieces(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     pieces = F.transform(places, lambda p: F.substring("text", (p * PIECE + 1).cast("int"), F.lit(PIECE)))
     found = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", pieces.alias("pieces"))
     # At most ``rows`` ids of eight pieces; an id that repeats in the documents counts once.
-    once = {r["doc_id"]: (r["doc_id"], r["label"], r["pieces"]) for r in found.orderBy("doc_id", F.xxhash64(F.col("pieces")[0])).collect()}
-    return list(once.values())
+    once = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.max_by("pieces", F.xxhash64(F.col("pieces")[0])).alias("pieces"))
+    return [(r["doc_id"], r["label"], r["pieces"]) for r in once.orderBy("doc_id").collect()]
 
 
 def _place(*key: int) -> int:
@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """``docs`` without the rows that score below ``threshold``."""
     score = scorer(fit(docs, labels))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_score", score(text)).filter(F.col("_score") >= threshold).drop("_score")
+    return docs.select(whole_row(docs), score(text).alias("_score")).filter(F.col("_score") >= threshold).select("_whole.*")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from forcemap.llm.common import whole_row
 from forcemap.llm.components import components
 from forcemap.session import staged
 
@@ -114,8 +115,7 @@ def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row per component: that of the smallest id (of the first row, where ids repeat)."""
-    rows = df.withColumn("_fp", fingerprint(F.col(text_col).cast("string"))).withColumn("_row", F.monotonically_increasing_id())
-    rows = staged(rows, "rows")
-    marks = rows.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
-    kept = group(marks).select(F.col("keep_row").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    packed = df.select(whole_row(df), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp"))
+    rows = staged(packed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = group(rows.select("_row", "doc_id", "fp")).select(F.col("keep_row").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").select("_whole.*")

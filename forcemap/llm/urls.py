@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 SAMPLE_URLS = 20_000
+LONGEST = 2_048
 #: Fixed values: (verdict, host, path prefix).
 RULES = [
     ("allow", "com", "/"),
@@ -125,8 +126,12 @@ def seed_labels(rows: DataFrame, seeds: list[str] = SEEDS) -> DataFrame:
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE_URLS, order: int = ORDER) -> dict | None:
-    """Models and threshold from (text, accepted); every fifth text by hash is for the threshold only."""
+    """Models and threshold from (text, accepted); every fifth text by hash is for the threshold only.
+
+    At most ``most`` texts a side of at most ``LONGEST`` characters are learned from; texts of any length are judged whole.
+    """
     rows = labelled.select(F.col("text").cast("string"), F.col("accepted").cast("boolean")).filter("text IS NOT NULL AND accepted IS NOT NULL AND text <> ''")
+    rows = rows.filter(F.length("text") <= LONGEST)
     rows = rows.withColumn("h", F.xxhash64("text"))
     side = lambda ok: rows.filter(F.col("accepted") == ok).orderBy("h", "text").limit(most)
     sample = side(True).union(side(False)).collect()  # two bounded samples

@@ -45,6 +45,38 @@ def test_exact_dedup_keeps_columns_and_one_row_each(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0 == exact_dedup.duplicate_report(empty(spark)).count()
 
 
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def clashing(spark):
+    """The awkward table with still more of the names that operators use inside, each with its own value."""
+    names = ("_id", "_check", "_length", "_fp", "_score", "_whole", "_text", "_keep_id", "_group_size", "_kept", "_best", "_n", "_win", "a.b")
+    df = awkward(spark)
+    return df.selectExpr("*", *[f"'{n}!' AS `{n}`" for n in names])
+
+
+def test_names_used_inside_come_back_unchanged(spark):
+    """Every row that stays is one of the rows that came, in all its columns."""
+    df = clashing(spark)
+    before = rows_of(df)
+    for kept, n in ((exact_dedup.exact_dedup(df), 5), (simhash.near_dedup(df), 4)):
+        assert kept.columns == df.columns
+        got = rows_of(kept)
+        assert len(got) == n and set(got) <= set(before)
+
+
+def test_runs_are_sorted_partitions_and_merge_without_python(spark):
+    digests = staged(exact_dedup.with_digest(documents(spark, [(i, f"t{i % 7}") for i in range(50)])).withColumnRenamed("doc_id", "_id"))
+    entries = digests.withColumn("_run", (digests["_row"] % 16).cast("int"))
+    first, last = exact_dedup.merge_runs(entries.select(*exact_dedup.DIGEST, "_run", "_row", "_id"), "largest", 16, 4)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    # One exchange by run for the first runs and for each of two rounds; the merge needs no other.
+    assert plan.count("Exchange hashpartitioning(_run") == 3 and plan.count("Exchange") == 3
+    assert "Python" not in plan and "SortAggregate" in plan
+    assert last.count() == 7 and {r["_n"] for r in last.collect()} <= {7, 8}
+
+
 def slow_print(text):
     words = (text or "").encode().lower().split()
     if not words:
