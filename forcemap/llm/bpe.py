@@ -69,6 +69,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF, table: int = TABLE) -> None:
         self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.spelled = {b: b",%d" % i for b, i in ranks.items()}  # the id in decimal, with a comma before
         self.pairs, self.short, self.left = Kept(table), Kept(table), Kept(table)
 
     def few(self, data: bytes) -> list[bytes]:
@@ -195,7 +196,9 @@ class TextCodec:
         return self._whole(self.encode(text))
 
     def _whole(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), ("," + ",".join(map(str, ids))).encode() if ids else b"", self.codec.decode(ids)
+        back = [self.codec.bytes_of[i] for i in ids]
+        spelled = self.codec.spelled
+        return len(ids), b"".join([spelled[t] for t in back]), b"".join(back) if len(back) <= 64 else self.codec.decode(ids)
 
     def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
         words = text.split(" ")
@@ -246,10 +249,10 @@ def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             counts, ids, back = [], [], []
             for text in batch.column("text").to_pylist():
-                parts = codec.parts(text)
-                counts.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(b"".join([p[1] for p in parts])[1:]).hexdigest())
-                back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+                n, spelled, decoded = zip(*codec.parts(text), strict=True)
+                counts.append(sum(n))
+                ids.append(hashlib.sha256(b"".join(spelled)[1:]).hexdigest())
+                back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names)
 
     return rows.mapInArrow(run, SCHEMA)
