@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from forcemap.functions import columns as C
 from forcemap.operators.joins import attach
@@ -506,55 +505,87 @@ def net_exposures(positions: DataFrame, balances: DataFrame) -> DataFrame:
     return positions.select("account", "coin", "size").unionByName(spot).groupBy("account", "coin").agg(F.sum("size").alias("net"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _portfolio_price(
-    size: pd.Series, mark: pd.Series, spot: pd.Series, ltv: pd.Series, cap: pd.Series, requirement: pd.Series, value: pd.Series
-) -> pd.Series:
-    """Bisection for the price at which the liquidation buffer is used up, all rows at once."""
-    s, m, sp, lt, cp, req, val = (x.to_numpy(dtype=float) for x in (size, mark, spot, ltv, cap, requirement, value))
+#: How far above the mark a price is looked for: to the first doubling beyond so many marks.
+FARTHEST = 1e4
+
+
+def tier_lists(tiers: DataFrame, key: str = "coin") -> DataFrame:
+    """A tier table (key, floor, rate, cut) as one short array per asset."""
+    return tiers.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("floor", "rate", "cut"))).alias("tiers"))
+
 
-    def margin(price):
-        notional = np.abs(s) * price
-        rate = np.select([notional >= t[0] for t in FLOOR_TIERS], [t[1] for t in FLOOR_TIERS], FLOOR_TIERS[-1][1])
-        cut = np.select([notional >= t[0] for t in FLOOR_TIERS], [t[2] for t in FLOOR_TIERS], FLOOR_TIERS[-1][2])
-        return np.maximum(0.0, notional * rate - cut)
+def _default_tiers() -> Column:
+    return F.array(*[F.struct(F.lit(floor).alias("floor"), F.lit(rate).alias("rate"), F.lit(cut).alias("cut")) for floor, rate, cut in reversed(FLOOR_TIERS)])
 
-    def bonus(price):
-        eligible = np.minimum(np.maximum(sp, 0.0), np.where(np.isnan(cp), 0.0, cp))
-        out = np.minimum(BORROW_CAP, eligible * price * (0.5 + 0.5 * lt))
-        return np.where(np.isnan(cp) | (lt <= 0), 0.0, out)
 
-    def buffer(price):
-        worth = np.maximum(0.0, val + (s + sp) * (price - m) + bonus(price) - bonus(m))
-        return LIQUIDATION_RATIO * worth - (req + margin(price) - margin(m))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
 
-    net = np.where(s + sp == 0, s, s + sp)
+
+def _portfolio_price() -> Column:
+    """The price nearest to the mark, on the side that hurts, at which the liquidation buffer is used up.
+
+    Columns: size, mark, spot_total, ltv, supply_cap, requirement, liquidation_value, tiers. Between two breakpoints (tier
+    floors and where a tier's margin leaves zero, the borrow cap, where the worth reaches zero) the buffer is a straight
+    line. So it is computed at the sorted breakpoints, and the first stretch on whose far end it is used up gives the price.
+    """
+    s, m, spot, value, tiers = (F.col(c) for c in ("size", "mark", "spot_total", "liquidation_value", "tiers"))
+    both, zero = s + spot, F.lit(0.0)
+    net = F.when(both == 0, s).otherwise(both)
     up = net < 0
-    low = np.where(up, m, 0.0)
-    high = np.where(up, np.maximum(m * 2.0, m + 1.0), m)
-    for _ in range(20):
-        high = np.where(up & (buffer(high) > 0) & (high < m * 1e4), high * 2.0, high)
-    open_ended = np.where(up, buffer(high) > 0, buffer(low) > 0)
-    for _ in range(80):
-        mid = (low + high) / 2.0
-        safe = buffer(mid) > 0
-        high = np.where(safe != up, mid, high)
-        low = np.where(safe == up, mid, low)
-    out = np.where(buffer(m) <= 0, m, np.where(open_ended, np.nan, (low + high) / 2.0))
-    out = np.where((net == 0) | ~(m > 0), np.nan, out)
-    return pd.Series(out).replace({np.nan: None}).astype("object")
-
-
-def portfolio_close_prices(marked: DataFrame, margin: DataFrame, spot: DataFrame) -> DataFrame:
+    # What the spot balance lets its owner borrow grows with the price, up to the cap.
+    power = F.when(F.col("supply_cap").isNull() | (F.col("ltv") <= 0), 0.0).otherwise(F.least(F.greatest(spot, zero), F.col("supply_cap")) * (F.lit(0.5) + F.lit(0.5) * F.col("ltv")))
+    bonus = lambda p: F.least(F.lit(BORROW_CAP), power * p)
+
+    def margin(p: Column) -> Column:
+        notional = F.abs(s) * p
+        tier = F.array_max(F.filter(tiers, lambda t: t["floor"] <= notional))
+        return F.greatest(zero, notional * tier["rate"] - tier["cut"])
+
+    worth = lambda p: value + both * (p - m) + bonus(p) - bonus(m)
+    buffer = lambda p: F.lit(LIQUIDATION_RATIO) * F.greatest(zero, worth(p)) - (F.col("requirement") + margin(p) - margin(m))
+
+    above = F.greatest(m * 2.0, m + 1.0)
+    limit = above * F.pow(F.lit(2.0), F.greatest(zero, F.ceil(F.log2(m * FARTHEST / above)).cast("double")))
+    edges = F.concat(
+        F.transform(tiers, lambda t: F.try_divide(t["floor"], F.abs(s))),
+        F.transform(tiers, lambda t: F.try_divide(F.try_divide(t["cut"], t["rate"]), F.abs(s))),
+        F.array(
+            F.try_divide(F.lit(BORROW_CAP), power), F.try_divide(both * m - value + bonus(m), both + power), m + F.try_divide(bonus(m) - BORROW_CAP - value, both),
+            F.when(up, limit).otherwise(zero),
+        ),
+    )
+    inside = F.filter(edges, lambda p: F.when(up, (p > m) & (p <= limit)).otherwise((p >= 0) & (p < m)))
+    outward = F.concat(F.array(m), F.when(up, F.array_sort(F.array_distinct(inside))).otherwise(F.reverse(F.array_sort(F.array_distinct(inside)))))
+
+    def crossing(at: Column) -> Column:
+        """``at``: (price, buffer) outward from the mark."""
+        used = F.array_position(F.transform(at, lambda x: x["f"] <= 0), True)
+
+        def between(i: Column) -> Column:
+            a, b = at[(i - 2).cast("int")], at[(i - 1).cast("int")]
+            return a["p"] + (b["p"] - a["p"]) * (a["f"] / (a["f"] - b["f"]))
+
+        return _let(used, lambda i: F.when(i == 1, m).when(i > 1, between(F.greatest(i, F.lit(2).cast("bigint")))))
+
+    solved = _let(F.transform(outward, lambda p: F.struct(p.alias("p"), buffer(p).alias("f"))), crossing)
+    return F.when((m > 0) & (net != 0), solved)
+
+
+def portfolio_close_prices(marked: DataFrame, margin: DataFrame, spot: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """Portfolio liquidation price per (account, coin), null where no price liquidates.
 
-    ``margin`` is the output of ``portfolio_margin``; ``spot`` has (account, coin, spot_total, ltv,
-    supply_cap). Rows are independent: only the target leg's margin and value move with its price.
+    ``margin`` is the output of ``portfolio_margin``; ``spot`` has (account, coin, spot_total, ltv, supply_cap); ``tiers`` is
+    a tier table (coin, floor, rate, cut), coins without rows have the default one. Rows are independent: only the target
+    leg's margin and value move with its price.
     """
     d = marked.join(margin.select("account", "requirement", "liquidation_value"), "account").join(spot, ["account", "coin"], "left")
     d = d.fillna(0.0, ["spot_total", "ltv"])
-    price = _portfolio_price("size", "mark", "spot_total", "ltv", "supply_cap", "requirement", "liquidation_value")
-    return d.withColumn("portfolio_px", price)
+    if tiers is None:
+        priced = d.withColumn("tiers", _default_tiers())
+    else:
+        priced = attach(d, tier_lists(tiers), "coin", "left").withColumn("tiers", F.coalesce("tiers", _default_tiers()))
+    return priced.withColumn("portfolio_px", _portfolio_price()).drop("tiers")
 
 
 def resolved_prices(candidates: DataFrame) -> DataFrame:

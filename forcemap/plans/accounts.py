@@ -27,10 +27,11 @@ def cut_sql(n: str) -> str:
 _MARKED = f"""
     m0 AS (SELECT p.*, mark, size * mark AS sv, abs(size * mark) AS notional FROM positions p JOIN coin_marks USING (coin)),
     marked AS (SELECT *, {rate_sql("notional")} AS rate, {cut_sql("notional")} AS cut, greatest(0, notional * {rate_sql("notional")} - {cut_sql("notional")}) AS mmr FROM m0)"""
-_CROSS = f"""{_MARKED},
+_TOTALS = """
     tot AS (SELECT account, sum(sv) AS v, sum(mmr) AS mm FROM marked GROUP BY account),
     cross_px AS (SELECT k.*, CASE WHEN size = 0 THEN NULL ELSE greatest(0, (mm - mmr - cut - (c_acctbal * 5 + v - sv)) / (size * CASE WHEN size > 0 THEN 1 - rate ELSE 1 + rate END)) END AS liq_px
               FROM marked k JOIN tot USING (account) JOIN customer ON c_custkey = account)"""
+_CROSS = f"{_MARKED}, {_TOTALS}"
 
 
 def marked(v):
@@ -373,9 +374,28 @@ def portfolio_prices(v):
     return A.portfolio_close_prices(m.filter("size <> 0"), margin.withColumn("liquidation_value", F.col("liquidation_value") * 10), spot)
 
 
-@query("R10")
+def _margin_at(p: str) -> str:
+    n = f"(abs(s) * {p})"
+    return f"greatest(0, {n} * {rate_sql(n)} - {cut_sql(n)})"
+
+
+_FLOORS = ", ".join(f"{floor!r}e0 / abs(s), {cut / rate!r}e0 / abs(s)" for floor, rate, cut in A.FLOOR_TIERS)
+_PORTFOLIO_PX = f"""{_MARKED}, {_PORT},
+    sp AS (SELECT account, coin, abs(size) / 4 AS spot, CASE WHEN account % 2 = 0 THEN least(abs(size) / 4, 200) * 0.75e0 ELSE 0 END AS power FROM positions WHERE leverage < 12),
+    q0 AS (SELECT k.account, k.coin, k.size AS s, k.mark AS m, requirement AS req, lv * 10 AS val, coalesce(spot, 0) AS sp, coalesce(power, 0) AS power FROM marked k JOIN pm USING (account) LEFT JOIN sp ON sp.account = k.account AND sp.coin = k.coin WHERE k.size <> 0),
+    q1 AS (SELECT *, s + sp AS b, CASE WHEN s + sp = 0 THEN s ELSE s + sp END AS net, least(1000e0, power * m) AS bm, {_margin_at("m")} AS mm, greatest(m * 2, m + 1) AS above FROM q0),
+    q2 AS (SELECT *, net < 0 AS up, above * pow(2e0, greatest(0, ceil(log2(m * 1e4 / above)))) AS far FROM q1),
+    q3 AS (SELECT *, list_filter([{_FLOORS}, CASE WHEN power <> 0 THEN 1000e0 / power END, CASE WHEN b + power <> 0 THEN (b * m - val + bm) / (b + power) END, CASE WHEN b <> 0 THEN m + (bm - 1000e0 - val) / b END, CASE WHEN up THEN far ELSE 0e0 END],
+                  lambda p: CASE WHEN up THEN p > m AND p <= far ELSE p >= 0 AND p < m END) AS edges FROM q2),
+    q4 AS (SELECT *, list_prepend(m, CASE WHEN up THEN list_sort(list_distinct(edges)) ELSE list_reverse_sort(list_distinct(edges)) END) AS pts FROM q3),
+    q5 AS (SELECT *, list_transform(pts, lambda p: 0.95e0 * greatest(0, val + b * (p - m) + least(1000e0, power * p) - bm) - (req + {_margin_at("p")} - mm)) AS f FROM q4),
+    q6 AS (SELECT *, list_position(list_transform(f, lambda x: x <= 0), true) AS i FROM q5),
+    port AS (SELECT account, coin, s AS size, m AS mark, CASE WHEN NOT m > 0 OR net = 0 THEN NULL WHEN i = 1 THEN m WHEN i > 1 THEN pts[i - 1] + (pts[i] - pts[i - 1]) * (f[i - 1] / (f[i - 1] - f[i])) END AS px FROM q6)"""
+
+
+@query("R10", f"WITH {_PORTFOLIO_PX} SELECT account, coin, size, mark, round(px, 6) AS portfolio_px FROM port")
 def portfolio_close(v):
-    return portfolio_prices(v).select("account", "coin", "size", "mark", "portfolio_px")
+    return portfolio_prices(v).select("account", "coin", "size", "mark", F.round("portfolio_px", 6).alias("portfolio_px"))
 
 
 def modes(v):
@@ -439,12 +459,20 @@ def census(v):
     return A.mode_census(c.join(modes(v), "account", "left"), ["segment"])
 
 
-@query("R12")
+@query(
+    "R12",
+    f"""WITH {_PORTFOLIO_PX}, {_TOTALS}, {_MODES},
+        j AS (SELECT c.account, c.coin, mode, c.size, CASE WHEN c.account % 3 = 0 THEN c.entry_px * 0.5e0 END AS reported, CASE WHEN mode = 'portfolio' THEN px ELSE liq_px END AS solved
+              FROM cross_px c LEFT JOIN port p ON p.account = c.account AND p.coin = c.coin JOIN modes ON modes.account = c.account),
+        st AS (SELECT *, CASE WHEN size IS NULL THEN 'missing_target' WHEN reported > 0 THEN 'reported' WHEN size = 0 THEN 'missing_target' WHEN mode = 'portfolio' AND account % 4 = 0 THEN 'missing_supporting_state'
+                              WHEN solved IS NULL OR solved <= 0 THEN 'solver_failed' WHEN mode = 'portfolio' THEN 'solver_portfolio' ELSE 'solver_cross' END AS status FROM j)
+        SELECT account, coin, mode, status, round(CASE WHEN reported > 0 THEN reported WHEN status IN ('solver_portfolio', 'solver_cross') THEN solved END, 6) AS override_px FROM st""",
+)
 def resolved(v):
     solved = portfolio_prices(v).select("account", "coin", "portfolio_px")
     j = close_prices(v).withColumnRenamed("liq_px", "cross_px").join(solved, ["account", "coin"], "left").join(modes(v), "account")
     j = j.withColumn("reported_px", F.when(F.col("account") % 3 == 0, F.col("entry_px") * 0.5)).withColumn("has_support", F.col("account") % 4 != 0)
-    return A.resolved_prices(j).select("account", "coin", "mode", "status", "override_px")
+    return A.resolved_prices(j).select("account", "coin", "mode", "status", F.round("override_px", 6).alias("override_px"))
 
 
 # ---- selections ----------------------------------------------------------
