@@ -119,9 +119,19 @@ def shape_statistics(v):
     return m.join(left, ["symbol", "left"]).join(right, ["symbol", "right"])
 
 
-@query("A22_peaks")
+@query(
+    "A22_peaks",
+    f"""WITH {_SHAPES},
+        pk AS (SELECT symbol, provider, list_sort(list(x)) AS peaks FROM (SELECT *, row_number() OVER (PARTITION BY symbol, provider ORDER BY v DESC, x DESC) AS place FROM sh) WHERE place <= 5 GROUP BY ALL),
+        wk AS (SELECT a.symbol, a.provider AS l, b.provider AS r, a.peaks AS pa, b.peaks AS free, 0 AS k, []::DOUBLE[] AS gaps FROM pk a JOIN pk b ON a.symbol = b.symbol AND a.provider < b.provider
+               UNION ALL
+               SELECT symbol, l, r, pa, list_filter(free, lambda q: q <> near.at), k + 1, CASE WHEN len(free) > 0 THEN list_append(gaps, near.gap) ELSE gaps END
+               FROM (SELECT *, list_sort(list_transform(free, lambda q: {{'gap': abs(pa[k + 1] - q), 'at': q}}))[1] AS near FROM wk WHERE k < len(pa)))
+        SELECT symbol, l AS "left", r AS "right", round(list_sum(gaps) / len(gaps), 8) AS mean_distance, round(list_max(gaps), 8) AS max_distance FROM wk WHERE k = len(pa)""",
+)
 def peak_matching(v):
-    return X.peak_distances(shapes(v), ["symbol"])
+    d = X.peak_distances(shapes(v), ["symbol"])
+    return d.select("symbol", "left", "right", F.round("mean_distance", 8).alias("mean_distance"), F.round("max_distance", 8).alias("max_distance"))
 
 
 @query(

@@ -46,9 +46,19 @@ def correlation(v):
     return t.select("symbol", F.round("r", 10).alias("r"), "n", (F.abs("r") >= 0.7).alias("strong"))
 
 
-@query("A14_pvalue")
+# Student's distribution with whole degrees of freedom is a finite series in the cosine of the correlation's angle.
+@query(
+    "A14_pvalue",
+    """WITH g AS (SELECT symbol, corr(price, volume) AS r, count(*) AS n, count(*) - 2 AS df FROM ticks GROUP BY symbol HAVING count(*) >= 3),
+       t AS (SELECT symbol, j, sum(CASE WHEN j = 0 THEN 0 WHEN df % 2 = 0 THEN ln((2e0 * j - 1) / (2e0 * j)) ELSE ln(2e0 * j / (2e0 * j + 1)) END) OVER (PARTITION BY symbol ORDER BY j) + (2 * j + df % 2) * ln(sqrt(1 - r * r)) AS lt
+             FROM (SELECT *, unnest(range((df - 2 - df % 2) // 2 + 1)) AS j FROM g)),
+       s AS (SELECT symbol, sum(exp(lt)) AS total FROM t GROUP BY symbol),
+       p AS (SELECT g.*, 1 - CASE WHEN df % 2 = 0 THEN abs(r) * total ELSE 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(total, 0)) END AS p FROM g LEFT JOIN s USING (symbol))
+       SELECT symbol, round(r, 10) AS r, n, round(p, 9) AS p_value, round(CASE WHEN p < 0.05 THEN abs(r) * 100 ELSE 0 END, 8) AS score, p < 0.05 AND abs(r) >= 0.7 AS passed FROM p""",
+)
 def correlation_p(v):
-    return trends.correlation_test(v.ticks, ["symbol"], "price", "volume").select("symbol", "r", "n", "p_value", "score", "passed")
+    t = trends.correlation_test(v.ticks, ["symbol"], "price", "volume")
+    return t.select("symbol", F.round("r", 10).alias("r"), "n", F.round("p_value", 9).alias("p_value"), F.round("score", 8).alias("score"), "passed")
 
 
 _SPLIT_SQL = """
