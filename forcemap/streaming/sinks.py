@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
@@ -53,18 +53,61 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def run_idempotent(stream: DataFrame, keys: list[str], tiebreak: list[str], label: str) -> DataFrame:
-    """At-least-once input into a table with one row per key: every batch adds only keys not yet stored."""
-    spark = stream.sparkSession
-    path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
-    schema = stream.schema
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new_rows(_table(batch.sparkSession, path, schema), batch, keys, tiebreak).write.mode("append").parquet(path)
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class KeyedTable:
+    """A stored table with one row per key, laid out in folders that the key itself names.
+
+    ``folder`` is a column of the keys' values only, by default the day of a time key, else one of ``SLOTS`` hash slots. So a
+    key can only be stored in one folder, and a batch looks for its keys in the folders of its own rows; with a time key
+    these don't grow with the table. A finished batch leaves a marker, and a batch that finds its marker does nothing. A batch that was
+    stopped between its rows and its marker finds what it stored and adds the rest.
+    """
+
+    SLOTS = 256
+
+    def __init__(self, path: str, schema: StructType, keys: list[str], tiebreak: list[str], folder: Column | None = None) -> None:
+        self.path, self.schema, self.keys, self.tiebreak = path, schema, keys, tiebreak
+        times = [k for k in keys if schema[k].dataType.typeName().startswith(("timestamp", "date"))]
+        slot = F.date_format(times[0], "yyyy-MM-dd") if times else F.pmod(F.xxhash64(*keys), F.lit(self.SLOTS)).cast("string")
+        self.folder = F.coalesce(slot if folder is None else folder.cast("string"), F.lit("none"))
+
+    def rows(self, spark: SparkSession, folders: list[str] | None = None) -> DataFrame:
+        """What is stored, or only what is stored in some folders: no other folder is listed or read."""
+        known = [f"{self.path}/rows"] if folders is None else [f"{self.path}/rows/_folder={f}" for f in folders]
+        found = [p for p in known if _exists(spark, p)]
+        return spark.read.schema(self.schema).parquet(*found) if found else spark.createDataFrame([], self.schema)
+
+    def add(self, batch: DataFrame, batch_id: int) -> list[str]:
+        """Store the keys of a batch that are new; the files that were read are returned."""
+        spark, marker = batch.sparkSession, f"{self.path}/batches/{batch_id}"
+        if _exists(spark, marker):
+            return []
+        placed = staged(batch.withColumn("_folder", self.folder), "batch")
+        # Days or slots of one batch.
+        folders = [r["_folder"] for r in placed.select("_folder").distinct().collect()]
+        stored = self.rows(spark, folders)
+        read = stored.inputFiles()
+        fresh = new_rows(stored, placed.drop("_folder"), self.keys, self.tiebreak)
+        # One file per folder and batch, more where a folder's rows are many.
+        fresh.withColumn("_folder", self.folder).hint("rebalance", "_folder").write.mode("append").partitionBy("_folder").parquet(f"{self.path}/rows")
+        spark.createDataFrame([(batch_id,)], "batch long").write.mode("overwrite").parquet(marker)
+        return read
+
+
+def run_idempotent(stream: DataFrame, keys: list[str], tiebreak: list[str], label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """At-least-once input into a table with one row per key: every batch adds only keys not yet stored."""
+    spark = stream.sparkSession
+    table = KeyedTable(path or fresh_path(spark, label), stream.schema, keys, tiebreak)
+    q = (
+        stream.writeStream.foreachBatch(lambda batch, batch_id: table.add(batch, batch_id) and None)
+        .option("checkpointLocation", checkpoint or fresh_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start()
+    )
     q.awaitTermination()
-    return _table(spark, path, schema)
+    return table.rows(spark)
 
 
 # ---- alerts --------------------------------------------------------------

@@ -410,6 +410,37 @@ def test_signal_matches_once_in_any_batches(spark, tmp_path):
         assert {x.signal_id: x.event_id for x in got} == want
 
 
+def _days(spark, first, n, copies=1):
+    rows = [(d * 100 + i, T0 + timedelta(days=d, minutes=i), float(i + c)) for d in range(first, first + n) for i in range(20) for c in range(copies)]
+    return spark.createDataFrame(rows, "id long, ts timestamp, x double")
+
+
+def test_keyed_table_reads_only_the_days_it_touches(spark, tmp_path):
+    """Files read per batch stay the same while the table grows; replays read nothing and change nothing."""
+    rows = _days(spark, 0, 1)
+    table = sinks.KeyedTable(str(tmp_path / "t"), rows.schema, ["id", "ts"], ["x"])
+    read = [len(table.add(_days(spark, d, 2, copies=2).repartition(3), d)) for d in range(8)]
+    assert read[0] == 0 and set(read[2:]) == {read[2]} and read[2] > 0
+    assert table.add(_days(spark, 3, 2), 3) == []
+    want = {(d * 100 + i, float(i)) for d in range(9) for i in range(20)}
+    assert sorted((r["id"], r["x"]) for r in table.rows(spark).collect()) == sorted(want)
+
+
+def test_keyed_table_after_a_batch_that_was_stopped(spark, tmp_path):
+    """A batch stored in part and without its marker is completed, not doubled."""
+    rows = _days(spark, 0, 3)
+    table = sinks.KeyedTable(str(tmp_path / "t"), rows.schema, ["id", "ts"], ["x"])
+    stopped = sinks.KeyedTable(str(tmp_path / "t"), rows.schema, ["id", "ts"], ["x"])
+    part = rows.filter("id % 3 = 0")
+    part.withColumn("_folder", stopped.folder).write.mode("append").partitionBy("_folder").parquet(f"{stopped.path}/rows")
+    table.add(rows, 0)
+    assert table.rows(spark).count() == 60 and table.rows(spark).select("id").distinct().count() == 60
+    plain = sinks.KeyedTable(str(tmp_path / "u"), rows.schema, ["id"], ["x"])
+    plain.add(rows.union(rows), 0)
+    plain.add(rows, 1)
+    assert plain.rows(spark).count() == 60 and sinks.KeyedTable(str(tmp_path / "none"), rows.schema, ["id"], ["x"]).rows(spark).count() == 0
+
+
 def _late_rows(seed=9, n=160):
     """Signals and events by arrival: each comes up to nine minutes after its time, in no order."""
     r = random.Random(seed)
