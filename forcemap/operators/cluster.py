@@ -233,47 +233,55 @@ def noise_distances(labelled: DataFrame, stats: DataFrame, keys: list[str]) -> D
     return noise.withColumn("distance_to_nearest", F.coalesce(gap, F.lit(1.0))).drop("_centres", "cluster", "is_core")
 
 
-LEVELS = 11
+LEVELS = 11  # Grids looked at together, each half as wide as the one before.
+FINEST = 52  # A double has no finer halves of one.
+
+
+def _gridded(points: DataFrame, first: int) -> DataFrame:
+    """Every point once per grid, with its cell."""
+    levels = F.explode(F.sequence(F.lit(first), F.lit(min(first + LEVELS - 1, FINEST))))
+    at = points.withColumn("lv", levels).withColumn("_s", F.pow(F.lit(2.0), F.col("lv")))
+    return at.withColumn("cx", F.floor(F.col("x") * F.col("_s"))).withColumn("cy", F.floor(F.col("y") * F.col("_s"))).drop("_s")
+
+
+def _around(cells: DataFrame, reach: int) -> DataFrame:
+    """Cells moved to every place within ``reach``."""
+    spread = cells.withColumn("_o", F.explode(_offsets(reach)))
+    return spread.withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
 
 
 def neighbour_distance(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Distance from each point to its k-th nearest, the point itself counted first.
 
-    Every distinct point uses the finest of eleven grids on which its 3x3 block holds k points; the
-    7x7 block around it then surely holds them, so no point meets more than its surroundings.
+    Every distinct point uses the finest grid on which its 3x3 block holds k points; the 7x7 block around it then surely
+    holds them, so no point meets more than its surroundings. Eleven grids are looked at together. Where the last of them
+    still has k points in a block, these points and what lies around them go on to the next eleven, to any depth.
     """
     unique = staged(points.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")), "points")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    at = unique.withColumn("lv", levels).withColumn("_s", F.pow(F.lit(2.0), F.col("lv")))
-    at = at.withColumn("cx", F.floor(F.col("x") * F.col("_s"))).withColumn("cy", F.floor(F.col("y") * F.col("_s"))).drop("_s")
-    at = staged(at, "grids")
-    cells = at.groupBy(*keys, "lv", "cx", "cy").agg(F.sum("w").alias("_w"))
-    block = (
-        cells.withColumn("_o", F.explode(_offsets(1)))
-        .groupBy(*keys, "lv", (F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"))
-        .agg(F.sum("_w").alias("_block"))
-        .filter(F.col("_block") >= k)
-    )
-    usable = at.join(block, [*keys, "lv", "cx", "cy"]).groupBy(*keys, "x", "y", "w").agg(
-        F.max(F.struct("lv", "cx", "cy")).alias("_g")
-    )
-    # Points of keys whose coarsest block is too small fall back to the whole key, which is then tiny.
-    seekers = usable.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), "_g.lv", "_g.cx", "_g.cy")
-    spread = (
-        seekers.withColumn("_o", F.explode(_offsets(3)))
-        .withColumn("_nx", F.col("cx") + F.col("_o.dx"))
-        .withColumn("_ny", F.col("cy") + F.col("_o.dy"))
-        .drop("_o", "cx", "cy")
-    )
-    right = at.select(
-        *keys, "lv", F.col("cx").alias("_nx"), F.col("cy").alias("_ny"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw")
-    )
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    pairs = spread.join(right, [*keys, "lv", "_nx", "_ny"]).select(*keys, "ax", "ay", "bw", F.sqrt(dx * dx + dy * dy).alias("_d"))
-    ring = pairs.groupBy(*keys, "ax", "ay", "_d").agg(F.sum("bw").alias("_w"))
+    cell, first, seekers, pool, distances = [*keys, "lv", "cx", "cy"], 0, unique, unique, None
+    while True:
+        last = min(first + LEVELS - 1, FINEST)
+        at = staged(_gridded(pool, first), "grids")
+        block = _around(at.groupBy(*cell).agg(F.sum("w").alias("_w")), 1).groupBy(*cell).agg(F.sum("_w").alias("_block")).filter(F.col("_block") >= k)
+        mine = at if first == 0 else at.join(seekers.select(*keys, "x", "y"), [*keys, "x", "y"], "left_semi")
+        # Points of a key whose coarsest block has too few aren't found at all: the key itself has too few.
+        chosen = staged(mine.join(block, cell).groupBy(*keys, "x", "y", "w").agg(F.max(F.struct("lv", "cx", "cy")).alias("_g")), "chosen")
+        settled = chosen if last == FINEST else chosen.filter(F.col("_g.lv") < last)
+        wide = _around(settled.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), "_g.lv", "_g.cx", "_g.cy"), 3)
+        right = at.select(*cell, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"))
+        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        found = wide.join(right, cell).select(*keys, "ax", "ay", "bw", F.sqrt(dx * dx + dy * dy).alias("_d")).groupBy(*keys, "ax", "ay", "_d").agg(F.sum("bw").alias("_w"))
+        distances = found if distances is None else distances.unionByName(found)
+        deeper = chosen.filter(F.col("_g.lv") == last)
+        if last == FINEST or deeper.isEmpty():
+            break
+        # The last grid is the next one's first, so each of these points has a block there.
+        near = _around(deeper.select(*keys, "_g.lv", "_g.cx", "_g.cy").distinct(), 3).distinct()
+        pool = staged(at.filter(F.col("lv") == last).join(near, cell, "left_semi").select(*keys, "x", "y", "w"), "points")
+        seekers, first = deeper, last
     run = Window.partitionBy(*keys, "ax", "ay").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     kth = (
-        ring.withColumn("_cum", F.sum("_w").over(run))
+        distances.withColumn("_cum", F.sum("_w").over(run))
         .filter(F.col("_cum") >= k)
         .groupBy(*keys, F.col("ax").alias("x"), F.col("ay").alias("y"))
         .agg(F.min("_d").alias("k_distance"))

@@ -303,6 +303,19 @@ def test_dbscan_matches_plain(spark, eps, k):
     assert all(kd[p[0]] == pytest.approx(dist[i]) for i, p in enumerate(pts))
 
 
+@pytest.mark.parametrize("spread", [1e-6, 3e-11])
+def test_neighbours_of_points_closer_than_any_fixed_grid(spark, spread):
+    """All points within a millionth, twice: a grid that goes on to any depth finds the right neighbours."""
+    r = random.Random(2)
+    xy = [(c + spread * r.random(), c + spread * r.random()) for c in (0.25, 0.7) for _ in range(150)] + [(0.9, 0.1), (0.91, 0.12)]
+    xy += xy[:3]
+    df = spark.createDataFrame([(i, "g", x, y) for i, (x, y) in enumerate(xy)], "id long, g string, x double, y double")
+    got = {row.id: row.k_distance for row in cluster.neighbour_distance(df, ["g"], 4).collect()}
+    a = np.array(xy)
+    want = np.sort(np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)), axis=1)[:, 3]
+    assert len(got) == len(xy) and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-300) for i in range(len(xy)))
+
+
 def test_portfolio_price_solves_the_buffer(spark):
     rows = [("u1", 5.0, 100.0, 0.0, None), ("u2", -5.0, 100.0, 2.0, 200.0), ("u3", 5.0, 100.0, 0.0, None), ("u4", 0.001, 100.0, 0.0, None)]
     marked = spark.createDataFrame([(u, "c", s, m) for u, s, m, *_ in rows], "account string, coin string, size double, mark double")
