@@ -53,7 +53,7 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -78,13 +78,13 @@ class KeyedTable:
     def rows(self, spark: SparkSession, folders: list[str] | None = None) -> DataFrame:
         """What is stored, or only what is stored in some folders: no other folder is listed or read."""
         known = [f"{self.path}/rows"] if folders is None else [f"{self.path}/rows/_folder={f}" for f in folders]
-        found = [p for p in known if _exists(spark, p)]
+        found = [p for p in known if path_exists(spark, p)]
         return spark.read.schema(self.schema).parquet(*found) if found else spark.createDataFrame([], self.schema)
 
     def add(self, batch: DataFrame, batch_id: int) -> list[str]:
         """Store the keys of a batch that are new; the files that were read are returned."""
         spark, marker = batch.sparkSession, f"{self.path}/batches/{batch_id}"
-        if _exists(spark, marker):
+        if path_exists(spark, marker):
             return []
         placed = staged(batch.withColumn("_folder", self.folder), "batch")
         # Days or slots of one batch.

@@ -454,6 +454,28 @@ def test_keyed_table_after_a_batch_that_was_stopped(spark, tmp_path):
     assert plain.rows(spark).count() == 60 and sinks.KeyedTable(str(tmp_path / "none"), rows.schema, ["id"], ["x"]).rows(spark).count() == 0
 
 
+def test_live_cells_equal_one_run_for_any_batches(spark, tmp_path):
+    """Batches of any size, one repeated and one stopped half-way, give the cells of the whole series."""
+    from forcemap.streaming import livemap
+
+    schema = "symbol string, open_time timestamp, open double, high double, low double, close double, oi_delta double"
+    rows = candles("a", 60, 1, 3000.0) + candles("b", 45, 2, 300.0)
+    whole = {(r.symbol, r.open_time, r.price_bucket): (r.long_density, r.short_density) for r in heatmap.heatmap(spark.createDataFrame(rows, schema), 2.0).collect()}
+    for k, cuts in enumerate(([0, 105], [0, 7, 30, 61, 105])):
+        live = livemap.LiveHeatmap(str(tmp_path / f"h{k}"), 2.0)
+        by_time = sorted(rows, key=lambda x: (x[1], x[0]))
+        for b in range(len(cuts) - 1):
+            batch = spark.createDataFrame(by_time[cuts[b] : cuts[b + 1]], schema)
+            if b == 1:  # Stopped before its marker: what it wrote doesn't count and is written over.
+                batch.limit(3).select("symbol", F.col("open").alias("price_bucket"), F.lit(1.0).alias("long_density"), F.lit(1.0).alias("short_density"), "open_time").write.parquet(f"{live.path}/cells/batch=1")
+            live.add(batch, b)
+            live.add(batch, b)
+        got = {(r.symbol, r.open_time, r.price_bucket): (r.long_density, r.short_density) for r in live.cells(spark).collect()}
+        assert got.keys() == whole.keys() and len(whole) > 100
+        assert all(got[c] == pytest.approx(whole[c]) for c in whole)
+        assert live.cells(spark).count() == len(whole)
+
+
 def _late_rows(seed=9, n=160):
     """Signals and events by arrival: each comes up to nine minutes after its time, in no order."""
     r = random.Random(seed)
