@@ -18,7 +18,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from forcemap.llm import bpe, packing, pii, quality
 from tests.llm.shapes import awkward, empty
-from tests.llm.test_exact_and_near import clashing, slow_components, slow_print
+from tests.llm.test_exact_and_near import clashing
+from tests.llm.test_nearcopies import slow_groups
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -201,7 +202,7 @@ def test_pipeline_equals_brute_force(spark, tokenizer):
     for d in sorted(texts):
         last[texts[d]] = d
     texts = {d: t for t, d in last.items()}
-    near = slow_components({d: slow_print(t) for d, t in texts.items()})
+    near = slow_groups(texts)
     texts = {d: t for d, t in texts.items() if near[d] == d}
     model = pii.default_model()
     texts = {d: pii.masked(t, spans) for (d, t), (_, spans) in zip(texts.items(), pii.all_spans(list(texts.values()), model), strict=True)}
