@@ -329,3 +329,105 @@ def test_text_after_and_in_deep_nesting():
     for odd in ("<b>" * 50_000 + "x" + "</i>" * 50_000, "<div>" * 50_000 + "x" + "<li></li>" * 50_000 + "</b>" * 50_000, "<table><tr><td>" * 20_000 + "x", "<p><b>" * 50_000 + "x" + "</b></p>" * 50_000):
         assert htmltext.main_text(htmltext.parse(odd)) == "x"
         htmltext._candidates(htmltext.parse(odd))
+
+
+def plain_shape(text):
+    """Letters and digits folded; a word like the one before it is a sign."""
+    import re
+
+    out, last = [], ""
+    for w in text.split(" "):
+        own = w.strip(".,;:!?\n").casefold()
+        out.append("=" if own and own == last else w)
+        last = own
+    return re.sub("[0-9]", "0", re.sub(r"[^\W\d_]+", "a", " ".join(out)))
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    """Every score of the report from the model's numbers alone: sizes block by block, then one logistic sum."""
+    import math
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    made = []
+    for content in [d for pair in model["dictionaries"] for d in pair]:
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=quality.LEVEL)
+        made.append(zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
+    got = {r["doc_id"]: r for r in quality.quality_report(docs, labels).collect()}
+    for r in docs.collect():
+        text, x = r["text"] or "", []
+        if not text:
+            assert got[r["doc_id"]]["score"] == model["share"]
+            continue
+        for k, view in enumerate((text, plain_shape(text))):
+            data = view.encode()
+            bad, good = (sum(len(c.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)) for c in made[2 * k : 2 * k + 2])
+            x += [(bad - good) / max(bad, good, 1), math.log(min(bad, good) / len(data))]
+        z = [(a - m) / s for a, m, s in zip(x, model["mean"], model["spread"], strict=True)]
+        terms = [1.0, *z, *[z[i] * z[j] for i in range(4) for j in range(i, 4)]]
+        odds = sum(a * b for a, b in zip(terms, model["weights"], strict=True))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds)))), rel=1e-9)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_labelled_ids_that_repeat_enter_the_fit_once(spark):
+    rows = [(1, "good words of a text " * 30), (1, "another text of the same id " * 9), (2, "bad $$$ &&&")] * 40
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, quality int")
+    sample = quality.sampled_pieces(docs, labels)
+    assert [(i, label) for i, label, _ in sample] == [(i, q) for i, q in ((1, 1), (2, 0)) if not got_fold(i)]
+
+
+def got_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def plain_ratio(text, model):
+    """Witten-Bell by recursion over ever longer contexts, straight from the counts."""
+    import math
+
+    order = model["order"]
+
+    def chance(own, padded, i, k):
+        if k < 0:
+            return 1 / 256
+        found, shorter = own.get(padded[i - k : i]), None
+        if found is None:
+            return None
+        shorter = chance(own, padded, i, k - 1)
+        return (found[0].get(padded[i], 0) + len(found[0]) * shorter) / (found[1] + len(found[0]))
+
+    def total(own):
+        padded, out = "\x02" * order + text + "\x03", 0.0
+        for i in range(order, len(padded)):
+            longest = max(k for k in range(order + 1) if all(padded[i - j : i] in own for j in range(k + 1)))
+            out += math.log(chance(own, padded, i, longest))
+        return out
+
+    return (total(model["accepted"]) - total(model["rejected"])) / (len(text) + 1) if text else 0.0
+
+
+def test_url_verdicts_without_a_rule_equal_a_plain_ratio(spark):
+    """The models' verdicts from their counts, over a whole table, with a very long and an odd URL."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    long = "https://casino-bets.example.org/en/" + "x" * 200_000
+    pages = pages.union(spark.createDataFrame([(-1, long), (-2, "https://a.example.org/en/\u00e9?x"), (-3, "nothing")], "page_id long, url string"))
+    rows = urls.split_url(pages).withColumn("rule", urls.rule_of()[0])
+    model = urls.fit(urls.seed_labels(rows))
+    got = urls.judge(pages).collect()
+    seen = 0
+    for r in got:
+        if r["rule"] is None:
+            text = r["host"] + r["path"]
+            if r["page_id"] != -1:
+                assert r["score"] == pytest.approx(plain_ratio(text, model), rel=1e-9, abs=1e-12)
+            assert r["verdict"] == ("block" if text and r["score"] < model["threshold"] else "allow")
+            seen += 1
+        else:
+            assert r["score"] is None
+    assert seen > 50 and len(got) == pages.count()
