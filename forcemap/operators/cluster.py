@@ -9,6 +9,7 @@ bounds them by the minimum sample count; two dense cells are compared through bo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from forcemap.functions.columns import clamp
 from forcemap.operators.quantiles import exact_quantiles
 from forcemap.session import staged
 
-SUB = 8  # Sub-boxes per cell side when two dense cells are compared.
+SPLIT = 2  # Halvings of a cell's side at a time when two dense cells are compared.
+DEEPEST = 48  # Halvings after which a double can't tell parts of a cell apart.
 
 
 def features(levels: DataFrame, keys: list[str], price="price_level", volume="volume") -> DataFrame:
@@ -123,55 +125,75 @@ def dbscan(points: DataFrame, keys: list[str], eps: Column, min_samples: int) ->
     return points.join(final, [*keys, "x", "y"])
 
 
-def _dense_edges(cores: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges between neighbouring dense cells, through boxes of sub-cells and points only if undecided."""
-    def sub_index(c: str, origin: str) -> Column:
-        side = F.col("eps") / F.lit(math.sqrt(2.0))
-        return F.least(F.floor((F.col(c) / side - F.col(origin)) * SUB), F.lit(SUB - 1))
+def _boxes(cores: DataFrame, keys: list[str], height: int) -> DataFrame:
+    """Bounding boxes of the points in each of 2^height x 2^height parts of a cell."""
+    side = F.col("eps") / F.lit(math.sqrt(2.0))
 
-    d = cores.withColumn("sx", sub_index("x", "cx")).withColumn("sy", sub_index("y", "cy"))
-    boxes = d.groupBy(*keys, "cx", "cy", "sx", "sy").agg(
+    def part(c: str, origin: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor((F.col(c) / side - F.col(origin)) * F.lit(float(2**height))), F.lit(2**height - 1).cast("long")))
+
+    return cores.groupBy(*keys, "cx", "cy", part("x", "cx").alias("sx"), part("y", "cy").alias("sy")).agg(
         F.max("eps").alias("eps"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
-    near = boxes.withColumn("_o", F.explode(_offsets(2))).filter(
-        (F.col("_o.dx") > 0) | ((F.col("_o.dx") == 0) & (F.col("_o.dy") > 0))
-    )
-    near = near.withColumn("_nx", F.col("cx") + F.col("_o.dx")).withColumn("_ny", F.col("cy") + F.col("_o.dy")).drop("_o")
-    other = boxes.select(
-        *keys, F.col("cx").alias("_nx"), F.col("cy").alias("_ny"), F.col("sx").alias("tx"), F.col("sy").alias("ty"),
-        F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y0").alias("v0"), F.col("y1").alias("v1"),
-    )
-    pair = near.join(other, [*keys, "_nx", "_ny"])
+
+
+def _judged(pairs: DataFrame, cells: list[str]) -> DataFrame:
+    """Pairs of boxes that can hold points within eps, with ``_sure`` where all of their points are."""
     gap_x = F.greatest(F.lit(0.0), F.col("u0") - F.col("x1"), F.col("x0") - F.col("u1"))
     gap_y = F.greatest(F.lit(0.0), F.col("v0") - F.col("y1"), F.col("y0") - F.col("v1"))
     far_x = F.greatest(F.col("u1") - F.col("x0"), F.col("x1") - F.col("u0"))
     far_y = F.greatest(F.col("v1") - F.col("y0"), F.col("y1") - F.col("v0"))
-    judged = pair.withColumn("_least", F.sqrt(gap_x * gap_x + gap_y * gap_y)).withColumn(
-        "_most", F.sqrt(far_x * far_x + far_y * far_y)
-    )
-    possible = judged.filter(F.col("_least") <= F.col("eps"))
-    cells = [*keys, "cx", "cy", "_nx", "_ny"]
-    status = possible.groupBy(*cells).agg(F.bool_or(F.col("_most") <= F.col("eps")).alias("_sure"))
-    sure = status.filter("_sure").select(*cells)
-    open_pairs = possible.join(status.filter(~F.col("_sure")).select(*cells), cells).select(*cells, "sx", "sy", "tx", "ty", "eps")
-    a = d.select(*keys, "cx", "cy", "sx", "sy", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = d.select(
+    possible = pairs.filter(F.sqrt(gap_x * gap_x + gap_y * gap_y) <= F.col("eps"))
+    return possible.select(*cells, "sx", "sy", "tx", "ty", (F.sqrt(far_x * far_x + far_y * far_y) <= F.col("eps")).alias("_sure"))
+
+
+def _others(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    return boxes.select(
         *keys, F.col("cx").alias("_nx"), F.col("cy").alias("_ny"), F.col("sx").alias("tx"), F.col("sy").alias("ty"),
-        F.col("x").alias("bx"), F.col("y").alias("by"),
-    )
-    tested = (
-        open_pairs.join(a, [*keys, "cx", "cy", "sx", "sy"])
-        .join(b, [*keys, "_nx", "_ny", "tx", "ty"])
-        .filter(_near("a", "b", F.col("eps")))
-        .select(*cells)
+        F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y0").alias("v0"), F.col("y1").alias("v1"),
     )
-    found = sure.unionByName(tested).distinct()
-    return found.select(
+
+
+def _dense_edges(cores: DataFrame, keys: list[str], watch: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """Edges between neighbouring dense cells: box against box, split further until each pair of cells is decided.
+
+    A box bounds the points of a part of a cell. Two boxes are near if even their farthest corners are, and out if not even
+    their nearest sides are; only undecided ones are split, ``SPLIT`` halvings at a time, and a pair of cells is done with its first
+    near boxes. Points never meet points: a box of one point has no extent, so its pairs are decided.
+    """
+    cells = [*keys, "cx", "cy", "_nx", "_ny"]
+    top = staged(_boxes(cores, keys, 0), "boxes")
+    near = top.withColumn("_o", F.explode(_offsets(2))).filter((F.col("_o.dx") > 0) | ((F.col("_o.dx") == 0) & (F.col("_o.dy") > 0)))
+    near = near.withColumn("_nx", F.col("cx") + F.col("_o.dx")).withColumn("_ny", F.col("cy") + F.col("_o.dy")).drop("_o")
+    judged = staged(_judged(near.join(_others(top, keys), [*keys, "_nx", "_ny"]), cells), "judged")
+    found, height = judged.filter("_sure").select(*cells), 0
+    while True:
+        sure = judged.filter("_sure").select(*cells).distinct()
+        open_pairs = judged.filter("NOT _sure").join(sure, cells, "left_anti").drop("_sure")
+        if height >= DEEPEST or open_pairs.isEmpty():
+            break
+        step = min(SPLIT, DEEPEST - height)
+        open_pairs, height = staged(open_pairs, "open"), height + step
+        touched = open_pairs.select(*keys, "cx", "cy").union(open_pairs.select(*keys, "_nx", "_ny")).distinct()
+        finer = staged(_boxes(cores.join(touched, [*keys, "cx", "cy"], "left_semi"), keys, height), "boxes")
+        up = lambda c: F.shiftright(F.col(c), step)  # noqa: B023, E731
+        left = finer.withColumn("_px", up("sx")).withColumn("_py", up("sy"))
+        right = _others(finer, keys).withColumn("_qx", up("tx")).withColumn("_qy", up("ty"))
+        parents = open_pairs.withColumnsRenamed({"sx": "_px", "sy": "_py", "tx": "_qx", "ty": "_qy"})
+        pairs = parents.join(left, [*keys, "cx", "cy", "_px", "_py"]).join(right, [*keys, "_nx", "_ny", "_qx", "_qy"])
+        judged = staged(_judged(watch(pairs), cells), "judged")
+        found = found.unionByName(judged.filter("_sure").select(*cells))
+    if height >= DEEPEST:
+        # Parts no double can tell apart: a handful of points each.
+        a = cores.join(open_pairs, [*keys, "cx", "cy"]).select(*cells, "eps", F.col("x").alias("ax"), F.col("y").alias("ay"))
+        b = cores.select(*keys, F.col("cx").alias("_nx"), F.col("cy").alias("_ny"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        found = found.unionByName(a.join(b, [*keys, "_nx", "_ny"]).filter(_near("a", "b", F.col("eps"))).select(*cells))
+    return found.distinct().select(
         *keys, F.struct("cx", "cy").alias("a"), F.struct(F.col("_nx").alias("cx"), F.col("_ny").alias("cy")).alias("b")
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Lowest node of the connected component per node: min labels with pointer jumping.
 
     Each round is written to the shared folder, which cuts the lineage and survives lost executors.
@@ -180,7 +202,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph"
     )
     labels = staged(nodes.withColumn("label", F.col("a")), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels.withColumnsRenamed({"a": "b", "label": "_l"}), [*keys, "b"])
             .groupBy(*keys, "a")
@@ -198,7 +220,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         labels = jumped.select(*keys, "a", F.col("_next").alias("label"))
         if settled:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def cluster_stats(labelled: DataFrame, keys: list[str], price="price_level", volume="volume") -> DataFrame:

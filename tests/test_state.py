@@ -316,6 +316,30 @@ def test_neighbours_of_points_closer_than_any_fixed_grid(spark, spread):
     assert len(got) == len(xy) and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-300) for i in range(len(xy)))
 
 
+@pytest.mark.parametrize("gap,linked", [(0.0999, True), (0.1001, False)])
+def test_two_tight_cells_of_very_many_points_are_compared_box_by_box(spark, gap, linked):
+    """A hundred thousand points in two cells at nearly eps: few boxes meet, and no points."""
+    n, eps = 50_000, 0.1
+    ids = spark.range(2 * n).withColumn("k", (F.col("id") < n).cast("int"))
+    spread = F.pmod(F.xxhash64("id"), F.lit(10**6)) / 1e6 * 0.002
+    high = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**6)) / 1e6 * 0.02
+    points = ids.select("id", F.lit("g").alias("g"), F.when(F.col("k") == 1, F.lit(0.2) - spread).otherwise(F.lit(0.2 + gap) + spread).alias("x"), (F.lit(0.5) + high).alias("y"))
+    met = []
+
+    def watch(pairs):
+        met.append(pairs)
+        return pairs
+
+    cores = points.withColumn("eps", F.lit(eps)).withColumn("cx", F.floor(F.col("x") / (eps / math.sqrt(2)))).withColumn("cy", F.floor(F.col("y") / (eps / math.sqrt(2))))
+    edges = cluster._dense_edges(cores, ["g"], watch).count()
+    xs = points.select("x", "y", "id").collect()
+    left = sorted(((r["x"], r["y"]) for r in xs if r["id"] < n), reverse=True)[:400]
+    right = sorted((r["x"], r["y"]) for r in xs if r["id"] >= n)[:400]
+    assert any(math.hypot(a - c, b - d) <= eps for a, b in left for c, d in right) == linked
+    assert (edges > 0) == linked
+    assert sum(p.count() for p in met) < n  # of 2,500 million pairs of points
+
+
 def test_portfolio_price_solves_the_buffer(spark):
     rows = [("u1", 5.0, 100.0, 0.0, None), ("u2", -5.0, 100.0, 2.0, 200.0), ("u3", 5.0, 100.0, 0.0, None), ("u4", 0.001, 100.0, 0.0, None)]
     marked = spark.createDataFrame([(u, "c", s, m) for u, s, m, *_ in rows], "account string, coin string, size double, mark double")
