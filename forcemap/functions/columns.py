@@ -146,6 +146,7 @@ def price_scaled_bin_size(days, price) -> Column:
     def scaled(floor: float, share: float) -> Column:
         return F.round(F.greatest(F.lit(floor), p * F.lit(share)), 2)
 
+    # Horizons in days, smallest bins and shares of the price.
     by_price = (
         F.when(col(days) <= 1, scaled(0.5, 0.0003))
         .when(col(days) <= 7, scaled(1.0, 0.0005))
@@ -271,6 +272,7 @@ def order_effect(reduce_only, sign, size, position) -> Column:
 def gap_factors(deviation_pct, gap) -> Column:
     """Array of (category, impact) explaining a margin gap above one percent."""
     d, g = col(deviation_pct), col(gap)
+    # Share and most of funding, share of resting orders, and the bounds of the deviation below.
     funding = F.least(g * 0.1, F.lit(25.0))
     reserve = F.greatest(g - funding, F.lit(0.0)) * 0.7
     residual = F.greatest(g - funding - reserve, F.lit(0.0))

@@ -489,21 +489,24 @@ def anchor_alignment(metrics: DataFrame, group: list[str], anchor: str) -> DataF
 
 # ---- payloads ------------------------------------------------------------
 
-COLUMNAR = "struct<prices:array<double>,series:map<string,array<double>>,price:double>"
+COLUMNAR = "struct<prices:array<double>,series:map<string,array<double>>,price:double,lastIndex:double>"
 ROWS = "map<string,array<array<double>>>"
 
 
 def columnar_levels(payloads: DataFrame, column: str) -> DataFrame:
     """Levels of a payload with one price array and one value array per leverage.
 
-    Zero values are dropped; prices up to the payload's own price are long.
+    Zero values are dropped. Places up to the payload's ``lastIndex`` are long, counted from zero; where it gives none, or none
+    that is a whole number, prices up to the payload's own price are; without a price all are.
     """
     rest = [c for c in payloads.columns if c != column]
     d = payloads.select(*rest, F.from_json(column, COLUMNAR).alias("_p"))
-    d = d.select(*rest, "_p.price", "_p.prices", F.explode("_p.series").alias("_lev", "_values"))
-    d = d.select(*rest, "price", "_lev", F.explode(F.arrays_zip("prices", F.col("_values").alias("values"))).alias("_z"))
+    d = d.select(*rest, "_p.price", F.col("_p.lastIndex").alias("_last"), "_p.prices", F.explode("_p.series").alias("_lev", "_values"))
+    d = d.select(*rest, "price", "_last", "_lev", F.posexplode(F.arrays_zip("prices", F.col("_values").alias("values"))).alias("_at", "_z"))
+    whole = F.col("_last").isNotNull() & (F.col("_last") == F.floor("_last")) & (F.abs("_last") < 2.0**53)
+    is_long = F.when(whole, F.col("_at") <= F.col("_last")).otherwise(F.coalesce(F.col("_z.prices") <= F.col("price"), F.lit(True)))
     return d.select(
-        *rest, F.when(F.col("_z.prices") <= F.col("price"), "long").otherwise("short").alias("side"), F.col("_lev").cast("int").alias("leverage"),
+        *rest, F.when(is_long, "long").otherwise("short").alias("side"), F.col("_lev").cast("int").alias("leverage"),
         F.col("_z.prices").alias("price_level"), F.col("_z.values").alias("volume"),
     ).filter("volume > 0")
 

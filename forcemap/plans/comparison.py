@@ -295,13 +295,8 @@ def long_books(v):
        UNION ALL SELECT 'rows', symbol, provider, CASE WHEN price_level <= mark THEN 'long' ELSE 'short' END, leverage, price_level, sum(volume) FROM provider_map JOIN tick_marks USING (symbol) WHERE volume > 0 GROUP BY ALL""",
 )
 def payloads(v):
-    m = staged(v.provider_map.groupBy("symbol", "provider", "leverage", "price_level").agg(F.sum("volume").alias("volume")).join(v.tick_marks, "symbol"), "flat")
+    m, columnar = columnar_payloads(v)
     keys = ["symbol", "provider"]
-    grid = m.groupBy(*keys).agg(F.array_sort(F.collect_set("price_level")).alias("prices"), F.first("mark").alias("price"))
-    per = m.groupBy(*keys, "leverage").agg(F.map_from_entries(F.collect_list(F.struct("price_level", "volume"))).alias("_m")).join(grid.select(*keys, "prices"), keys)
-    filled = per.withColumn("values", F.transform("prices", lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0.0))))
-    series = filled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("leverage").cast("string"), "values"))).alias("series"))
-    columnar = grid.join(series, keys).select(*keys, F.to_json(F.struct("prices", "series", "price")).alias("payload"))
     cell = F.array(F.col("price_level"), F.col("volume"), F.col("leverage").cast("double"))
     rows = m.groupBy(*keys, "mark", "price_level").agg(F.collect_list(cell).alias("r")).groupBy(*keys, "mark").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("price_level").cast("string"), "r")))).alias("payload")
@@ -311,6 +306,31 @@ def payloads(v):
     return a.unionByName(b)
 
 
+def columnar_payloads(v, *extra):
+    """The flat levels, and one payload per symbol and provider; ``extra`` are further fields made from ``prices``."""
+    m = staged(v.provider_map.groupBy("symbol", "provider", "leverage", "price_level").agg(F.sum("volume").alias("volume")).join(v.tick_marks, "symbol"), "flat")
+    keys = ["symbol", "provider"]
+    grid = m.groupBy(*keys).agg(F.array_sort(F.collect_set("price_level")).alias("prices"), F.first("mark").alias("price"))
+    per = m.groupBy(*keys, "leverage").agg(F.map_from_entries(F.collect_list(F.struct("price_level", "volume"))).alias("_m")).join(grid.select(*keys, "prices"), keys)
+    filled = per.withColumn("values", F.transform("prices", lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0.0))))
+    series = filled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("leverage").cast("string"), "values"))).alias("series"))
+    return m, grid.join(series, keys).select(*keys, F.to_json(F.struct("prices", "series", "price", *extra)).alias("payload"))
+
+
+@query(
+    "C7_index",
+    """WITH g AS (SELECT symbol, provider, price_level, row_number() OVER (PARTITION BY symbol, provider ORDER BY price_level) - 1 AS place, count(*) OVER (PARTITION BY symbol, provider) AS n
+                  FROM (SELECT DISTINCT symbol, provider, price_level FROM provider_map))
+       SELECT symbol, provider, CASE WHEN CASE provider WHEN 'p0' THEN place <= n // 3 WHEN 'p1' THEN false ELSE price_level <= mark END THEN 'long' ELSE 'short' END AS side, leverage, price_level, sum(volume) AS volume
+       FROM provider_map JOIN g USING (symbol, provider, price_level) JOIN tick_marks USING (symbol) WHERE volume > 0 GROUP BY ALL""",
+)
+def indexed_payloads(v):
+    """One provider says where its long side ends, one that it has none, one gives half a place and one gives nothing."""
+    third = F.floor(F.size("prices") / 3).cast("double")
+    last = F.when(F.col("provider") == "p0", third).when(F.col("provider") == "p1", -1.0).when(F.col("provider") == "p2", third + 0.5)
+    return X.columnar_levels(columnar_payloads(v, last.alias("lastIndex"))[1], "payload")
+
+
 _SCENARIOS = f"""{_COMMON}, {aligned_sql("provider_map", "a_")}, {aligned_sql("cm", "b_")}, {aligned_sql("provider_map", "c_", "2")}, {aligned_sql("cm", "d_", "2")},
         u AS (SELECT 'raw' AS scenario, * FROM ({metrics_sql("a_al")}) UNION ALL SELECT 'common_tiers', * FROM ({metrics_sql("b_al")}) UNION ALL SELECT 'rebinned', * FROM ({metrics_sql("c_al")}) UNION ALL SELECT 'common_tiers_rebinned', * FROM ({metrics_sql("d_al")}))"""
 
