@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,26 +201,44 @@ def run_alerts(stream: DataFrame, cooldown_seconds: int, daily_cap: int, label:
 # ---- adaptive weights ----------------------------------------------------
 
 
+def smoothed(total: np.ndarray, rate: np.ndarray, alpha: float, least: float, long: float, short: float) -> tuple[np.ndarray, np.ndarray]:
+    """Long and short weight after each hour, for a whole series at once.
+
+    With both weights adding up to one, an hour maps the long weight w to a + b w; a reset is b = 0. Maps of ever longer
+    stretches are put together by doubling, so there is no step per hour.
+    """
+    n = len(total)
+    reset = rate < least
+    moves = ~reset & (total > 0)
+    # Before the first move after a start or a reset the weights are the defaults, whatever these add up to.
+    event = np.where(reset | moves, np.arange(n), -1)
+    before = np.concatenate(([-1], np.maximum.accumulate(event)[:-1])) if n else event
+    fresh = (before < 0) | reset[np.maximum(before, 0)]
+    whole = 2 * alpha * rate + (1 - alpha) * np.where(fresh, long + short, 1.0)
+    sound = whole > 0
+    safe = np.where(sound, whole, 1.0)
+    a = np.where(moves & sound, (alpha * rate + np.where(fresh, (1 - alpha) * long, 0.0)) / safe, np.where(reset | moves, long, 0.0))
+    b = np.where(moves & sound, np.where(fresh, 0.0, (1 - alpha) / safe), np.where(reset | moves, 0.0, 1.0))
+    k = 1
+    while k < n:
+        a, b = np.concatenate((a[:k], a[k:] + b[k:] * a[:-k])), np.concatenate((b[:k], b[k:] * b[:-k]))
+        k *= 2
+    up = a + b * long
+    # Still the defaults: reset, undefined, or no move since.
+    still = reset | (moves & ~sound) | (~moves & fresh)
+    return up, np.where(still, short, 1.0 - up)
+
+
 def weight_history(hourly: DataFrame, alpha: float, least: float, defaults: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Long and short weight per symbol and hour: moved toward the hit rate and normalised, reset below ``least``.
 
     ``hourly`` has symbol, hour, total, hit_rate; its length per symbol is bounded by the calendar.
     """
-    start_long, start_short = defaults
+    long, short = defaults
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("hour")
-        long, short = start_long, start_short
-        a, b = [], []
-        for total, rate in zip(group["total"], group["hit_rate"]):
-            if rate < least:
-                long, short = start_long, start_short
-            elif total > 0:
-                up, down = alpha * rate + (1 - alpha) * long, alpha * rate + (1 - alpha) * short
-                whole = up + down
-                long, short = (up / whole, down / whole) if whole > 0 else (start_long, start_short)
-            a.append(long)
-            b.append(short)
+        a, b = smoothed(group["total"].to_numpy(float), group["hit_rate"].to_numpy(float), alpha, least, long, short)
         return group.assign(long_weight=a, short_weight=b)[["symbol", "hour", "total", "hit_rate", "long_weight", "short_weight"]]
 
     return hourly.groupBy("symbol").applyInPandas(

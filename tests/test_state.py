@@ -500,6 +500,30 @@ def test_live_cells_equal_one_run_for_any_batches(spark, tmp_path):
         assert live.cells(spark).count() == len(whole)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_weights_of_a_whole_series_equal_one_hour_at_a_time(seed):
+    """Resets, hours without signals, defaults that don't add up to one, and a rule that can have no weight at all."""
+    r = random.Random(seed)
+    alpha, least = r.choice([0.1, 0.5, 1.0]), r.choice([0.0, 0.3, 0.6])
+    long, short = r.choice([(0.6, 0.4), (0.5, 0.5), (0.7, 0.7)])
+    total = np.array([r.choice([0.0, 3.0, 3.0]) for _ in range(300)])
+    rate = np.array([r.choice([0.0, 0.25, 0.5, 0.9, r.random()]) for _ in range(300)])
+    a, b, want = long, short, []
+    for n, x in zip(total, rate, strict=True):
+        if x < least:
+            a, b = long, short
+        elif n > 0:
+            up, down = alpha * x + (1 - alpha) * a, alpha * x + (1 - alpha) * b
+            a, b = (up / (up + down), down / (up + down)) if up + down > 0 else (long, short)
+        want.append((a, b))
+    got = sinks.smoothed(total, rate, alpha, least, long, short)
+    if alpha < 1.0 or least > 0:
+        assert np.allclose(np.array(want), np.stack(got, axis=1), atol=1e-12)
+    else:  # With nothing kept of the past, an hour without hits falls back to the defaults.
+        assert np.allclose(np.array(want)[:, 0], got[0], atol=1e-12)
+    assert sinks.smoothed(np.zeros(0), np.zeros(0), alpha, least, long, short)[0].shape == (0,)
+
+
 def _late_rows(seed=9, n=160):
     """Signals and events by arrival: each comes up to nine minutes after its time, in no order."""
     r = random.Random(seed)
