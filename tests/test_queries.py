@@ -20,6 +20,7 @@ from check import TABLES, digest
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "H1", "W2", "P17", "P22", "H2", "J4", "J7", "J14", "A9", "K6", "C8", "A28", "W9", "Q1", "S1", "S8", "R6", "W15", "R13", "K7", "T8",
+    "J19", "H14", "R10", "R12", "A14_pvalue", "A22_peaks", "C7_index", "T7", "T11",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FORCEMAP_ALL") else SAMPLE
 
