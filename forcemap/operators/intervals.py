@@ -44,11 +44,12 @@ def interval_join(
     ts: str,
     chunk_seconds: int,
     band: Band | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Inner join of left rows with right rows whose ``ts`` lies in [start, end].
 
-    Right columns other than ``on`` must not clash with left names.
+    Right columns other than ``on`` must not clash with left names. ``hot_rows=None`` leaves hot slots to adaptive execution,
+    which can split them where nothing above the join needs its partitioning; it saves counting and moving both sides.
     """
     slots = ["_slot"] + (["_bucket"] if band else [])
     first, last = _slot(F.col(start), chunk_seconds), _slot(F.col(end), chunk_seconds)
@@ -62,6 +63,8 @@ def interval_join(
         r = r.filter(F.col(band.price) > 0).withColumn("_bucket", _bucket(F.col(band.price), band.width))
         hit = hit & F.col(band.price).between(F.col(band.low), F.col(band.high))
     keys = [*on, *slots]
+    if hot_rows is None:
+        return l.join(r, keys).filter(hit).drop(*slots)
     hot = (
         r.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -110,7 +113,7 @@ def range_extremes(
         F.timestamp_seconds((first + 1) * block_seconds).alias("_b0"),
         F.timestamp_seconds((last - 1) * block_seconds).alias("_b1"),
     )
-    whole = interval_join(inner, blocks, on, "_b0", "_b1", "_at", chunk_seconds).select(left_id, "_low", "_high")
+    whole = interval_join(inner, blocks, on, "_b0", "_b1", "_at", chunk_seconds, hot_rows=None).select(left_id, "_low", "_high")
     ends = F.array_distinct(F.array(first, last))
     edges = span.select("*", F.explode(ends).alias("_edge"))
     edges = edges.withColumn(
@@ -123,7 +126,7 @@ def range_extremes(
         interval_join(
             edges.select(left_id, *on, "_e0", "_e1"),
             ticks.select(*on, F.col(ts).alias("_ts"), F.col(price).alias("_p")),
-            on, "_e0", "_e1", "_ts", block_seconds,
+            on, "_e0", "_e1", "_ts", block_seconds, hot_rows=None,
         )
         .groupBy(left_id)
         .agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"))
