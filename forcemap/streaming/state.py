@@ -1,4 +1,4 @@
-"""Stateful streaming operators. Each keeps only what its rule needs, per key, with a timeout where rows expire."""
+"""Stateful streaming operators. Each keeps only what its rule needs, per key: in the stream's state or in a table by batch."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from forcemap.functions.constants import BASE_MAINTENANCE_RATE, LEVERAGE_SHARES
@@ -29,51 +30,58 @@ def breaker_step(b: Breaker, now: float, pnl: float, losses: int, drawdown: floa
 
 # ---- resting orders ------------------------------------------------------
 
-ORDER_STATE = "alive boolean, coin string, side string, limit_px double, size double, status string, reduce_only boolean, seen boolean"
-ORDER_NAMES = ["alive", "coin", "side", "limit_px", "size", "status", "reduce_only", "seen"]
+ORDER_STATE = "account long, oid int, alive boolean, coin string, side string, limit_px double, size double, status string, reduce_only boolean, seen boolean"
+ORDER_NAMES = [c.split()[0] for c in ORDER_STATE.split(", ")][2:]
 
 
-def resting_order_stream(events: DataFrame) -> DataFrame:
-    """State of every order touched in a batch, folded block by block.
+def fold_orders(events: DataFrame, before: DataFrame) -> DataFrame:
+    """State (``ORDER_STATE``) of all orders after a batch, from the state ``before`` it; orders that have ended are left out.
 
-    Same columns as the batch ``resting_orders``. ``alive`` is false once the order has ended or before a book
-    event gave it a size. Blocks must not go back in time between batches.
+    Events as in the batch ``resting_orders``. The result is that of a fold block by block, by grouped maxima as there: only
+    what comes after an order's last end counts, and without an end the batch goes on from its state. ``alive`` is false
+    before a book event gave the order a size. Blocks must not go back in time between batches.
     """
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        blank = dict(zip(ORDER_NAMES, (False, None, None, None, None, None, None, False)))
-        s = dict(zip(ORDER_NAMES, state.get)) if state.exists else dict(blank)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["block", "seq"])
-        for _, block in rows.groupby("block", sort=True):
-            status, book = block[block["kind"] == "status"], block[block["kind"] == "book"]
-            if status["status"].isin(TERMINAL).any() or book["removed"].fillna(False).astype(bool).any():
-                s = dict(blank)
-                continue
-            # The first status without a price sets it to zero, whatever the book said before.
-            if len(status) and not s["seen"]:
-                s["seen"], s["limit_px"] = True, 0.0
-            for name in ("coin", "side", "limit_px", "status", "reduce_only"):
-                known = status[name].dropna()
-                if len(known):
-                    s[name] = known.iloc[-1]
-            if len(book):
-                s["alive"] = True
-                if not s["seen"] and len(book["limit_px"].dropna()):
-                    s["limit_px"] = float(book["limit_px"].dropna().iloc[0])
-                for name in ("coin", "side"):
-                    if s[name] is None and len(book[name].dropna()):
-                        s[name] = book[name].dropna().iloc[-1]
-                sizes = book["book_size"].dropna()
-                if len(sizes):
-                    s["size"] = float(sizes.iloc[-1])
-                elif s["size"] is None:
-                    s["size"] = 0.0
-        clean = [None if v is None else bool(v) if n in ("alive", "reduce_only", "seen") else float(v) if n in ("limit_px", "size") else str(v) for n, v in s.items()]
-        state.update(tuple(clean))
-        yield pd.DataFrame([[key[0], key[1], *clean]], columns=["account", "oid", *ORDER_NAMES])
-
-    return events.groupBy("account", "oid").applyInPandasWithState(
-        fold, f"account long, oid int, {ORDER_STATE}", ORDER_STATE, "update", GroupStateTimeout.NoTimeout
+    key, at, first = F.struct("account", "oid").alias("key"), F.struct("block", "seq"), F.struct(F.col("block"), -F.col("seq"))
+    rows = events.filter("block IS NOT NULL").withColumn("key", key)
+    status, book = F.col("kind") == "status", F.col("kind") == "book"
+    ends = F.coalesce(status & F.col("status").isin(TERMINAL) | book & F.col("removed"), F.lit(False))
+    touched = rows.groupBy("key").agg(F.max(F.when(ends, F.col("block"))).alias("end"))
+    live = rows.join(touched, "key").filter("end IS NULL OR block > end")
+
+    def known(column: str) -> Column:
+        return F.col(column).isNotNull() & (~F.isnan(column) if column in ("limit_px", "book_size") else F.lit(True))
+
+    def newest(column: str, when: Column) -> Column:
+        return F.max_by(column, F.when(when & known(column), at))
+
+    def oldest_book(column: str) -> Column:
+        """The last value of the first block that has one."""
+        return F.min_by(column, F.when(book & known(column), first))
+
+    found = live.groupBy("key").agg(
+        F.max(status).alias("any_status"),
+        F.max(book).alias("any_book"),
+        *[newest(c, status).alias(f"new_{c}") for c in ("coin", "side", "limit_px", "status", "reduce_only")],
+        *[oldest_book(c).alias(f"book_{c}") for c in ("coin", "side")],
+        F.max_by("limit_px", F.when(book & known("limit_px"), first)).alias("book_px"),
+        newest("book_size", book).alias("new_size"),
     )
+    carried = before.select(key, F.struct(*ORDER_NAMES).alias("old"))
+    whole = carried.join(touched, "key", "full").join(found, "key", "left").withColumn("old", F.when(F.col("end").isNull(), F.col("old")))
+    no, old = F.lit(False), lambda name: F.col(f"old.{name}")
+    any_status, any_book, seen = (F.coalesce(c, no) for c in (F.col("any_status"), F.col("any_book"), old("seen")))
+    # The first status without a price sets it to zero, whatever the book said before.
+    by_status = F.coalesce("new_limit_px", F.when(seen, old("limit_px")).otherwise(0.0))
+    by_book = F.when(seen, old("limit_px")).otherwise(F.coalesce("book_px", old("limit_px")))
+    return whole.select(
+        "key.*",
+        (F.coalesce(old("alive"), no) | any_book).alias("alive"),
+        *[F.coalesce(f"new_{c}", old(c), f"book_{c}").alias(c) for c in ("coin", "side")],
+        F.when(any_status, by_status).otherwise(by_book).alias("limit_px"),
+        F.when(any_book, F.coalesce("new_size", old("size"), F.lit(0.0))).otherwise(old("size")).alias("size"),
+        *[F.coalesce(f"new_{c}", old(c)).alias(c) for c in ("status", "reduce_only")],
+        (seen | any_status).alias("seen"),
+    ).filter("alive OR seen")
 
 
 # ---- live heatmap --------------------------------------------------------
