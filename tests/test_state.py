@@ -700,3 +700,32 @@ def test_orders_folded_batch_by_batch_equal_the_block_loop(spark, seed):
             now = spark.createDataFrame(now.collect(), state.ORDER_STATE)
         got = {(x.account, x.oid): {k: v for k, v in x.asDict().items() if k not in ("account", "oid")} for x in now.collect()}
         assert got == want
+
+
+def test_breaker_walks_long_symbols_in_pieces(spark):
+    """Pieces of seven rows and several batches give what one walk over each whole symbol gives."""
+    from forcemap.streaming import breaker
+
+    r = random.Random(8)
+    limits = breaker.Limits(3, -40.0, 4, 900.0)
+    rows = [(i, r.choice(["a", "b", None]), T0 + timedelta(seconds=200 * i + r.randrange(50)), r.uniform(-9, 10)) for i in range(400)]
+    want = {}
+    for symbol in ("a", "b", None):
+        mine = sorted((x for x in rows if x[1] == symbol), key=lambda x: (x[2], x[0]))
+        seconds = np.array([(x[2] - datetime(1970, 1, 1)).total_seconds() for x in mine])
+        reasons = breaker.pass_signals(breaker.Breaker(), seconds, np.array([x[3] for x in mine]), limits)
+        want |= {x[0]: (symbol, why == "", why) for x, why in zip(mine, reasons, strict=True)}
+    assert len({w[2] for w in want.values()}) > 2
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        now, got = spark.createDataFrame([], breaker.FOLDED), {}
+        for part in (rows[:150], [], rows[150:]):
+            df = spark.createDataFrame(part, "signal_id long, symbol string, ts timestamp, pnl double")
+            out = breaker.circuit_breaker(df, now, limits.losses, limits.drawdown, limits.per_hour, limits.cooldown).collect()
+            got |= {x.signal_id: (x.symbol, x.allowed, x.reason) for x in out if x.state is None}
+            now = spark.createDataFrame(out, breaker.FOLDED)
+            assert sum(x.state is not None for x in out) == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want
