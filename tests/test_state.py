@@ -729,3 +729,32 @@ def test_breaker_walks_long_symbols_in_pieces(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == want
+
+
+def test_matches_are_found_in_bounded_pieces_and_kept_packed(monkeypatch):
+    from forcemap.streaming import correlation as c
+
+    r = np.random.default_rng(3)
+    signals, events = np.zeros(60, c.SIGNAL_TYPE), np.zeros(300, c.EVENT_TYPE)
+    for x in (signals, events):
+        x["id"], x["price"], x["us"] = np.arange(len(x)), 100 * np.exp(r.uniform(-0.03, 0.03, len(x))), r.integers(0, 400, len(x))
+    signals["event"] = signals["event_us"] = c.NONE
+    want = []
+    for s in signals:
+        near = [(e["us"], e["id"]) for e in events if s["us"] <= e["us"] <= s["us"] + 50 and abs(s["price"] - e["price"]) / s["price"] * 100 <= 1]
+        want.append(min(near) if near else (c.NONE, c.NONE))
+    for pairs in (1, 40, 1 << 20):
+        monkeypatch.setattr(c, "PAIRS", pairs)
+        got = signals.copy()
+        for part in (events[100:], events[:100]):  # The better event may come later.
+            c.best_events(got, part, 1.0, 50)
+        assert list(zip(got["event_us"].tolist(), got["event"].tolist())) == [(int(a), int(b)) for a, b in want]
+
+    class Rows:
+        kept = []
+        put, get, exists = (lambda self, rows: setattr(self, "kept", rows)), (lambda self: iter(self.kept)), (lambda self: bool(self.kept))
+
+    monkeypatch.setattr(c, "PACKED_ROWS", 128)
+    kept = Rows()
+    c.Correlator._store(kept, events)
+    assert len(kept.kept) == 3 and (c.Correlator._load(kept, c.EVENT_TYPE) == events).all()
