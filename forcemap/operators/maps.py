@@ -67,7 +67,8 @@ def trade_levels(trades: DataFrame, inputs: DataFrame, leverages=tuple(LEVERAGE_
     ``inputs`` has (symbol, mark, open_interest); the rate follows the interest's tier and falls
     back to the first tier beyond the last ceiling.
     """
-    rated = inputs.withColumn("_rate", C.tier_of("open_interest", tiers, overflow="first")["rate"])
+    # Written, so the plan knows that it is one row per symbol and no trade is sorted or moved for it.
+    rated = staged(inputs.withColumn("_rate", C.tier_of("open_interest", tiers, overflow="first")["rate"]), "rated")
     risky = _at_risk(attach(trades, rated, "symbol"), leverages, F.col("_rate"))
     return risky.select(
         *[c for c in risky.columns if not c.startswith("_") and c not in ("side", "mark", "open_interest")],

@@ -73,3 +73,8 @@ def test_top_n_is_limited_before_the_shuffle(spark):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["symbol", "price_bucket", "leverage", "side", "total_volume", "count"] and df.count() > 0
+
+
+def test_trades_are_not_sorted_or_moved_to_meet_their_symbols_rate(spark):
+    plan = plan_of(entry.queries()["H4"](spark, SF))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
