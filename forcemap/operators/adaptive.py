@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forcemap.functions import columns as C
 from forcemap.operators.quantiles import ranked_values
-from forcemap.operators.rolling import mean_of, rolling
+from forcemap.operators.rolling import rolling, rolling_mean
 from forcemap.operators.scans import asof, scan, time_chunk
 from forcemap.session import staged
 
@@ -74,9 +74,9 @@ def touch_bands(anchors: DataFrame, ticks: DataFrame, anchor_ts: str, chunk_seco
 def volume_thresholds(anchors: DataFrame, ticks: DataFrame, anchor_ts: str, chunk_seconds: int = CHUNK) -> DataFrame:
     """Hourly volume expected at each anchor: mean of the last day of ticks with volume, times 60."""
     with_volume = ticks.filter("volume IS NOT NULL").select("symbol", "ts", "volume")
-    means = rolling(
-        with_volume, ["symbol"], ["ts"], time_chunk("ts", chunk_seconds), VOLUME_TICKS, {"_mean": mean_of("volume")}
-    ).select("symbol", F.col("ts").alias("_mts"), "_mean")
+    means = rolling_mean(with_volume, ["symbol"], ["ts"], time_chunk("ts", chunk_seconds), VOLUME_TICKS, "volume", "_mean").select(
+        "symbol", F.col("ts").alias("_mts"), "_mean"
+    )
     a = asof(anchors, staged(means, "volumes"), ["symbol"], anchor_ts, "_mts", ["_mean"], lambda c: time_chunk(c, chunk_seconds))
     return a.withColumn(
         "volume_threshold", F.when(F.col("_mean").isNotNull(), F.greatest(F.lit(1.0), F.col("_mean") * HOUR_TICKS))

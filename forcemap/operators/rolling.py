@@ -19,6 +19,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, ho
     return scan(df.withColumn("_one", F.lit(1)), keys, order, chunk, hot_rows=hot_rows, _i=("sum", "_one")).drop("_one")
 
 
+def _placed(n: DataFrame, length: int, block_rows: int) -> DataFrame:
+    """Numbered rows in blocks (``_block``), with the rows before a block that its frames reach back to; ``_home`` is a row's own."""
+    block_rows = max(block_rows, 4 * length)
+    home = F.floor((F.col("_i") - 1) / F.lit(block_rows))
+    tail = (F.col("_i") - 1) % block_rows >= block_rows - (length - 1)
+    return n.withColumn("_home", home).withColumn("_block", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))))
+
+
 def rolling(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, length: int, outputs, hot_rows: int | None = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -28,18 +36,31 @@ def rolling(
     ``outputs`` maps a name to a function of the frame (a WindowSpec ending at the current row).
     ``_i`` stays in the result so callers can tell full frames from short ones.
     """
-    block_rows = max(block_rows, 4 * length)
-    n = numbered(df, keys, order, chunk, hot_rows)
-    home = F.floor((F.col("_i") - 1) / F.lit(block_rows))
-    tail = (F.col("_i") - 1) % block_rows >= block_rows - (length - 1)
-    placed = n.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
+    placed = _placed(numbered(df, keys, order, chunk, hot_rows), length, block_rows)
     frame = Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(-(length - 1), 0)
     named = [fn(frame).alias(name) for name, fn in outputs.items()]
     return placed.select("*", *named).filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
+def rolling_mean(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, length: int, column: str, name: str, hot_rows: int | None = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add ``name``: the mean of ``column`` (without nulls) over the last ``length`` rows, at a cost that ``length`` doesn't change.
+
+    Rows are cut into stretches of ``length``, so a frame is the end of one stretch and the beginning of the next: the running
+    sums of the stretches from either side add up to it, and no value outside the frame ever enters its sum.
+    """
+    placed = _placed(numbered(df, keys, order, chunk, hot_rows), length, block_rows).withColumn("_stretch", F.floor((F.col("_i") - 1) / F.lit(length)))
+    stretch = Window.partitionBy(*keys, "_block", "_stretch")
+    upto = lambda along: F.sum(column).over(stretch.orderBy(along).rowsBetween(Window.unboundedPreceding, 0))
+    sums = placed.withColumn("_tail", upto(F.desc("_i"))).withColumn("_head", upto(F.asc("_i")))
+    before = F.lag("_tail", length - 1).over(Window.partitionBy(*keys, "_block").orderBy("_i")) if length > 1 else F.lit(None)
+    both = sums.withColumn("_before", F.when(F.col("_i") % length != 0, before))
+    mean = (F.col("_head") + F.coalesce("_before", F.lit(0))) / F.least(F.col("_i"), F.lit(length))
+    return both.filter(F.col("_home") == F.col("_block")).withColumn(name, mean).drop("_home", "_block", "_stretch", "_tail", "_head", "_before")
+
+
 def mean_of(column: str):
     return lambda frame: F.avg(column).over(frame)
 

@@ -229,3 +229,17 @@ def test_first_hit_joins_no_more_rows_at_a_higher_tick_rate(spark):
         firsthit.first_hit(spark.createDataFrame(lefts, LEFT), spark.createDataFrame(ticks, TICK), "id", ["k"], "a", "b", "lo", "hi", "ts", "price", steps=(600, 60, 1), watch=watch).collect()
         joined[rate] = sum(rows.count() for _, rows in frames)
     assert joined[900] < 3 * joined[15] and joined[900] < 2 * joined[60], joined
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 24])
+def test_rolling_mean_equals_plain_means(spark, length):
+    """Over many blocks and stretches; an infinite value leaves no trace once it is out of the frame."""
+    r = random.Random(length)
+    rows = [(k, T0 + timedelta(seconds=37 * i), float(r.randrange(100)) if i != 20 else float("inf")) for k, n in (("a", 260), ("b", 5), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, x double")
+    out = rolling.rolling_mean(df, ["k"], ["ts"], F.floor(F.unix_seconds("ts") / 600), length, "x", "m", block_rows=32)
+    want = {}
+    for k in "abc":
+        mine = [(ts, x) for kk, ts, x in rows if kk == k]
+        want |= {(k, ts): sum(x for _, x in mine[max(0, i - length + 1) : i + 1]) / min(i + 1, length) for i, (ts, _) in enumerate(mine)}
+    assert {(x.k, x.ts.replace(tzinfo=None)): x.m for x in out.collect()} == want
