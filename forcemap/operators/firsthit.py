@@ -10,6 +10,9 @@ its cells, at most one per cell and time step however many ticks these hold, and
 
 Only blocks whose bound from below isn't beyond the best bound from above can hold the answer without giving it: those at the
 rectangle's price and time edges. They are looked into with the next finer time step, and at last in the ticks themselves.
+
+Rectangles and blocks meet by slots of several cells and windows, so that a rectangle is moved to few of them; what the slots'
+blocks can't answer is left out inside the join. What a step has found is written once, for its answers and for the next step.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forcemap.session import staged
+
 CELL = 0.0005
+SPAN, STRETCH = 6, 3  # Cells and windows of a slot.
 SECOND = 1_000_000
 
 
@@ -76,15 +82,17 @@ def first_hit(
     flat = ticks.filter(F.col(price) > 0).select(*on, cell_of(F.col(price), width).alias("_cell"), F.unix_micros(ts).alias("_us"), F.col(price).alias("_price"), *payload)
     shape = [left_id, *on, *carry, "_us0", "_us1", "_lo", "_hi"]
 
+    # The block has a tick in the rectangle's time and one in its prices, so no other cell's block passes.
+    can = (F.col("_first._us") <= F.col("_us1")) & (F.col("_last") >= F.col("_us0")) & (F.col("_lowest._price") <= F.col("_hi")) & (F.col("_highest._price") >= F.col("_lo"))
+
     def met(pairs: DataFrame) -> DataFrame:
-        """Pairs whose block can hold a hit, with the exact answer or the bounds."""
+        """The pairs with the exact answer or the bounds."""
         inside = lambda us: us.between(F.col("_us0"), F.col("_us1"))
         bound = lambda price, us: F.when(accepts(price) & inside(us), us)
         first = F.col("_first")
         exact = accepts(first["_paid"]) & inside(first["_us"])
         above = F.least(bound(F.col("_lowest._price"), F.col("_lowest._us")), bound(F.col("_highest._price"), -F.col("_highest._us")))
-        can = (first["_us"] <= F.col("_us1")) & (F.col("_last") >= F.col("_us0")) & (F.col("_lowest._price") <= F.col("_hi")) & (F.col("_highest._price") >= F.col("_lo"))
-        return pairs.filter(can).select(
+        return pairs.select(
             *shape, "_cell", "_step", F.when(exact, first).alias("_exact"), F.when(exact, first["_us"]).otherwise(above).alias("_above"),
             F.greatest(first["_us"], F.col("_us0")).alias("_below"),
         )
@@ -92,27 +100,32 @@ def first_hit(
     def settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Answers so far, and the blocks that can still better them."""
         blocks = F.collect_list(F.when(F.col("_exact").isNull(), F.struct("_cell", "_step", "_below")))
-        best = found.groupBy(left_id).agg(F.min("_exact").alias("_best"), F.min("_above").alias("_above"), blocks.alias("_blocks"), F.any_value(F.struct(*shape[1:])).alias("_box"))
+        # The rectangle is only needed where a block is left open.
+        box = F.any_value(F.when(F.col("_exact").isNull(), F.struct(*shape[1:])), F.lit(True))
+        best = found.groupBy(left_id).agg(F.min("_exact").alias("_best"), F.min("_above").alias("_above"), blocks.alias("_blocks"), box.alias("_box"))
         open_blocks = F.filter("_blocks", lambda b: F.col("_above").isNull() | (b["_below"] <= F.col("_above")))
-        again = best.select(left_id, "_box.*", F.explode(open_blocks).alias("_b")).select(*shape, "_b._cell", "_b._step")
-        return best.select(left_id, "_best"), again
+        kept = best.select(left_id, "_best", open_blocks.alias("_open"), F.when(F.size(open_blocks) > 0, F.col("_box")).alias("_box"))
+        kept = staged(kept, "hits")
+        again = kept.filter(F.size("_open") > 0).select(left_id, "_box.*", F.explode("_open").alias("_b")).select(*shape, "_b._cell", "_b._step")
+        return kept.select(left_id, "_best"), again
 
-    chunk = lambda us: F.floor(us / F.lit(window_seconds * SECOND))
+    chunk = lambda us: F.floor(us / F.lit(STRETCH * window_seconds * SECOND))
+    slot = lambda cell: F.floor(cell / F.lit(SPAN))
     pieces = box.withColumn("_chunk", F.explode(F.sequence(chunk(F.col("_us0")), chunk(F.col("_us1"))))).withColumn(
-        "_cell", F.explode(F.sequence(cell_of(F.col("_lo"), width), cell_of(F.col("_hi"), width)))
+        "_slot", F.explode(F.sequence(slot(cell_of(F.col("_lo"), width)), slot(cell_of(F.col("_hi"), width))))
     )
     seconds = steps[0]
-    blocks = index(flat, on, seconds, payload).withColumn("_chunk", F.floor(F.col("_first._us") / F.lit(window_seconds * SECOND)))
+    blocks = index(flat, on, seconds, payload).withColumns({"_chunk": chunk(F.col("_first._us")), "_slot": slot(F.col("_cell"))})
     if window_seconds % seconds:
         raise ValueError("the first step must divide the window")
-    answers, rest = settled(met(watch(f"{seconds} s", pieces.join(blocks, [*on, "_cell", "_chunk"]))))
+    answers, rest = settled(met(watch(f"{seconds} s", pieces.join(blocks, [*on, "_slot", "_chunk"]).filter(can))))
     found = [answers]
     for finer in steps[1:]:
         if seconds % finer:
             raise ValueError("each step must divide the one before")
         parts = index(flat, on, finer, payload).withColumn("_coarse", F.floor(F.col("_step") / F.lit(seconds // finer)))
         inner = rest.withColumnRenamed("_step", "_coarse").join(parts, [*on, "_cell", "_coarse"])
-        answers, rest = settled(met(watch(f"{finer} s", inner)))
+        answers, rest = settled(met(watch(f"{finer} s", inner.filter(can))))
         found.append(answers)
         seconds = finer
     raw = flat.withColumn("_step", F.floor(F.col("_us") / F.lit(seconds * SECOND)))

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forcemap.operators.scans import HOT_ROWS, scan
+from forcemap.session import staged
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, width: float, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Distinct non-null values with ``start``/``stop``: the 0-based rank range they occupy, and ``n``."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    # Written once: the running counts and the totals both read them.
+    counts = staged(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count")), "counts")
     chunk = F.floor(F.col(value) / F.lit(width))
     running = scan(counts, keys, [value], chunk, hot_rows=hot_rows, stop=("sum", "_count"))
     totals = counts.groupBy(*keys).agg(F.sum("_count").alias("n"))

@@ -243,3 +243,10 @@ def test_rolling_mean_equals_plain_means(spark, length):
         mine = [(ts, x) for kk, ts, x in rows if kk == k]
         want |= {(k, ts): sum(x for _, x in mine[max(0, i - length + 1) : i + 1]) / min(i + 1, length) for i, (ts, _) in enumerate(mine)}
     assert {(x.k, x.ts.replace(tzinfo=None)): x.m for x in out.collect()} == want
+
+
+def test_first_hit_joins_rectangles_and_blocks_once(spark):
+    """What a step finds is written, so the plans of its answers and of the next step don't both hold the step's join."""
+    lefts, ticks = _hit_rows(40, 12)
+    found = firsthit.first_hit(spark.createDataFrame(lefts, LEFT), spark.createDataFrame(ticks, TICK), "id", ["k"], "a", "b", "lo", "hi", "ts", "price")
+    assert "_chunk" not in found._jdf.queryExecution().optimizedPlan().toString()
