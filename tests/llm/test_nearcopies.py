@@ -93,3 +93,40 @@ def test_awkward_and_empty_tables(spark):
     assert nearcopies.near_dedup(empty(spark)).count() == 0
     alone = documents(spark, [(None, "a b c"), (None, None)])
     assert nearcopies.near_dedup(alone).count() == 2
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Pairs of the similarity without a key in common, edited copies at its edge and texts with a common passage: all groups."""
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy = list(words)
+        copy[0], copy[rng.randrange(5, 55)] = "first", "other"
+        a, b = " ".join(words), " ".join(copy)
+        if not set(nearcopies.keys_of(nearcopies.shingles(a.encode()))) & set(nearcopies.keys_of(nearcopies.shingles(b.encode()))):
+            assert similar(slow_shingles(a), slow_shingles(b))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    passage = " ".join(f"common{i}" for i in range(60))
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 9, 30, 120]))]
+        rows.append((len(rows), " ".join(words) + " " + passage))
+        rows += [(len(rows) + k, edited(rng, words, rng.choice([0.03, 0.06, 0.1])) + rng.choice(["", " " + passage])) for k in range(2)]
+    texts = dict(rows)
+    want = slow_groups(texts)
+    assert kept(documents(spark, rows)) == sorted(d for d in texts if want[d] == d)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """The first fifth suffices whatever goes last, down to sets of one."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(r.integers(1, 60))
+        a = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate([r.permutation(a)[: max(1, round(len(a) * 0.9))], r.integers(-(1 << 62), 1 << 62, int(r.integers(0, 4)))]))
+        late = np.sort(r.permutation(np.union1d(a, b))[: int(r.integers(0, n + 1))])
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(nearcopies.prefix_of(a, late), nearcopies.prefix_of(b, late)))
