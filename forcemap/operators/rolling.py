@@ -46,19 +46,24 @@ def rolling_mean(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, length: int, column: str, name: str, hot_rows: int | None = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``name``: the mean of ``column`` (without nulls) over the last ``length`` rows, at a cost that ``length`` doesn't change.
+    """Add ``name``: the mean of ``column`` over the last ``length`` rows, at a cost that ``length`` doesn't change.
 
     Rows are cut into stretches of ``length``, so a frame is the end of one stretch and the beginning of the next: the running
     sums of the stretches from either side add up to it, and no value outside the frame ever enters its sum.
     """
     placed = _placed(numbered(df, keys, order, chunk, hot_rows), length, block_rows).withColumn("_stretch", F.floor((F.col("_i") - 1) / F.lit(length)))
     stretch = Window.partitionBy(*keys, "_block", "_stretch")
-    upto = lambda along: F.sum(column).over(stretch.orderBy(along).rowsBetween(Window.unboundedPreceding, 0))
-    sums = placed.withColumn("_tail", upto(F.desc("_i"))).withColumn("_head", upto(F.asc("_i")))
-    before = F.lag("_tail", length - 1).over(Window.partitionBy(*keys, "_block").orderBy("_i")) if length > 1 else F.lit(None)
-    both = sums.withColumn("_before", F.when(F.col("_i") % length != 0, before))
-    mean = (F.col("_head") + F.coalesce("_before", F.lit(0))) / F.least(F.col("_i"), F.lit(length))
-    return both.filter(F.col("_home") == F.col("_block")).withColumn(name, mean).drop("_home", "_block", "_stretch", "_tail", "_head", "_before")
+    zero, parts = F.lit(0), ["_tail", "_tail_n", "_head", "_head_n"]
+    for (total, n), along in ((parts[:2], F.desc("_i")), (parts[2:], F.asc("_i"))):
+        upto = stretch.orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumns({total: F.coalesce(F.sum(column).over(upto), zero), n: F.count(column).over(upto)})
+    # The rows of the stretch before that the frame holds; a number may be missing where rows have no place in the order.
+    row = F.struct("_i", "_tail", "_tail_n")
+    along = Window.partitionBy(*keys, "_block").orderBy("_i").rangeBetween(1 - length, 0)
+    before = F.first(row).over(along)
+    placed = placed.withColumn("_before", F.when(F.floor((before["_i"] - 1) / F.lit(length)) < F.col("_stretch"), before))
+    mean = F.try_divide(F.col("_head") + F.coalesce("_before._tail", zero), F.col("_head_n") + F.coalesce("_before._tail_n", zero))
+    return placed.filter(F.col("_home") == F.col("_block")).withColumn(name, mean).drop("_home", "_block", "_stretch", "_before", *parts)
 
 
 def mean_of(column: str):

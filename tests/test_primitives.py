@@ -236,7 +236,8 @@ def test_rolling_mean_equals_plain_means(spark, length):
     """Over many blocks and stretches; an infinite value leaves no trace once it is out of the frame."""
     r = random.Random(length)
     rows = [(k, T0 + timedelta(seconds=37 * i), float(r.randrange(100)) if i != 20 else float("inf")) for k, n in (("a", 260), ("b", 5), ("c", 1)) for i in range(n)]
-    df = spark.createDataFrame(rows, "k string, ts timestamp, x double")
+    # Rows without a time have no place, and don't count in the first frames.
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("a", None, 2.0), ("b", None, 3.0)], "k string, ts timestamp, x double")
     out = rolling.rolling_mean(df, ["k"], ["ts"], F.floor(F.unix_seconds("ts") / 600), length, "x", "m", block_rows=32)
     want = {}
     for k in "abc":
