@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -243,3 +244,21 @@ def test_rest_doesnt_import_this_package():
     for f in (root / "forcemap").rglob("*.py"):
         if "llm" not in f.parts:
             assert "forcemap.llm" not in f.read_text(), f
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    """Shuffle files of a written step go when it ends, so those of many steps don't add up on disk."""
+    from forcemap.session import staged
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(1 for d in manager.localDirsString() for f in Path(d).rglob("shuffle_*") if f.is_file())
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(200)], "doc_id long, text string")
+    before = files()
+    # Grouping is by a shuffle; its result is written and its files aren't read again.
+    kept = staged(corpus_pipeline.without_copies(spark, docs, ""), "kept")
+    assert kept.count() == 7
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
