@@ -2,12 +2,13 @@
 
 Each round is two grouped minima and joins (node, minimum); nothing is collected, and a node with very many
 neighbours only meets its minimum in a join that adaptive execution can split. Rounds are written to the shared
-folder, so a lost executor never replays more than one of them.
+folder, so a lost executor never replays more than one of them; what tells whether a round changed anything is counted while
+it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from forcemap.session import staged
@@ -30,14 +31,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
+    """The edges, written, and their number and the sum of their hashes."""
+    mark = Observation()
+    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+    return staged(edges.observe(mark, F.count(F.lit(1)).alias("n"), hashes.alias("s")), label), mark.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that ``edges`` (u, v) mention; the root is the smallest node of its component."""
-    now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, mark = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if mark["n"] == 0 or mark == seen:
-            break
+    while mark["n"] and mark != seen:
         seen = mark
-        now = staged(_small_star(_large_star(now)), "stars")
+        now, mark = _written(_small_star(_large_star(now)), "stars")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

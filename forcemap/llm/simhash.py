@@ -105,6 +105,17 @@ def group(rows: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     return labelled.select("fp", "root").join(tops, "root").select("fp", "component_id", F.col("_first._row").alias("keep_row"))
 
 
+def row_links(rows: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
+    """Pairs (u, v) of rows of the written table ``rows`` (_row, fp), whose components are those of ``group``.
+
+    A row is linked to the first one of its fingerprint, and the first ones of linked fingerprints to each other.
+    """
+    prints = staged(rows.groupBy("fp").agg(F.min("_row").alias("first")), "prints")
+    same = rows.join(prints, "fp").select(F.col("_row").alias("u"), F.col("first").alias("v")).filter("u <> v")
+    one, other = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("u", "v"))
+    return same.union(links(prints.select("fp"), hot).join(one, "u").join(other, "v").select("_u", "_v"))
+
+
 def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp"))

@@ -139,6 +139,31 @@ def test_components_of_chains_stars_and_none(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_count_rounds_while_they_are_written(spark, monkeypatch):
+    """No further query over a round's edges tells whether it changed anything."""
+
+    def asked(*_):
+        raise AssertionError("edges were read only to be counted")
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    for name in ("first", "head", "collect", "count"):
+        monkeypatch.setattr(type(edges), name, asked)
+    roots = components.components(edges)
+    monkeypatch.undo()
+    assert {r["root"] for r in roots.collect()} == {0}
+
+
+def test_links_of_rows_give_the_groups_of_fingerprints(spark):
+    prints = [0, 0, 1, 3, 3, 7 << 40, 7 << 40, -1, (1 << 40) | 15, 15]
+    rows = staged(spark.createDataFrame([(i, 100 - i, p) for i, p in enumerate(prints)], "_row long, doc_id long, fp long"))
+    groups = {r["fp"]: r["component_id"] for r in simhash.group(rows).collect()}
+    pairs = [(r["u"], r["v"]) for r in simhash.row_links(rows).collect()]
+    root = list(range(len(prints)))
+    for u, v in pairs * len(prints):
+        root[u] = root[v] = min(root[u], root[v])
+    assert all((root[i] == root[k]) == (groups[p] == groups[q]) for i, p in enumerate(prints) for k, q in enumerate(prints))
+
+
 def test_report_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
