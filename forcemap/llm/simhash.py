@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType
 
 from forcemap.llm.common import whole_row
 from forcemap.llm.components import components
-from forcemap.session import staged
+from forcemap.session import shuffled, staged
 
 DISTANCE = 2
 HOT_BUCKET = 512
@@ -78,9 +78,9 @@ def links(prints: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     same = prints.select("fp", F.lit(1).alias("seg"), second.alias("key"), F.lit(0).alias("e"))
     sizes = shelf.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"))
     # A fingerprint alone in its own bucket meets nobody there.
-    hits = staged(near.union(same).join(sizes, ["seg", "key"]).filter("e > 0 OR n > 1"), "hits")
+    hits = staged(near.union(same).join(shuffled(sizes), ["seg", "key"]).filter("e > 0 OR n > 1"), "hits")
 
-    cold = hits.filter(F.col("n") <= hot).join(shelf.select("seg", "key", F.col("fp").alias("other")), ["seg", "key"]).select("fp", "other")
+    cold = hits.filter(F.col("n") <= hot).join(shuffled(shelf.select("seg", "key", F.col("fp").alias("other"))), ["seg", "key"]).select("fp", "other")
 
     def completed(seg: int, e: int) -> DataFrame:
         some = hits.filter((F.col("n") > hot) & (F.col("seg") == seg) & (F.col("e") == e)).select("fp", "key", F.explode(_masks(SEGMENT_BITS, DISTANCE - e)).alias("b"))
@@ -91,7 +91,7 @@ def links(prints: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
         return some.select("fp", other.alias("other")).filter("fp < other")
 
     wanted = completed(0, 0).union(completed(0, 1)).union(completed(1, 0))
-    exact = wanted.join(prints.select(F.col("fp").alias("other")), "other").select("fp", "other")
+    exact = wanted.join(shuffled(prints.select(F.col("fp").alias("other"))), "other").select("fp", "other")
     close = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE)
     return cold.union(exact).filter(close).select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
 
@@ -100,9 +100,9 @@ def group(rows: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     """(fp, component_id, keep_row) for every fingerprint of the written table ``rows`` (_row, doc_id, fp)."""
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_row")).alias("first")), "prints")
     roots = components(links(prints.select("fp"), hot))
-    labelled = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = prints.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tops = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("_first"))
-    return labelled.select("fp", "root").join(tops, "root").select("fp", "component_id", F.col("_first._row").alias("keep_row"))
+    return labelled.select("fp", "root").join(shuffled(tops), "root").select("fp", "component_id", F.col("_first._row").alias("keep_row"))
 
 
 def row_links(rows: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
@@ -111,16 +111,16 @@ def row_links(rows: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     A row is linked to the first one of its fingerprint, and the first ones of linked fingerprints to each other.
     """
     prints = staged(rows.groupBy("fp").agg(F.min("_row").alias("first")), "prints")
-    same = rows.join(prints, "fp").select(F.col("_row").alias("u"), F.col("first").alias("v")).filter("u <> v")
+    same = rows.join(shuffled(prints), "fp").select(F.col("_row").alias("u"), F.col("first").alias("v")).filter("u <> v")
     one, other = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("u", "v"))
-    return same.union(links(prints.select("fp"), hot).join(one, "u").join(other, "v").select("_u", "_v"))
+    return same.union(links(prints.select("fp"), hot).join(shuffled(one), "u").join(shuffled(other), "v").select("_u", "_v"))
 
 
 def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp"))
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
-    found = rows.join(group(rows).select("fp", "component_id"), "fp")
+    found = rows.join(shuffled(group(rows).select("fp", "component_id")), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -129,4 +129,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     packed = df.select(whole_row(df), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp"))
     rows = staged(packed.withColumn("_row", F.monotonically_increasing_id()), "rows")
     kept = group(rows.select("_row", "doc_id", "fp")).select(F.col("keep_row").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select("_whole.*")
+    return rows.join(shuffled(kept), "_row", "left_semi").select("_whole.*")

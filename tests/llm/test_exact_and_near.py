@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
+from forcemap import session
 from forcemap.llm import components, exact_dedup, simhash
 from forcemap.session import staged
 from tests.llm.shapes import awkward, documents, empty
@@ -182,3 +183,32 @@ def test_near_on_awkward_rows(spark):
     kept = simhash.near_dedup(df)
     assert kept.columns == df.columns and kept.count() == 4
     assert simhash.near_dedup(empty(spark)).count() == 0 == simhash.near_duplicate_report(empty(spark)).count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def written_plans(monkeypatch, *modules):
+    """The plans of all tables that ``modules`` write, filled as they are written; no table is taken for small."""
+    plans = []
+
+    def seen(df, *label):
+        plans.append(plan_of(df))
+        return staged(df, *label)
+
+    monkeypatch.setattr(session, "FEW_ROWS", 0, raising=False)
+    for module in modules:
+        monkeypatch.setattr(module, "staged", seen)
+    return plans
+
+
+def test_no_step_of_simhash_broadcasts_a_table(spark, monkeypatch):
+    """Exploded keys and links look small, so small tables show whether Spark's guess of their size is relied on."""
+    plans = written_plans(monkeypatch, simhash, components)
+    rows = [(i, f"one two three four five six {i % 5} " + "x" * (i % 3)) for i in range(60)]
+    got = simhash.near_duplicate_report(documents(spark, rows))
+    plans.append(plan_of(got))
+    assert got.count() == 60
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 2 and not [p for p in joined if "Broadcast" in p]
