@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forcemap.llm.common import ids_and_texts, whole_row
-from forcemap.session import staged
+from forcemap.session import shuffled, staged
 
 DIGEST = ["_digest", "_length", "_check"]
 ROWS_PER_RUN = 250_000
@@ -77,8 +77,8 @@ def mark(rows: DataFrame, keep: str = "largest", fan: int = 4, runs: int | None
     dealt = rows.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(runs)).cast("int"))
     first, root = merge_runs(dealt.select(*DIGEST, "_run", "_row", "_id"), keep, runs, fan)
     winners = root.select(*DIGEST, F.col("_best").alias("_win"), F.col("_n").alias("_group_size"))
-    down = first.select(*DIGEST, "_run").join(winners, DIGEST)
-    found = dealt.join(down, [*DIGEST, "_run"])
+    down = first.select(*DIGEST, "_run").join(shuffled(winners), DIGEST)
+    found = dealt.join(shuffled(down), [*DIGEST, "_run"])
     return found.select(*rows.columns, F.col("_win._id").alias("_keep_id"), "_group_size", (F.col("_row") == F.col("_win._row")).alias("_kept"))
 
 
@@ -91,7 +91,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     packed = df.select(whole_row(df), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
     rows = staged(with_digest(packed, "_text").drop("_text"), "rows")
     kept = mark(rows.select(*DIGEST, "_row", "_id"), keep).filter("_kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select("_whole.*")
+    return rows.join(shuffled(kept), "_row", "left_semi").select("_whole.*")
 
 
 def duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:

@@ -212,3 +212,11 @@ def test_no_step_of_simhash_broadcasts_a_table(spark, monkeypatch):
     assert got.count() == 60
     joined = [p for p in plans if "Join" in p]
     assert len(joined) > 2 and not [p for p in joined if "Broadcast" in p]
+
+
+def test_no_step_of_exact_dedup_broadcasts_a_table(spark, monkeypatch):
+    plans = written_plans(monkeypatch, exact_dedup)
+    got = exact_dedup.exact_dedup(documents(spark, [(i, f"text {i % 7}") for i in range(40)]))
+    plans.append(plan_of(got))
+    assert got.count() == 7
+    assert [p for p in plans if "Join" in p] and not [p for p in plans if "Broadcast" in p]

@@ -2,10 +2,10 @@
 
 import random
 
-from forcemap.llm import nearcopies
+from forcemap.llm import components, nearcopies, simhash
 from forcemap.llm.common import table
 from tests.llm.shapes import documents, empty
-from tests.llm.test_exact_and_near import clashing, rows_of, slow_components, slow_print
+from tests.llm.test_exact_and_near import clashing, plan_of, rows_of, slow_components, slow_print, written_plans
 
 
 def slow_shingles(text):
@@ -130,3 +130,23 @@ def test_prefixes_of_similar_sets_meet():
         both = len(np.intersect1d(a, b))
         if 5 * both >= 4 * (len(a) + len(b) - both):
             assert len(np.intersect1d(nearcopies.prefix_of(a, late), nearcopies.prefix_of(b, late)))
+
+
+def mixed_rows(rng, n):
+    """Texts with two edited copies each, some with a passage that many share."""
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 9, 30, 120]))]
+        rows.append((len(rows), " ".join(words) + " " + passage))
+        rows += [(len(rows) + k, edited(rng, words, rng.choice([0.03, 0.06, 0.1])) + rng.choice(["", " " + passage])) for k in range(2)]
+    return rows
+
+
+def test_no_step_broadcasts_a_table(spark, monkeypatch):
+    plans = written_plans(monkeypatch, nearcopies, simhash, components)
+    got = nearcopies.near_dedup(documents(spark, mixed_rows(random.Random(4), 12)))
+    plans.append(plan_of(got))
+    assert got.count() > 10
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 6 and not [p for p in joined if "Broadcast" in p]
