@@ -1,7 +1,9 @@
 """Near copies by SimHash and verified shingles, against all pairs and on made-up copies."""
 
+import os
 import random
 
+from forcemap import session
 from forcemap.llm import components, nearcopies, simhash
 from forcemap.llm.common import table
 from tests.llm.shapes import documents, empty
@@ -150,3 +152,30 @@ def test_no_step_broadcasts_a_table(spark, monkeypatch):
     assert got.count() > 10
     joined = [p for p in plans if "Join" in p]
     assert len(joined) > 6 and not [p for p in joined if "Broadcast" in p]
+
+
+def test_written_tables_go_but_those_the_result_reads(spark):
+    """What lies on disk is the rows and their groups when the stage returns; the result can be read again and again."""
+    top = f"{session.shared_dir(spark)}/forcemap-{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    got = nearcopies.near_dedup(documents(spark, mixed_rows(random.Random(4), 6)))
+    assert sorted(name.rpartition("-")[0] for name in set(os.listdir(top)) - before) == ["roots", "rows"]
+    assert rows_of(got) == rows_of(got)
+    with session.scratch(spark) as keep:
+        kept = keep(session.staged(got, "result"))
+    assert sorted(name.rpartition("-")[0] for name in set(os.listdir(top)) - before) == ["result", "roots", "rows"]
+    assert rows_of(kept) == rows_of(got)
+
+
+def test_many_turns_find_the_same_groups(spark, monkeypatch):
+    """Pairs and shingles that go in many small turns, or all at once, give all groups; texts move, not their shingles."""
+    rows = mixed_rows(random.Random(11), 14)
+    want = slow_groups(dict(rows))
+    for name, value in (("PAIRS_AT_ONCE", 0.4), ("SHARED_AT_ONCE", 4), ("MET_AT_ONCE", 0.5)):
+        monkeypatch.setattr(nearcopies, name, value)
+    turns, plain = [], nearcopies.in_turns
+    monkeypatch.setattr(nearcopies, "in_turns", lambda df, by, n: turns.append((tuple(by), n)) or plain(df, by, n))
+    plans = written_plans(monkeypatch, nearcopies)
+    assert kept(documents(spark, rows)) == sorted(d for d, root in want.items() if root == d)
+    assert all(max(n for by, n in turns if by == some) > 1 for some in {by for by, _ in turns}) and len({by for by, _ in turns}) == 3
+    assert not [p for p in plans if "array_intersect" in p]
